@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontaminate, substring_dedup, token_counts, token_files
+from . import bpe_codec, decontaminate, set_sketch, substring_dedup, token_counts, token_files
 from .frames import fresh_path, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -24,6 +24,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=20))
 
 
+def op5_set_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_sketch.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, share=80)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, TOKEN_LIMIT)
 
@@ -65,6 +69,27 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, hash(s) AS s FROM (
+    SELECT doc_id, array_to_string(w[i : i + 1], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM w WHERE len(w) > 0))
+), n AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)
+), edge AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach(node, to_) AS (
+  SELECT doc_id, doc_id FROM w UNION SELECT node, b FROM reach JOIN edge ON to_ = a
+)
+SELECT w.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(to_) AS component_id, w.doc_id = min(to_) AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN reach ON w.doc_id = node GROUP BY w.doc_id
+"""
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -86,8 +111,8 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op7_token_counts, op8_bpe_codec, op10_token_files)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op5_set_sketch, op7_token_counts, op8_bpe_codec, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op2_substring_dedup": OP2_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op5_set_sketch": OP5_SQL}
