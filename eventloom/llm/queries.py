@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontaminate, set_sketch, substring_dedup, token_counts, token_files
+from . import bpe_codec, decontaminate, language_id, set_sketch, substring_dedup, token_counts, token_files, toxicity
 from .frames import fresh_path, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -24,10 +24,18 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=20))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_set_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_sketch.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, share=80)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, TOKEN_LIMIT)
 
@@ -111,7 +119,7 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op5_set_sketch, op7_token_counts, op8_bpe_codec, op10_token_files)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op4_language_id, op5_set_sketch, op6_toxicity, op7_token_counts, op8_bpe_codec, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
