@@ -8,8 +8,8 @@ repeated window covers go; overlapping and touching windows merge into maximal i
 Flow: (1) a map task hashes the windows of a batch, keeps each hash's earliest window and
 marks the others, so a passage that every document holds is sent once a batch; (2) the
 kept hashes are dealt by value into partitions, as byte planes of about 9 bytes a window;
-(3) each partition marks all but the earliest window of each hash; (4) marks are grouped
-by document and joined with the texts, which are cut.
+(3) each partition marks all but the earliest window of each hash; (4) marks, packed for
+many documents a row, are dealt by document and joined with the texts, which are cut.
 
 Hashes have 56 bits besides the partition's number, over 61 in all; equal hashes count as
 equal windows. With n windows in all about n * n / 2**62 of them are taken for repeated by
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import partitions
-from .textops import SPACED, chunked, planes, unplanes, utf8, words
+from .textops import SPACED, chunked, mix, planes, unplanes, utf8, words
 
 #: Bytes of text whose windows are grouped before the shuffle.
 BATCH = 8 << 20
@@ -51,14 +51,61 @@ def _earliest(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _marks(doc: np.ndarray, digest: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    """Starts of repeated windows, one row for each document of the batch that has some."""
+def _bucket(doc: np.ndarray, digest: np.ndarray, n: int) -> np.ndarray:
+    """Partition of a document's marks."""
+    h = mix(doc.astype(np.uint64) ^ mix(digest.astype(np.uint64)))
+    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def _documents(doc: np.ndarray, digest: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of each document's stretch of sorted marks."""
+    begin = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1])]) if len(doc) else np.zeros(0, np.int64)
+    return zip(begin.tolist(), np.r_[begin[1:], len(doc)].tolist(), strict=True)
+
+
+def _marks(doc: np.ndarray, digest: np.ndarray, start: np.ndarray, n_parts: int) -> pa.RecordBatch:
+    """Starts of repeated windows, one row for each partition of documents."""
+    part = _bucket(doc, digest, n_parts)
+    order = np.lexsort((start, digest, doc, part))
+    doc, digest, start, part = doc[order], digest[order], start[order], part[order]
+    bound = np.searchsorted(part, np.arange(n_parts + 1))
+    used = np.flatnonzero(np.diff(bound))
+    blobs = []
+    for p in used.tolist():
+        a, b = int(bound[p]), int(bound[p + 1])
+        edges = [x for x, _ in _documents(doc[a:b], digest[a:b], start[a:b])]
+        step = np.diff(start[a:b], prepend=0)
+        step[edges] = start[a:b][edges]
+        own = np.array(edges) + a
+        head = np.array([b - a, len(edges)], "<u8").tobytes()
+        blobs.append(head + planes(step, 4) + planes(np.diff(np.r_[edges, b - a]), 4) + doc[own].astype("<i8").tobytes() + digest[own].astype("<i8").tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "marks"])
+
+
+def _unmark(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, m = (int(x) for x in np.frombuffer(raw, "<u8", 2))
+    view, at = memoryview(raw), 16
+    step = unplanes(view[at:], n, 4).astype(np.int64)
+    count = unplanes(view[at + n * 4 :], m, 4).astype(np.int64)
+    at += n * 4 + m * 4
+    docs, digests = np.frombuffer(raw, "<i8", m, at), np.frombuffer(raw, "<i8", m, at + m * 8)
+    total = np.cumsum(step)
+    first = np.r_[0, np.cumsum(count)[:-1]]
+    return np.repeat(docs, count), np.repeat(digests, count), total - np.repeat(total[first] - step[first], count)
+
+
+def _merge_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All marks of a partition's documents to one row a document."""
+    parts = [_unmark(raw) for batch in batches for raw in batch.column(1).to_pylist()]
+    if not parts:
+        return
+    doc, digest, start = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((start, digest, doc))
     doc, digest, start = doc[order], digest[order], start[order]
-    begin = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1])]) if len(doc) else np.zeros(0, np.int64)
-    end = np.r_[begin[1:], len(doc)]
-    blobs = [planes(np.diff(start[a:b], prepend=0), 4) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(digest[begin]), pa.array(blobs, pa.binary())], ["doc", "digest", "starts"])
+    bounds = list(_documents(doc, digest, start))
+    own = [a for a, _ in bounds]
+    blobs = [planes(np.diff(start[a:b], prepend=0), 4) for a, b in bounds]
+    yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(digest[own]), pa.array(blobs, pa.binary())], ["doc", "digest", "starts"])
 
 
 def _pack(h, row, at, docs, digests) -> bytes:
@@ -106,47 +153,41 @@ def _hash_windows(length: int, n_parts: int):
                 first = _earliest(h, doc[row], at)
                 part = (h >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)
                 again = ~first
-                m = _marks(doc[row[again]], digest[row[again]], at[again])
-                if m.num_rows:
-                    yield _as_rows(np.abs(m.column(1).to_numpy()) % n_parts, m, None)
+                if again.any():
+                    known = _marks(doc[row[again]], digest[row[again]], at[again], n_parts)
+                    yield pa.RecordBatch.from_arrays([*known.columns, pa.nulls(known.num_rows, pa.binary())], ["part", "marks", "windows"])
                 h, row, at, part = h[first], row[first], at[first], part[first].astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 bound = np.searchsorted(part[order], np.arange(n_parts + 1))
                 used = np.flatnonzero(np.diff(bound))
                 blobs = [_pack(h[o := order[bound[p] : bound[p + 1]]], row[o], at[o], doc, digest) for p in used.tolist()]
-                if blobs:
-                    yield _as_rows(used, None, blobs)
+                yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.nulls(len(used), pa.binary()), pa.array(blobs, pa.binary())], ["part", "marks", "windows"])
 
     return run
 
 
-def _as_rows(part, marks, blobs) -> pa.RecordBatch:
-    n = len(part)
-    null = pa.nulls(n, pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(part.astype(np.int32)), marks.column(0) if marks else null, marks.column(1) if marks else null, marks.column(2) if marks else pa.nulls(n, pa.binary()), pa.array(blobs, pa.binary()) if blobs else pa.nulls(n, pa.binary())],
-        ["part", "doc", "digest", "starts", "windows"],
-    )
+def _find_repeats(n_parts: int):
+    """All of a partition's hashes to marks; marks that came along pass through."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            known = batch.filter(batch.column(1).is_valid())
+            if known.num_rows:
+                yield known.select(["part", "marks"])
+            parts += [_unpack(raw) for raw in batch.column(2).to_pylist() if raw is not None]
+        if parts:
+            h, doc, digest, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
+            order = np.argsort(h, kind="stable")
+            same = h[order][1:] == h[order][:-1]
+            order = order[np.r_[False, same] | np.r_[same, False]]  # those that stand alone need no more
+            h, doc, digest, at = h[order], doc[order], digest[order], at[order]
+            again = ~_earliest(h, doc, at)
+            if again.any():
+                yield _marks(doc[again], digest[again], at[again], n_parts)
 
-def _find_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All of a partition's hashes to marks; marks that came along pass through."""
-    parts = []
-    for batch in batches:
-        known = batch.filter(batch.column(3).is_valid())
-        if known.num_rows:
-            yield pa.RecordBatch.from_arrays(known.columns[1:4], ["doc", "digest", "starts"])
-        parts += [_unpack(raw) for raw in batch.column(4).to_pylist() if raw is not None]
-    if parts:
-        h, doc, digest, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
-        order = order[np.r_[False, same] | np.r_[same, False]]  # those that stand alone need no more
-        h, doc, digest, at = h[order], doc[order], digest[order], at[order]
-        again = ~_earliest(h, doc, at)
-        if again.any():
-            yield _marks(doc[again], digest[again], at[again])
+    return run
 
 
 def cover(starts: np.ndarray, length: int, n: int) -> np.ndarray:
@@ -158,12 +199,12 @@ def cover(starts: np.ndarray, length: int, n: int) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, length: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, digest and a list of packed starts for every document that has repeated windows."""
+    """doc, digest and packed starts of every document that has repeated windows."""
     n = partitions(docs.sparkSession)
     base = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LEAST)).alias("doc"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
-    windows = base.mapInArrow(_hash_windows(length, n), "part int, doc long, digest long, starts binary, windows binary")
-    marks = windows.repartitionById(n, F.col("part")).mapInArrow(_find_repeats, "doc long, digest long, starts binary")
-    return marks.groupBy("doc", "digest").agg(F.collect_list("starts").alias("starts"))
+    windows = base.mapInArrow(_hash_windows(length, n), "part int, marks binary, windows binary")
+    marks = windows.repartitionById(n, F.col("part")).mapInArrow(_find_repeats(n), "part int, marks binary")
+    return marks.repartitionById(n, F.col("part")).mapInArrow(_merge_marks, "doc long, digest long, starts binary")
 
 
 def remove_repeats(docs: DataFrame, length: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -179,9 +220,8 @@ def remove_repeats(docs: DataFrame, length: int = 20, key: str = "doc_id", text:
                 for r in range(hi - lo):
                     a, b = int(w.first[r]), int(w.first[r + 1])
                     gone = np.zeros(b - a, bool)
-                    if starts[lo + r]:
-                        at = np.concatenate([np.cumsum(unplanes(x, len(x) // 4, 4).astype(np.int64)) for x in starts[lo + r]])
-                        gone = cover(at, length, b - a)
+                    if raw := starts[lo + r]:
+                        gone = cover(np.cumsum(unplanes(raw, len(raw) // 4, 4).astype(np.int64)), length, b - a)
                     edge = np.flatnonzero(np.diff(np.r_[False, gone, False]))
                     spans.append(edge.tolist())
                     removed.append(int(gone.sum()))
