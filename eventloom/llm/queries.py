@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontaminate, language_id, set_sketch, substring_dedup, token_counts, token_files, toxicity
+from . import bpe_codec, decontaminate, language_id, secret_scan, set_sketch, substring_dedup, token_counts, token_files, toxicity
 from .frames import fresh_path, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -37,16 +37,20 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, TOKEN_LIMIT)
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), TOKEN_LIMIT)
 
 
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE_RANKS), public_tokenizers.PATTERN)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "tokens")
-    manifest = token_files.write_shards(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, END_ID)
+    manifest = token_files.write_shards(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(BYTE_BPE), END_ID)
     return token_files.read_shards(manifest, folder)
 
 
@@ -119,7 +123,7 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op4_language_id, op5_set_sketch, op6_toxicity, op7_token_counts, op8_bpe_codec, op10_token_files)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op4_language_id, op5_set_sketch, op6_toxicity, op7_token_counts, op8_bpe_codec, op9_secret_scan, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
