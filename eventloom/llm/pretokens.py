@@ -1,23 +1,32 @@
-"""Pre-tokens of byte-level BPE, cut from whole texts with bounded memory."""
+"""Pre-tokens of byte-level BPE: cut whole texts, and solve each distinct one once.
+
+The cut is that of the pattern below, made on arrays of code points instead of by a
+regular-expression engine, since it meets every character of the corpus.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 import regex
 
-#: Characters of a text handled at once; longer texts are cut at safe places.
-PIECE = 1 << 18
-#: Pre-tokens whose results a worker keeps.
-CACHE = 400_000
+from .textops import CHUNK, chunked, hashes, utf8
+
+#: Fixed value: the split of byte-level vocabularies.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Distinct pre-tokens whose values a worker keeps.
+KEPT = 1_500_000
+_OTHER, _LETTER, _NUMBER, _SPACE, _EDGE = range(5)
 
-#: A space after an ASCII letter or digit always begins a match of the patterns
-#: used here: none of their alternatives holds white space after a letter or digit,
-#: and the look-ahead of the white-space alternative never looks back.
+#: A space after an ASCII letter or digit always begins a match: no alternative holds white
+#: space after its first character, but for runs of white space alone.
 _SAFE = regex.compile(r"(?<=[A-Za-z0-9]) ")
 
 
-def pieces(text: str, most: int = PIECE) -> Iterator[str]:
+def pieces(text: str, most: int = CHUNK) -> Iterator[str]:
     """The text in order, cut only at safe places; a stretch without one stays whole."""
     lo, n = 0, len(text)
     while n - lo > most:
@@ -29,47 +38,125 @@ def pieces(text: str, most: int = PIECE) -> Iterator[str]:
     yield text[lo:] if lo else text
 
 
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Class of every code point."""
+    out = np.zeros(0x110000, np.uint8)
+    for lo, hi in ((0, 0xD800), (0xE000, 0x110000)):
+        every = "".join(map(chr, range(lo, hi)))
+        for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
+            for m in regex.finditer(pattern, every):
+                out[lo + m.start() : lo + m.end()] = kind
+    return out
+
+
+def starts(code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where the pattern's matches begin in texts laid end to end; matches leave no gap."""
+    n = len(code)
+    if not n:
+        return np.zeros(0, np.int64)
+    kind = _classes()[code]
+    before = np.empty(n, np.uint8)
+    before[0], before[1:] = _EDGE, kind[:-1]
+    before[bounds[:-1][bounds[:-1] < n]] = _EDGE
+    space = kind == _SPACE
+    start = space & (before != _SPACE)
+    turn = np.flatnonzero(~space & (kind != before))
+    after_space = before[turn] == _SPACE
+    start[turn[after_space] - 1] = True  # the last white space of a run stands apart, or joins what follows
+    start[turn[~after_space | (code[turn - 1] != 0x20)]] = True
+    quote = np.flatnonzero(start & (code == 0x27))
+    if len(quote):
+        end = bounds[np.searchsorted(bounds, quote, "right")]
+        padded = np.r_[code, np.zeros(3, code.dtype)]
+        a, b = padded[quote + 1], padded[quote + 2]
+        one = (quote + 1 < end) & np.isin(a, [ord(x) for x in "stmd"])
+        two = (quote + 2 < end) & np.logical_or.reduce([(a == ord(x)) & (b == ord(y)) for x, y in ("re", "ve", "ll")])
+        start[quote[one | two] + 1] = False
+        rest = np.where(one, quote + 2, quote + 3)
+        start[rest[(one | two) & (rest < end)]] = True
+    return np.flatnonzero(start)
+
+
 class Pretokens:
-    """Applies a function of distinct pre-tokens to texts.
+    """Values of texts' pre-tokens as flat arrays.
 
-    ``solve`` maps a list of unseen pre-tokens to their values; values are kept in a
-    dictionary that is emptied when it holds more than ``CACHE`` entries.
+    ``solve`` maps a list of distinct pre-tokens to an array of all their values and the
+    number of values of each; ``special`` maps special strings to their one value. Values
+    are kept by hash in sorted arrays, and all are dropped when there are over ``KEPT``.
     """
 
-    def __init__(self, pattern: str, special: list[str], solve: Callable[[list[str]], list], special_value: Callable[[str], object]):
-        self.find = regex.compile(pattern).findall
-        self.special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(special, key=len, reverse=True)) + ")") if special else None
-        self.solve, self.special_value, self.kept = solve, special_value, {}
-
-    def values(self, text: str) -> Iterator[list]:
-        """Values of the text's pre-tokens, in order, piece by piece."""
-        for piece in pieces(text):
-            parts = self.special.split(piece) if self.special is not None else [piece]
-            for i, part in enumerate(parts):
-                if i % 2:
-                    yield [self.special_value(part)]
-                elif part:
-                    found = self.find(part)
-                    kept = self.kept
-                    if new := [x for x in found if x not in kept]:
-                        self.learn(new)
-                        kept = self.kept
-                    yield list(map(kept.__getitem__, found))
-
-    def learn(self, found: list[str]) -> None:
-        new = list(dict.fromkeys(found))
-        kept = self.kept
-        if len(kept) + len(new) > CACHE:
-            kept = self.kept = {}
-        kept.update(zip(new, self.solve(new), strict=True))
-
-    def warm(self, texts: list[str]) -> None:
-        """Solve the unseen pre-tokens of many short texts in one call."""
-        kept, new = self.kept, {}
-        for text in texts:
-            for part in self.special.split(text)[::2] if self.special is not None else [text]:
-                for x in self.find(part):
-                    if x not in kept:
-                        new[x] = None
-        if new:
-            self.learn(list(new))
+    def __init__(self, special: dict[str, int], solve: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.solve = solve
+        self.special = special
+        self.find_special = regex.compile("|".join(regex.escape(x) for x in sorted(special, key=len, reverse=True))).finditer if special else None
+        self.forget()
+
+    def forget(self) -> None:
+        self.hash, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.int64), 0
+
+    def _keep(self, h: np.ndarray, tokens: list[str]) -> None:
+        values, size = self.solve(tokens)
+        while self.used + len(values) > len(self.pool):
+            self.pool = np.r_[self.pool, np.zeros_like(self.pool)]
+        self.pool = self.pool.astype(values.dtype, copy=False)
+        self.pool[self.used : self.used + len(values)] = values
+        place = np.searchsorted(self.hash, h)
+        self.hash = np.insert(self.hash, place, h)
+        self.at = np.insert(self.at, place, self.used + np.cumsum(size) - size)
+        self.size = np.insert(self.size, place, size)
+        self.used += len(values)
+
+    def chunks(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(lo, hi, values, bounds) over a string column: the values of rows lo to hi and where each row's begin.
+
+        A row longer than a chunk comes as several chunks with the same lo and hi = lo + 1,
+        of which the earlier ones have one bound only.
+        """
+        data, offsets = utf8(column)
+        for lo, hi in chunked(offsets):
+            raw = data[offsets[lo] : offsets[hi]]
+            if len(raw) > 2 * CHUNK and hi == lo + 1:
+                for piece in pieces(raw.tobytes().decode()):
+                    values, bounds = self._values(piece, np.array([0, len(piece)]))
+                    yield lo, hi, values, bounds[:1]
+                yield lo, hi, np.zeros(0, np.int64), np.zeros(2, np.int64)
+            else:
+                place = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)][offsets[lo : hi + 1] - offsets[lo]]
+                yield lo, hi, *self._values(raw.tobytes().decode(), place)
+
+    def _values(self, text: str, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        spans = [m.span() for m in self.find_special(text)] if self.find_special is not None and any(x in text for x in self.special) else []
+        spans = [(a, b) for a, b in spans if np.searchsorted(rows, a, "right") == np.searchsorted(rows, b - 1, "right")]
+        bounds = np.unique(np.r_[rows, np.array(spans, np.int64).ravel()])
+        start = starts(code, bounds)
+        end = np.r_[start[1:], len(code)] if len(start) else start
+        inner = np.ones(len(start), bool)
+        for a, b in spans:
+            x, y = np.searchsorted(start, (a, b))
+            inner[x + 1 : y], end[x] = False, b
+        start, end = start[inner], end[inner]
+        h = hashes(code, start, end)
+        known, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.hash) > KEPT:
+            self.forget()
+        at = np.searchsorted(self.hash, known)
+        new = np.ones(len(known), bool)
+        inside = at < len(self.hash)
+        new[inside] = self.hash[at[inside]] != known[inside]
+        if new.any():
+            f = first[new]
+            self._keep(known[new], [text[a:b] for a, b in zip(start[f].tolist(), end[f].tolist(), strict=True)])
+            at = np.searchsorted(self.hash, known)
+        own = at[inverse]
+        size, place = self.size[own], self.at[own]
+        if spans:  # a special string's hash may be that of the same ordinary text
+            x = np.searchsorted(start, [a for a, _ in spans])
+            size[x] = 1
+        total = np.r_[0, np.cumsum(size)]
+        values = self.pool[np.repeat(place - total[:-1], size) + np.arange(total[-1])]
+        for a, b in spans:
+            values[total[np.searchsorted(start, a)]] = self.special[text[a:b]]
+        return values, total[np.searchsorted(start, rows)]

@@ -157,10 +157,11 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool
     end = np.flatnonzero(inside & ~after) + 1
     first = np.searchsorted(start, offsets)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    return Words(data, start, end, row, _hashes(data, start, end), first)
+    return Words(data, start, end, row, hashes(data, start, end), first)
 
 
-def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each stretch of small integers; stretches are in order and don't overlap."""
     out = np.empty(len(start), np.uint64)
     lo = 0
     while lo < len(start):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from .frames import mapped
 from .pretokens import Pretokens
-from .textops import chunked, utf8
+from .textops import utf8
 
 _NONE = np.int64(1) << 40
 
@@ -105,28 +105,30 @@ class MergeTable:
 
 
 @lru_cache(maxsize=2)
-def _counter(path: str, pattern: str) -> Pretokens:
+def _counter(path: str) -> Pretokens:
     table = MergeTable(path)
-    return Pretokens(pattern, table.special, table.count, lambda _: 1)
 
+    def solve(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return np.array(table.count(tokens), np.int64), np.ones(len(tokens), np.int64)
 
-def token_counts(docs: DataFrame, path: str, pattern: str, limit: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    return Pretokens(dict.fromkeys(table.special, 1), solve)
+
+
+def token_counts(docs: DataFrame, path: str, limit: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row.
 
     One narrow pass: nothing is shuffled, a worker holds one batch and its bounded cache.
     """
 
     def run(batch: pa.RecordBatch):
-        counter = _counter(path, pattern)
         column = batch.column(1)
         _, offsets = utf8(column)
         n = np.zeros(batch.num_rows, np.int64)
-        for lo, hi in chunked(offsets):
-            texts = column.slice(lo, hi - lo).to_pylist()
-            counter.warm([t for t in texts if t and len(t) < 1 << 16])
-            for i, t in enumerate(texts):
-                if t:
-                    n[lo + i] = sum(sum(v) for v in counter.values(t))
+        for lo, hi, values, bounds in _counter(path).chunks(column):
+            if len(bounds) == 1:  # part of a long text
+                n[lo] += values.sum()
+            else:
+                n[lo:hi] += np.diff(np.r_[0, np.cumsum(values)][bounds])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(n), pc.greater(pa.array(n), limit)], ["key", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[key].dataType.simpleString()

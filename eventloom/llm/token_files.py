@@ -17,6 +17,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .frames import cut, partitions
 from .pretokens import Pretokens
-from .textops import chunked, utf8
+from .token_counts import byte_symbols
 
 MAGIC = b"EVLMTOK1"
 #: Ids after which a task begins another file.
@@ -129,20 +130,19 @@ class Shard:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str, width: int) -> Pretokens:
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+def _encoder(path: str) -> Pretokens:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    kind = f"<u{width}"
+    tokenize = t.model.tokenize
+    stand_in = str.maketrans(dict(enumerate(byte_symbols())))
 
-    def solve(new: list[str]) -> list[bytes]:
-        return [np.array(e.ids, kind).tobytes() for e in t.encode_batch_fast(new, add_special_tokens=False)]
+    def solve(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens by the library's model, which reads bytes as their stand-ins."""
+        ids = [[x.id for x in tokenize(p.encode().decode("latin-1").translate(stand_in))] for p in tokens]
+        return np.array(list(chain.from_iterable(ids)), np.uint32), np.array(list(map(len, ids)), np.int64)
 
-    special = [x.content for x in t.get_added_tokens_decoder().values()]
-    return Pretokens(pattern, special, solve, lambda s: np.array([t.token_to_id(s)], kind).tobytes())
+    return Pretokens({x.content: i for i, x in t.get_added_tokens_decoder().items()}, solve)
 
 
 def id_width(path: str) -> int:
@@ -157,11 +157,10 @@ def _open(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def write_shards(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int, text: str = "text", key: str = "doc_id", shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, text: str = "text", key: str = "doc_id", shard_ids: int = SHARD_IDS) -> DataFrame:
     """Write all documents' ids to ``folder`` and return the manifest: one row a file.
 
-    Pre-tokens are cut by ``pattern``, the vocabulary's own split, and each distinct one is
-    encoded once by the tokenizers library. A range partitioning by id puts the files in
+    Each distinct pre-token is encoded once by the tokenizers library. A range partitioning by id puts the files in
     order; only it is a shuffle. The manifest has file, n_docs, n_ids and start, the ids
     in all files before it.
     """
@@ -169,8 +168,8 @@ def write_shards(docs: DataFrame, folder: str, path: str, pattern: str, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = _open(folder)
-        encoder = _encoder(path, pattern, width)
-        end = np.array([end_id], f"<u{width}").tobytes()
+        encoder, kind = _encoder(path), f"<u{width}"
+        end, begun = np.array([end_id], kind).tobytes(), []
         shard, part, count = TaskContext.get().partitionId(), 0, 0
         keys, lengths, ids = [], [], []
 
@@ -184,16 +183,17 @@ def write_shards(docs: DataFrame, folder: str, path: str, pattern: str, end_id:
             return pa.RecordBatch.from_pydict({"shard": [shard], "part": [part], "file": [f"shard-{shard:06d}-{part:04d}.tok"], "n_docs": [len(keys)], "n_ids": [sum(lengths)]})
 
         for batch in batches:
-            column = batch.column(1)
-            _, offsets = utf8(column)
-            for lo, hi in chunked(offsets):
-                texts = column.slice(lo, hi - lo).to_pylist()
-                encoder.warm([t for t in texts if t and len(t) < 1 << 16])
-                for k, t in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), texts, strict=True):
-                    raw = b"".join([b"".join(v) for v in encoder.values(t or "")]) + end
+            for lo, hi, values, bounds in encoder.chunks(batch.column(1)):
+                raw, bounds = values.astype(kind).tobytes(), (bounds * width).tolist()
+                if len(bounds) == 1:  # part of a long text
+                    begun.append(raw)
+                    continue
+                for k, a, b in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), bounds[:-1], bounds[1:], strict=True):
+                    own = b"".join([*begun, raw[a:b], end])
+                    begun.clear()
                     keys.append(k)
-                    lengths.append(len(raw) // width)
-                    ids.append(raw)
+                    lengths.append(len(own) // width)
+                    ids.append(own)
                     count += lengths[-1]
                     if count >= shard_ids:
                         yield flush()
