@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontaminate, language_id, secret_scan, set_sketch, substring_dedup, token_counts, token_files, toxicity
+from . import bpe_codec, decontaminate, embedding_dedup, language_id, secret_scan, set_sketch, substring_dedup, token_counts, token_files, toxicity
 from .frames import fresh_path, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -24,6 +24,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=20))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -81,6 +85,21 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), ok AS (
+  SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v
+  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) >= 0.95
+), reach(node, to_) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT node, b FROM reach JOIN link ON to_ = a
+)
+SELECT v.vec_id, CAST((SELECT count(*) FROM link WHERE a = v.vec_id) AS BIGINT) AS n_links, min(to_) AS component_id, v.vec_id = min(to_) AS kept
+FROM v JOIN reach ON v.vec_id = node GROUP BY v.vec_id
+"""
+
 OP5_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -123,8 +142,8 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op4_language_id, op5_set_sketch, op6_toxicity, op7_token_counts, op8_bpe_codec, op9_secret_scan, op10_token_files)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_embedding_dedup, op4_language_id, op5_set_sketch, op6_toxicity, op7_token_counts, op8_bpe_codec, op9_secret_scan, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op5_set_sketch": OP5_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op5_set_sketch": OP5_SQL}
