@@ -112,23 +112,26 @@ def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Ite
         yield [(r.i, r.t) for r in part.collect()], b == n - 1
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """key, n_words, n_hit and items (sorted ids as strings) of every document row."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, n_words, n_hit, items (sorted ids as strings) and the columns in ``keep`` of every document row."""
     spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.lit(None).cast("binary").alias("hit"), F.expr("cast(array() as array<string>)").alias("items"))
+    own = {"key": key, **{f"kept_{c}": c for c in keep}}
+    kinds = {name: docs.schema[c].dataType.simpleString() for name, c in own.items()}
+    out = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.lit(None).cast("binary").alias("hit"), F.expr("cast(array() as array<string>)").alias("items"), *[docs[c].alias(f"kept_{c}") for c in keep])
     for block, last in _blocks(benchmark, item, item_text, block_bytes):
         index = spark.sparkContext.broadcast(Index(block, length))
-        out = _pass(out, index, kind, last)
+        out = _pass(out, index, kinds, last)
         if not last:
             out = cut(out)
             index.unpersist()
-    return out.withColumnRenamed("key", key)
+    return out.select(*([] if key in keep else [F.col("key").alias(key)]), "n_words", "n_hit", "items", *[F.col(f"kept_{c}").alias(c) for c in keep])
 
 
-def _pass(docs: DataFrame, shared: Broadcast, kind: str, last: bool) -> DataFrame:
+def _pass(docs: DataFrame, shared: Broadcast, kinds: dict[str, str], last: bool) -> DataFrame:
     """Adds one block's hits to those carried; the last pass returns counts instead of texts."""
 
+    extra = [c for c in kinds if c != "key"]
+
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         index = shared.value
         texts = batch.column(1)
@@ -144,18 +147,18 @@ def _pass(docs: DataFrame, shared: Broadcast, kind: str, last: bool) -> DataFram
                 if raw is not None:
                     own = slice(w.first[r], w.first[r + 1])
                     mask[own] |= np.unpackbits(np.frombuffer(raw, np.uint8), count=w.first[r + 1] - w.first[r]).astype(bool)
+            more = [c.slice(lo, hi - lo) for c in batch.columns[4:]]
             count = np.diff(w.first)
             keys, item_lists = batch.column(0).slice(lo, hi - lo), pa.array(items, pa.list_(pa.string()))
             if last:
                 n_hit = np.diff(np.r_[0, np.cumsum(mask)][w.first])
-                yield pa.RecordBatch.from_arrays([keys, pa.array(count), pa.array(n_hit, pa.int64()), item_lists], ["key", "n_words", "n_hit", "items"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(count), pa.array(n_hit, pa.int64()), item_lists, *more], ["key", "n_words", "n_hit", "items", *extra])
             else:
                 bits = [np.packbits(mask[a:b]).tobytes() if mask[a:b].any() else None for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([keys, texts.slice(lo, hi - lo), pa.array(bits, pa.binary()), item_lists], ["key", "text", "hit", "items"])
+                yield pa.RecordBatch.from_arrays([keys, texts.slice(lo, hi - lo), pa.array(bits, pa.binary()), item_lists, *more], ["key", "text", "hit", "items", *extra])
 
-    if last:
-        return mapped(docs, run, f"key {kind}, n_words long, n_hit long, items array<string>")
-    return mapped(docs, run, f"key {kind}, text string, hit binary, items array<string>")
+    middle = "n_words long, n_hit long, items array<string>" if last else "text string, hit binary, items array<string>"
+    return mapped(docs, run, ", ".join([f"key {kinds['key']}", middle, *(f"`{c}` {kinds[c]}" for c in extra)]))
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:

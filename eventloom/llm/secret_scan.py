@@ -126,7 +126,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[s
         found = f"array_sort(concat(transform(base, b -> named_struct('start', b.start, 'kind', b.kind, 'end', b.end)), {random}))"
     else:
         found = "array_sort(transform(base, b -> named_struct('start', b.start, 'kind', b.kind, 'end', b.end)))"
-    return rows.select(F.col("key").alias(key), *[F.col(f"kept_{c}").alias(c) for c in keep], F.expr(found).alias("found"))
+    return rows.select(*([] if key in keep else [F.col("key").alias(key)]), *[F.col(f"kept_{c}").alias(c) for c in keep], F.expr(found).alias("found"))
 
 
 def _listed(found: str) -> Column:

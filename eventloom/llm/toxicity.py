@@ -177,8 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int, key:
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, train: Column | None = None, per_class: int = 8000, key: str = "doc_id", text: str = "text", toxic: str = "toxic") -> DataFrame:
-    """key, held_out, score, predicted, n_passages and evidence of every row."""
+def score(docs: DataFrame, labels: DataFrame, train: Column | None = None, per_class: int = 8000, key: str = "doc_id", text: str = "text", toxic: str = "toxic", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, held_out, score, predicted, n_passages, evidence and the columns in ``keep`` of every row."""
     train = crc_mod(key, 5) != 0 if train is None else train
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, train, per_class, key, text, toxic))
 
@@ -192,10 +192,12 @@ def score(docs: DataFrame, labels: DataFrame, train: Column | None = None, per_c
                 evidence, found = m.evidence(w)
                 n, value = [len(f) for f in found], m.score(evidence)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(value), pa.array((value >= 0.5).astype(np.int32)), pa.array(n, pa.int64()), pa.array(evidence)],
-                ["key", "held_out", "score", "predicted", "n_passages", "evidence"],
+                [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(value), pa.array((value >= 0.5).astype(np.int32)), pa.array(n, pa.int64()), pa.array(evidence), *(c.slice(lo, hi - lo) for c in batch.columns[3:])],
+                ["key", "held_out", "score", "predicted", "n_passages", "evidence", *(f"kept_{c}" for c in keep)],
             )
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), (~train).alias("held_out"), F.col(text).alias("text"))
-    return mapped(rows, run, f"key {kind}, held_out boolean, score double, predicted int, n_passages long, evidence double").withColumnRenamed("key", key)
+    own = [("key", key), *((f"kept_{c}", c) for c in keep)]
+    kinds = [f"`{name}` {docs.schema[c].dataType.simpleString()}" for name, c in own]
+    rows = docs.select(F.col(key).alias("key"), (~train).alias("held_out"), F.col(text).alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+    out = mapped(rows, run, ", ".join([kinds[0], "held_out boolean, score double, predicted int, n_passages long, evidence double", *kinds[1:]]))
+    return out.select(*([] if key in keep else [F.col("key").alias(key)]), "held_out", "score", "predicted", "n_passages", "evidence", *[F.col(f"kept_{c}").alias(c) for c in keep])
