@@ -12,9 +12,11 @@ one representative, so copies are never paired; (2) bands of registers are keys,
 key's documents are paired with its least document only; (3) pairs are estimated jointly
 by maximum likelihood from sizes and register order, and those within reach of the
 threshold are confirmed on full sets, which a second scan rebuilds just for the documents
-that a Bloom filter of fixed size lets pass; (4) components of confirmed links; (5) keys
-that still hold several components have the pairs across components compared, in cells of
-bounded size, and confirmed likewise, so that no link of a candidate pair is lost.
+that a Bloom filter of fixed size lets pass; (4) components of confirmed links; (5) where
+documents that candidate pairs connect still fall into several components, full sets are
+compared across components in cells of bounded size, by products of membership matrices
+inside tasks, so that no link of documents with a common key is lost and no pairs are
+emitted but new links.
 
 With 40 bands of 5 registers a pair at similarity 0.8 shares no key with probability
 (1 - 0.8**5)**40, about 1e-7; the estimate may fall 5 standard errors short.
@@ -42,8 +44,8 @@ BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
 #: Base of the registers' exponential spacing, rate of the draws, greatest register value.
 BASE, RATE, TOP = 1.001, 20.0, 65535
-#: Rows of a key compared in one cell.
-CELL = 512
+#: Documents in a slice; a cell compares two slices. Columns of a membership matrix at once.
+CELL, COLUMNS = 256, 4096
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _ALL = (1 << 64) - 1
 _LEAST = np.iinfo(np.int64).min
@@ -143,11 +145,11 @@ def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 def _banded(reps: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raw, _ = utf8(batch.column(2))
+        raw, _ = utf8(batch.column(1))
         keys = band_keys(raw.view("<u2").reshape(-1, REGISTERS))
-        return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.repeat(batch.column(1).to_numpy(), BANDS))], ["key", "id", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "id"])
 
-    return mapped(reps.select("id", "n", "sketch"), run, "key long, id long, n long")
+    return mapped(reps.select("id", "sketch"), run, "key long, id long")
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, share: int) -> DataFrame:
@@ -164,10 +166,9 @@ def _likely(pairs: DataFrame, reps: DataFrame, share: int) -> DataFrame:
     return mapped(joined, run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, base: DataFrame, shingle: int, share: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold; sets are rebuilt for the documents of pairs only."""
-    spark = pairs.sparkSession
-    bits = spark.sparkContext.broadcast(bloom(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id"))
+def _full_sets(ids: DataFrame, base: DataFrame, shingle: int) -> DataFrame:
+    """id and packed full set, for the documents that a Bloom filter over ids lets pass."""
+    bits = ids.sparkSession.sparkContext.broadcast(bloom(ids, "id"))
 
     def build(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         batch = batch.filter(pa.array(may_hold(bits.value, batch.column(0).to_numpy())))
@@ -178,21 +179,90 @@ def _confirmed(pairs: DataFrame, base: DataFrame, shingle: int, share: int) -> D
             blobs = [planes(np.diff(short[a:b], prepend=np.uint64(0)), _SET_BYTES) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(blobs, pa.binary())], ["id", "elements"])
 
-    full = mapped(base, build, "id long, elements binary")
+    return mapped(base, build, "id long, elements binary")
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(raw, len(raw) // _SET_BYTES, _SET_BYTES))
+
+
+def _confirmed(pairs: DataFrame, base: DataFrame, shingle: int, share: int) -> DataFrame:
+    """Pairs whose full sets reach the threshold; sets are rebuilt for the documents of pairs only."""
+    full = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), base, shingle)
     joined = pairs.join(full.select(F.col("id").alias("a"), F.col("elements").alias("ea")), "a").join(full.select(F.col("id").alias("b"), F.col("elements").alias("eb")), "b")
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
         ok = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            nx, ny = len(x) // _SET_BYTES, len(y) // _SET_BYTES
-            s = np.sort(np.r_[np.cumsum(unplanes(x, nx, _SET_BYTES)), np.cumsum(unplanes(y, ny, _SET_BYTES))])
+            x, y = _unpacked(x), _unpacked(y)
+            s = np.sort(np.r_[x, y])
             both = int((s[1:] == s[:-1]).sum())
-            ok.append(100 * both >= share * (nx + ny - both))
+            ok.append(100 * both >= share * (len(x) + len(y) - both))
         return pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     return mapped(joined.select("a", "b", "ea", "eb"), check, "a long, b long")
 
 
+def _cell_links(ids: np.ndarray, own: np.ndarray, full: list[np.ndarray], share: int) -> np.ndarray:
+    """Links across components among a cell's documents: a spanning forest of them."""
+    n = np.array([len(x) for x in full], np.int64)
+    vocabulary, place = np.unique(np.concatenate(full), return_inverse=True)
+    row = np.repeat(np.arange(len(full)), n)
+    order = np.argsort(place, kind="stable")
+    place, row = place[order], row[order]
+    both = np.zeros((len(full), len(full)), np.float32)
+    for lo in range(0, len(vocabulary), COLUMNS):
+        a, b = np.searchsorted(place, (lo, lo + COLUMNS))
+        m = np.zeros((len(full), COLUMNS), np.float32)
+        m[row[a:b], place[a:b] - lo] = 1
+        both += m @ m.T
+    p, q = np.nonzero(np.triu(100 * both >= share * (n[:, None] + n[None, :] - both), 1) & (own[:, None] != own[None, :]))
+    root = {c: c for c in own.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    for x, y in zip(p.tolist(), q.tolist(), strict=True):
+        u, v = find(int(own[x])), find(int(own[y]))
+        if u != v:
+            root[max(u, v)] = min(u, v)
+            out.append((ids[x], ids[y]))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _across(placed: DataFrame, base: DataFrame, shingle: int, share: int) -> DataFrame:
+    """Links across components (c) among the documents (id) of each family, by full sets."""
+    spark = placed.sparkSession
+    mixed = placed.groupBy("family").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 < c1").select("family", F.ceil(F.col("size") / CELL).cast("int").alias("k"))
+    members = cut(placed.join(mixed, "family").withColumn("s", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")))
+    full = members.join(_full_sets(members.select("id").distinct(), base, shingle), "id")
+    cells = full.select("family", "id", "c", "s", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("t"), "elements").select("family", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), "id", "c", "elements")
+    dealt = cells.repartition(partitions(spark), "family", "i", "j").sortWithinPartitions("family", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, rows = None, []
+
+        def close():
+            own = np.array([c for _, c, _ in rows], np.int64)
+            if len(rows) > 1 and (own != own[0]).any():
+                got = _cell_links(np.array([i for i, _, _ in rows], np.int64), own, [_unpacked(e) for _, _, e in rows], share)
+                if len(got):
+                    yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            for *at, i, c, e in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if at != cell:
+                    yield from close()
+                    cell, rows = at, []
+                rows.append((i, c, e))
+        yield from close()
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 2, share: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id of every row.
 
@@ -206,55 +276,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, share: int = 80, key: str
     copies = copies.select(F.col("rep").alias("a"), F.col("id").alias("b"))
     banded = _banded(reps)
     leaders = banded.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
-    crowded = cut(banded.join(leaders, "key").select("key", "a", "id", "n"))
-    links = copies
-    pairs = crowded.where("a < id").select("a", F.col("id").alias("b")).distinct()
-    links = cut(links.union(_confirmed(cut(_likely(pairs, reps, share)), base, shingle, share)))
+    pairs = cut(banded.join(leaders, "key").where("a < id").select("a", F.col("id").alias("b")).distinct())
+    links = cut(copies.union(_confirmed(cut(_likely(pairs, reps, share)), base, shingle, share)))
     found = cut(components(links))
-    # keys that still hold several components
-    placed = crowded.join(found, crowded["id"] == found["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 < c1").select("key", "size")
-    across = cut(_likely(_across(placed.join(mixed, "key"), share), reps, share).join(pairs, ["a", "b"], "left_anti"))
-    if across.take(1):
-        links = links.union(_confirmed(across, base, shingle, share))
-        found = cut(components(links))
+    families = cut(components(pairs)).select("node", F.col("component").alias("family"))
+    placed = families.join(found, "node", "left").select("family", F.col("node").alias("id"), F.coalesce("component", "node").alias("c"))
+    more = cut(_across(placed, base, shingle, share))
+    if more.take(1):
+        found = cut(components(links.union(more)))
     out = rows.select("id", "n").join(found, rows["id"] == found["node"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     real = lambda c: F.when(F.col(c) != _LEAST, F.col(c))
     return out.select(real("id").alias(key), "n_shingles", real("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
 
-
-def _across(placed: DataFrame, share: int) -> DataFrame:
-    """Distinct pairs of one key, of different components and of sizes that allow a link.
-
-    A key's rows are dealt to cells of pairs of slices, so a cell has bounded size.
-    """
-    slices = F.ceil(F.col("size") / CELL).cast("int")
-    sliced = placed.withColumn("k", slices).withColumn("s", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    cells = sliced.select("key", "id", "n", "c", "s", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("t")).select("key", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), "id", "n", "c")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[c.to_numpy() for c in batch.columns] for batch in batches]
-        if not got:
-            return
-        key, i, j, ids, n, c = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((ids, j, i, key))
-        key, i, j, ids, n, c = (x[order] for x in (key, i, j, ids, n, c))
-        edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
-        held: list[np.ndarray] = []
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            x, size, own = ids[a:b], n[a:b], c[a:b]
-            p, q = np.triu_indices(b - a, 1)
-            ok = (own[p] != own[q]) & (np.minimum(size[p], size[q]) * 100 >= np.maximum(size[p], size[q]) * share)
-            held.append(np.stack([x[p[ok]], x[q[ok]]], axis=1))
-            if sum(map(len, held)) > 1 << 18:
-                yield _pairs(held)
-                held = []
-        if held:
-            yield _pairs(held)
-
-    return cells.repartition(partitions(placed.sparkSession), "key", "i", "j").mapInArrow(run, "a long, b long").distinct()
-
-
-def _pairs(held: list[np.ndarray]) -> pa.RecordBatch:
-    got = np.unique(np.concatenate(held), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
