@@ -2,7 +2,7 @@
 
 Training counts, for each word, the labelled texts of either class that hold it. The word's
 log-odds get a Dirichlet prior in proportion to the word's overall frequency; words whose
-log-odds exceed ``Z`` standard errors keep them as their score, and every word pays a small
+log-odds exceed ``FLOOR`` and ``Z`` standard errors keep them as their score, and every word pays a small
 ``DRIFT``, so that scores fall on average. A linear scan finds all maximal-scoring segments
 (each positive word and gap is looked at once, but for merges). A segment of score s among
 n words has extreme-value significance E = K n exp(-lambda s), with lambda from the
@@ -32,8 +32,9 @@ from .textops import ALNUM, Words, chunked, utf8, words
 
 #: Weight of the prior, as a share of all counts.
 PRIOR = 0.1
-#: Standard errors over which log-odds count.
-Z = 3.0
+#: Log-odds count from so many standard errors and this value on; words that are merely
+#: a little commoner in the toxic rows, as a whole language may be, count nothing.
+Z, FLOOR = 2.5, 1.5
 DRIFT = 0.02
 #: Extreme-value constant and greatest E of a passage.
 K, ALPHA = 0.1, 1.0
@@ -162,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int, key:
         return F.log((F.col(c) + prior) / (F.lit(n + total) - F.col(c) - prior))
 
     scored = counts.select("h", "c0", (log_odds("c1", n1) - log_odds("c0", n0)).alias("d"), F.sqrt(1 / (F.col("c1") + prior) + 1 / (F.col("c0") + prior)).alias("e"))
-    kept = scored.where((F.col("d") > 0) & (F.col("d") > Z * F.col("e"))).select("h", "c0", "d").toArrow()
+    kept = scored.where((F.col("d") > FLOOR) & (F.col("d") > Z * F.col("e"))).select("h", "c0", "d").toArrow()
     model = Model(kept.column(0).to_numpy().view(np.uint64), kept.column(2).to_numpy(), (kept.column(1).to_numpy() + 0.5) / (n0 + 1.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
