@@ -32,3 +32,15 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["group_mean_se"](spark, sf_dir)
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from importlib import import_module
+
+    for name in MODULES:
+        import_module(f"eventloom.plans.{name}")
+
+
+MODULES = ["interval_queries", "peri_queries"]
+load()
