@@ -154,13 +154,13 @@ def xcorr(spark, sf):
     return x.join(y, F.col("k") == F.col("h") + F.col("lag"), "left").groupBy("lag").agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0)).cast("long").alias("product"))
 
 
-@query(f"""WITH {EV}, s AS (SELECT user_id AS channel, t // {HOUR} AS sample, avg(value) AS value FROM ev WHERE user_id < 4 GROUP BY 1, 2), g AS (SELECT event_id AS trigger, t AS e FROM ev WHERE event_type = 'signup'),
+@query(f"""WITH {EV}, s AS (SELECT user_id % 40 AS channel, t // {HOUR} AS sample, avg(value) AS value FROM ev GROUP BY 1, 2), g AS (SELECT event_id AS trigger, t AS e FROM ev WHERE event_type = 'signup'),
 w AS (SELECT trigger, channel, sample - CAST(round(e / {HOUR}.0) AS BIGINT) AS bin, value FROM g JOIN s ON sample BETWEEN CAST(round(e / {HOUR}.0) AS BIGINT) - 1 AND CAST(round(e / {HOUR}.0) AS BIGINT) + 1)
 SELECT trigger, channel, bin, round(value, 6) AS value FROM w QUALIFY count(*) OVER (PARTITION BY trigger, channel) = 3""")
 def trig_lfp(spark, sf):
     """Windows of three hourly samples of a signal; incomplete ones go."""
     ev = events(spark, sf)
-    samples = ev.where("user_id < 4").groupBy(F.col("user_id").alias("channel"), F.expr(f"t div {HOUR}L").alias("sample")).agg(F.avg("value").alias("value"))
+    samples = ev.groupBy((F.col("user_id") % 40).alias("channel"), F.expr(f"t div {HOUR}L").alias("sample")).agg(F.avg("value").alias("value"))
     g = ev.where("event_type = 'signup'").select(F.col("event_id").alias("trigger"), F.col("t").alias("e"))
     return peri.cut_windows(samples, g, 1e6 / HOUR, -1, 1).select("trigger", "channel", "bin", F.round("value", 6).alias("value"))
 
