@@ -22,13 +22,14 @@ WINDOW = 10
 
 def _rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Documents whose id is among ids; null ids match."""
-    return docs.join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    wanted = ids.select(F.col("doc_id").alias("__kept_id"))
+    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__kept_id"]), "left_semi")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the segment search doesn't predict toxic."""
     scored = toxicity.score(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
-    return scored.where("predicted = 0").select(*docs.columns)
+    return scored.where("predicted = 0").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,15 +41,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window."""
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), length=WINDOW, keep=tuple(docs.columns))
-    return found.where("n_hit = 0").select(*docs.columns)
+    return found.where("n_hit = 0").select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each secret's span replaced by a mask and n_chars set anew."""
     found = secret_scan.scan(docs, keep=tuple(docs.columns))
-    clean = secret_scan.redact("text", "found")
-    text = F.when(F.col("text").isNotNull(), clean)
-    return found.select(*[text.alias(c) if c == "text" else F.when(F.size("found") > 0, F.length(clean).cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    clean = secret_scan.redact("row.text", "found")
+    changed = {"text": F.when(F.col("row.text").isNotNull(), clean), "n_chars": F.when(F.size("found") > 0, F.length(clean).cast("long")).otherwise(F.col("row.n_chars"))}
+    return found.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

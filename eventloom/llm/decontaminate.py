@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut, mapped
+from .frames import as_row, cut, mapped
 from .textops import ALNUM, Words, chunked, utf8, words
 
 #: Words of a gram; shorter windows are grams of their own length.
@@ -113,18 +113,18 @@ def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Ite
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, n_words, n_hit, items (sorted ids as strings) and the columns in ``keep`` of every document row."""
+    """key, n_words, n_hit, items (sorted ids as strings) and, of the columns in ``keep``, a struct ``row`` of every document row."""
     spark = docs.sparkSession
-    own = {"key": key, **{f"kept_{c}": c for c in keep}}
+    own = {"key": key, **{f"kept_{i}": c for i, c in enumerate(keep)}}
     kinds = {name: docs.schema[c].dataType.simpleString() for name, c in own.items()}
-    out = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.lit(None).cast("binary").alias("hit"), F.expr("cast(array() as array<string>)").alias("items"), *[docs[c].alias(f"kept_{c}") for c in keep])
+    out = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.lit(None).cast("binary").alias("hit"), F.expr("cast(array() as array<string>)").alias("items"), *[docs[f"`{c}`"].alias(f"kept_{i}") for i, c in enumerate(keep)])
     for block, last in _blocks(benchmark, item, item_text, block_bytes):
         index = spark.sparkContext.broadcast(Index(block, length))
         out = _pass(out, index, kinds, last)
         if not last:
             out = cut(out)
             index.unpersist()
-    return out.select(*([] if key in keep else [F.col("key").alias(key)]), "n_words", "n_hit", "items", *[F.col(f"kept_{c}").alias(c) for c in keep])
+    return out.select(F.col("key").alias(key), "n_words", "n_hit", "items", *as_row(keep))
 
 
 def _pass(docs: DataFrame, shared: Broadcast, kinds: dict[str, str], last: bool) -> DataFrame:
@@ -158,7 +158,7 @@ def _pass(docs: DataFrame, shared: Broadcast, kinds: dict[str, str], last: bool)
                 yield pa.RecordBatch.from_arrays([keys, texts.slice(lo, hi - lo), pa.array(bits, pa.binary()), item_lists, *more], ["key", "text", "hit", "items", *extra])
 
     middle = "n_words long, n_hit long, items array<string>" if last else "text string, hit binary, items array<string>"
-    return mapped(docs, run, ", ".join([f"key {kinds['key']}", middle, *(f"`{c}` {kinds[c]}" for c in extra)]))
+    return mapped(docs, run, ", ".join([f"key {kinds['key']}", middle, *(f"{c} {kinds[c]}" for c in extra)]))
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:

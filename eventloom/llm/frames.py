@@ -60,3 +60,8 @@ def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n; null ids count as the text ''."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def as_row(keep: tuple[str, ...]) -> list:
+    """The carried columns kept_0, kept_1, ... under their own names in one struct, where no name can clash."""
+    return [F.struct(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)]).alias("row")] if keep else []

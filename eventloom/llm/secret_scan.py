@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import as_row
+
 #: The base patterns, as Java regular expressions. The lengths of the last two
 #: are part of the pattern, which changes no match, since both take maximal runs.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -37,7 +39,7 @@ CANDIDATE = rf"[A-Za-z0-9+/_-]{{{LEAST},}}"
 TEXTUAL = "^([A-Z]?[a-z]+([-_/+][A-Z]?[a-z]+)*|[A-Z]+([-_/+][A-Z]+)*)$"
 #: Greatest share of false discoveries in a group; groups of fewer textual candidates than
 #: FEW use the fixed mean and deviation.
-RATE, FEW, MEAN, DEVIATION = 0.01, 30, 3.0, 1.0
+RATE, FEW, MEAN, DEVIATION = 0.01, 30, 8.0, 2.0
 #: Bins of -log10 p, per unit and in all.
 FINE, BINS = 10, 300
 
@@ -115,18 +117,18 @@ def thresholds(docs: DataFrame, text: str) -> DataFrame:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, found (array of start, kind, end, in order of start then kind) and the columns in ``keep``."""
+    """key, found (array of start, kind, end, in order of start then kind) and, of the columns in ``keep``, a struct ``row``."""
     limits = {r["unit"]: r["most"] for r in thresholds(docs, text).collect()}  # at most 15 rows
     t = f"coalesce(`{text}`, '')"
     base = f"concat({_spans(t, ASSIGN, 0, 2, 6)}, {_spans(t, ACCESS, 1)}, {_spans(t, HEX, 2)})"
-    rows = docs.select(F.col(key).alias("key"), *[F.col(c).alias(f"kept_{c}") for c in keep], F.expr(base).alias("base"), F.expr(_candidates(t)).alias("more") if limits else F.expr("array()").alias("more"))
+    rows = docs.select(docs[key].alias("key"), *[docs[f"`{c}`"].alias(f"kept_{i}") for i, c in enumerate(keep)], F.expr(base).alias("base"), F.expr(_candidates(t)).alias("more") if limits else F.expr("array()").alias("more"))
     if limits:
         most = "CASE x.test.unit " + " ".join(f"WHEN '{u}' THEN {m}D" for u, m in sorted(limits.items())) + " END"
         random = f"transform(filter(more, x -> round(x.test.t, 2) <= {most} AND NOT x.test.textual AND NOT exists(base, b -> b.start < x.end AND x.start < b.end)), x -> named_struct('start', x.start, 'kind', 3, 'end', x.end))"
         found = f"array_sort(concat(transform(base, b -> named_struct('start', b.start, 'kind', b.kind, 'end', b.end)), {random}))"
     else:
         found = "array_sort(transform(base, b -> named_struct('start', b.start, 'kind', b.kind, 'end', b.end)))"
-    return rows.select(*([] if key in keep else [F.col("key").alias(key)]), *[F.col(f"kept_{c}").alias(c) for c in keep], F.expr(found).alias("found"))
+    return rows.select(F.col("key").alias(key), *as_row(keep), F.expr(found).alias("found"))
 
 
 def _listed(found: str) -> Column:

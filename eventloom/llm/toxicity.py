@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import crc_mod, cut, mapped
+from .frames import as_row, crc_mod, cut, mapped
 from .textops import ALNUM, Words, chunked, utf8, words
 
 #: Weight of the prior, as a share of all counts.
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int, key:
 
 
 def score(docs: DataFrame, labels: DataFrame, train: Column | None = None, per_class: int = 8000, key: str = "doc_id", text: str = "text", toxic: str = "toxic", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, held_out, score, predicted, n_passages, evidence and the columns in ``keep`` of every row."""
+    """key, held_out, score, predicted, n_passages, evidence and, of the columns in ``keep``, a struct ``row``."""
     train = crc_mod(key, 5) != 0 if train is None else train
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, train, per_class, key, text, toxic))
 
@@ -194,11 +194,11 @@ def score(docs: DataFrame, labels: DataFrame, train: Column | None = None, per_c
                 n, value = [len(f) for f in found], m.score(evidence)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(value), pa.array((value >= 0.5).astype(np.int32)), pa.array(n, pa.int64()), pa.array(evidence), *(c.slice(lo, hi - lo) for c in batch.columns[3:])],
-                ["key", "held_out", "score", "predicted", "n_passages", "evidence", *(f"kept_{c}" for c in keep)],
+                ["key", "held_out", "score", "predicted", "n_passages", "evidence", *(f"kept_{i}" for i in range(len(keep)))],
             )
 
-    own = [("key", key), *((f"kept_{c}", c) for c in keep)]
-    kinds = [f"`{name}` {docs.schema[c].dataType.simpleString()}" for name, c in own]
-    rows = docs.select(F.col(key).alias("key"), (~train).alias("held_out"), F.col(text).alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+    own = {"key": key, **{f"kept_{i}": c for i, c in enumerate(keep)}}
+    kinds = [f"{name} {docs.schema[c].dataType.simpleString()}" for name, c in own.items()]
+    rows = docs.select(docs[key].alias("key"), (~train).alias("held_out"), docs[text].alias("text"), *[docs[f"`{c}`"].alias(f"kept_{i}") for i, c in enumerate(keep)])
     out = mapped(rows, run, ", ".join([kinds[0], "held_out boolean, score double, predicted int, n_passages long, evidence double", *kinds[1:]]))
-    return out.select(*([] if key in keep else [F.col("key").alias(key)]), "held_out", "score", "predicted", "n_passages", "evidence", *[F.col(f"kept_{c}").alias(c) for c in keep])
+    return out.select(F.col("key").alias(key), "held_out", "score", "predicted", "n_passages", "evidence", *as_row(keep))
