@@ -159,8 +159,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                             if unknown:
                                 raise ValueError(f"unknown values {sorted(unknown)} of {f.name}")
                             x = np.vectorize(f.names.get, otypes=[object])(x)
-                        kind = {"u1": pa.int16(), "u2": pa.int32(), "u4": pa.int64()}.get(f.kind) if not f.names else pa.string()
-                        columns.append(pa.array(x.tolist(), pa.list_(kind) if kind else None) if f.length > 1 else pa.array(x, kind))
+                        kind = pa.string() if f.names else {"u1": pa.int16(), "u2": pa.int32(), "u4": pa.int64(), "b4": pa.bool_()}.get(f.kind) or pa.from_numpy_dtype(np.dtype(f.kind))
+                        columns.append(pa.array(x.tolist(), pa.list_(kind)) if f.length > 1 else pa.array(x, kind))
                     yield pa.RecordBatch.from_arrays([pa.array([file] * len(part)), *columns], ["file", *(f.name for f in leaves)])
 
     out = T.StructType([T.StructField("file", T.StringType()), *schema.fields])
