@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import numeric
 from eventloom.functions.timing import HOUR
-from eventloom.operators import models, stats
+from eventloom.operators import demixing, models, stats
 from eventloom.plans.interval_queries import EV
 from eventloom.plans.registry import query
 from eventloom.plans.stats_queries import V, vectors
@@ -149,3 +149,26 @@ def dpss_basis(spark, sf):
 @query(f"WITH {EV}, h AS (SELECT user_id % 8 AS cell, t // {HOUR} AS bin, count(*) AS n FROM ev GROUP BY 1, 2) SELECT cell, CAST(count(*) AS BIGINT) AS bins, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY 1")
 def hourly_cells(spark, sf):
     return _hourly(spark, sf).where("n > 0").groupBy("cell").agg(F.count(F.lit(1)).alias("bins"), F.sum("n").cast("long").alias("n"))
+
+
+def _cells(spark, sf, shuffle=False):
+    li = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 20).alias("unit"), "l_returnflag", "l_linestatus", "l_quantity", F.struct("l_orderkey", "l_linenumber").alias("k"))
+    return demixing.held_out(li, "unit", ("l_returnflag", "l_linestatus"), "l_quantity", "k", 5, shuffle)
+
+
+@query()
+def dpca_ridge_search(spark, sf):
+    return demixing.ridge_search(_cells(spark, sf), 2, [1e-7 * 1.5**k for k in range(0, 26, 5)])
+
+
+@query()
+def dpca_significance(spark, sf):
+    return demixing.significant(demixing.accuracy(_cells(spark, sf), 2, 1e-5), demixing.accuracy(_cells(spark, sf, True), 2, 1e-5))
+
+
+@query("""WITH f AS (SELECT o_custkey, o_orderkey, o_orderstatus = 'F' AS f FROM orders), n AS (SELECT *, CASE WHEN lag(f) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <> f THEN 1 ELSE 0 END AS n FROM f), g AS (SELECT *, sum(n) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS g FROM n)
+SELECT o_custkey, o_orderkey, f AND count(*) OVER (PARTITION BY o_custkey, g) >= 3 AS f FROM g""")
+def long_runs(spark, sf):
+    """Flags in runs of at least three orders of a customer."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderstatus") == "F").alias("f"))
+    return demixing.long_runs(o, "f", ["o_custkey"], "o_orderkey", 3)
