@@ -169,8 +169,11 @@ def state_changes(intervals: DataFrame, label: str, on: tuple[str, ...] = (), wi
     e = edges(intervals.select(*on, label, "t0", "t1"), (*on, label))
     held = running_sum(e, {"depth": "d"}, "t", (*on, label), width)
     times = held.select(*on, "t").distinct()
-    labels = held.select(*on, label).distinct()
-    grid = times.join(labels, list(on)) if on else times.crossJoin(F.broadcast(labels))
+    if on:
+        grid = times.join(held.select(*on, label).distinct(), list(on))
+    else:
+        every = held.agg(F.collect_set(label).alias("__l"))  # one row
+        grid = times.crossJoin(F.broadcast(every)).select("t", F.explode("__l").alias(label))
     rows = grid.join(held.select(*on, label, "t", "depth"), [*on, label, "t"], "left")
     w = Window.partitionBy(*on, label).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("depth", F.last("depth", ignorenulls=True).over(w))

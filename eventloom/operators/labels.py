@@ -4,41 +4,56 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.functions.scalar import raised_cosine
-
 
 def one_hot(df: DataFrame, name: str) -> DataFrame:
     """Events as variables: value 1 of var ``name=class``."""
     return df.select("key", "bin", F.concat(F.lit(f"{name}="), F.col(name)).alias("var"), F.lit(1.0).alias("value"))
 
 
-def dirac_basis(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(n).select(F.col("id").alias("basis"), F.col("id").alias("off"), F.lit(1.0).alias("weight"))
+#: A temporal basis: rows of basis number, offset in bins and weight, fixed by its parameters.
+Basis = list[tuple[int, int, float]]
+
+
+def with_basis(df: DataFrame, basis: Basis) -> DataFrame:
+    """Each row with each row of the basis, as a literal array that is unpacked in place."""
+    rows = F.array(*[F.struct(F.lit(k).cast("long").alias("basis"), F.lit(o).cast("long").alias("off"), F.lit(float(w)).alias("weight")) for k, o, w in basis])
+    return df.select("*", F.inline(rows))
+
+
+def dirac_basis(n: int) -> Basis:
+    return [(k, k, 1.0) for k in range(n)]
 
 
-def raised_cosine_basis(spark: SparkSession, bases: int, lo: int, hi: int, spacing: str = "linear", shift: float = 1.0) -> DataFrame:
-    """basis, off and weight of evenly spread bumps over bins lo to hi; log spacing over log(off + shift)."""
+def raised_cosine_basis(bases: int, lo: int, hi: int, spacing: str = "linear", shift: float = 1.0) -> Basis:
+    """Evenly spread bumps (cos(d) + 1) / 2 over bins lo to hi; log spacing over log(off + shift)."""
     f = (lambda x: math.log(x + shift)) if spacing == "log" else float
     a, b = f(lo), f(hi)
     width = (b - a) / (bases - 1) if bases > 1 else 1.0
-    centre = spark.createDataFrame([(k, a + k * width) for k in range(bases)], "basis long, centre double")
-    off = spark.range(lo, hi + 1).withColumnRenamed("id", "off")
-    x = F.log(F.col("off") + F.lit(shift)) if spacing == "log" else F.col("off").cast("double")
-    # bases times bins of the window: a table fixed by the parameters
-    return centre.join(off, F.lit(True)).select("basis", "off", raised_cosine(x, F.col("centre"), width).alias("weight"))
+    d = lambda k, o: (f(o) - a - k * width) * math.pi / (2 * width)
+    return [(k, o, (math.cos(d(k, o)) + 1) / 2 if abs(d(k, o)) < math.pi else 0.0) for k in range(bases) for o in range(lo, hi + 1)]
 
 
-def flip(basis: DataFrame) -> DataFrame:
-    return basis.withColumn("off", -F.col("off"))
+def history_basis(bases: int, lags: int, shortest: float, longest: float) -> Basis:
+    """Unit-norm exponentials with log-spaced time constants."""
+    out: Basis = []
+    for k in range(bases):
+        tau = shortest * (longest / shortest) ** (k / max(bases - 1, 1))
+        w = [math.exp(-j / tau) for j in range(1, lags + 1)]
+        n = math.sqrt(sum(x * x for x in w))
+        out += [(k, j, x / n) for j, x in enumerate(w, 1)]
+    return out
 
 
-def expand(df: DataFrame, basis: DataFrame, lo: int, hi: int) -> DataFrame:
+def flip(basis: Basis) -> Basis:
+    return [(k, -o, w) for k, o, w in basis]
+
+
+def expand(df: DataFrame, basis: Basis, lo: int, hi: int) -> DataFrame:
     """Each variable convolved with each basis column, aligned at offset 0, inside bins lo to hi."""
-    rows = df.join(F.broadcast(basis), F.lit(True))  # the basis is fixed by its parameters
-    out = rows.withColumn("bin", F.col("bin") + F.col("off")).where(F.col("bin").between(lo, hi))
+    out = with_basis(df, basis).withColumn("bin", F.col("bin") + F.col("off")).where(F.col("bin").between(lo, hi))
     return out.groupBy("key", "var", "basis", "bin").agg(F.sum(F.col("value") * F.col("weight")).alias("value")).where("value <> 0")
 
 
@@ -53,25 +68,12 @@ def lagged(df: DataFrame, lags: int, value: str, on: tuple[str, ...], order: str
     return df.select("*", F.lit(1.0).alias("bias"), *[F.lag(value, k, 0.0).over(w).alias(f"{value}_{k}") for k in range(lags)])
 
 
-def history_basis(spark: SparkSession, bases: int, lags: int, shortest: float, longest: float) -> DataFrame:
-    """Unit-norm exponentials with log-spaced time constants."""
-    rows = []
-    for k in range(bases):
-        tau = shortest * (longest / shortest) ** (k / max(bases - 1, 1))
-        w = [math.exp(-j / tau) for j in range(1, lags + 1)]
-        n = math.sqrt(sum(x * x for x in w))
-        rows += [(k, j, x / n) for j, x in enumerate(w, 1)]
-    return spark.createDataFrame(rows, "basis long, off long, weight double")
-
-
 def smooth(df: DataFrame, on: list[str], axes: list[str], value: str, sd: float) -> DataFrame:
     """Gaussian smoothing over integer axes that ignores nulls and renormalises by the valid mass."""
     r = math.ceil(2 * sd)
-    spark = df.sparkSession
-    line = spark.createDataFrame([(k, math.exp(-k * k / (2 * sd * sd))) for k in range(-r, r + 1)], "k long, w double")
+    line = [(0, k, math.exp(-k * k / (2 * sd * sd))) for k in range(-r, r + 1)]
     rows = df.where(F.col(value).isNotNull()).withColumn("__w", F.lit(1.0))
     for axis in axes:
-        rows = rows.join(F.broadcast(line), F.lit(True))  # 2 * r + 1 rows
-        rows = rows.withColumn(axis, F.col(axis) + F.col("k")).withColumn("__w", F.col("__w") * F.col("w")).drop("k", "w")
+        rows = with_basis(rows, line).withColumn(axis, F.col(axis) + F.col("off")).withColumn("__w", F.col("__w") * F.col("weight")).drop("basis", "off", "weight")
     sums = rows.groupBy(*on, *axes).agg((F.sum(F.col("__w") * F.col(value)) / F.sum("__w")).alias(value))
     return df.select(*on, *axes).join(sums, [*on, *axes], "left")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.timing import SECOND, bucket
 from eventloom.operators.intervals import in_intervals
+from eventloom.operators.labels import Basis, with_basis
 
 
 def trig(spikes: DataFrame, triggers: DataFrame, w0: int, w1: int) -> DataFrame:
@@ -72,24 +73,22 @@ def normalised(rates: DataFrame, by: list[str], seconds: float) -> DataFrame:
     """(rate - mean) / sqrt(mean / seconds), the mean over all bins and triggers of ``by``."""
     mean = rates.groupBy(*by).agg(F.avg("rate").alias("__m"))
     z = (F.col("rate") - F.col("__m")) / F.sqrt(F.nullif(F.col("__m"), F.lit(0.0)) / F.lit(seconds))
-    joined = rates.join(F.broadcast(mean), by) if by else rates.crossJoin(F.broadcast(mean))  # one row a group
+    joined = rates.join(mean, by) if by else rates.crossJoin(F.broadcast(mean))  # without keys, one row
     return joined.withColumn("rate", z).drop("__m")
 
 
-def gaussian_kernel(spark, res: int, half: int) -> tuple[DataFrame, int]:
-    """off and weight of a normalised Gaussian on the bins' grid, and the bins of padding."""
+def gaussian_kernel(res: int, half: int) -> tuple[Basis, int]:
+    """A normalised Gaussian on the bins' grid, and the bins of padding."""
     pad = round(3 * half / res)
-    rows = [(k, math.exp(-((k * res) ** 2) / (2 * half**2)) / (math.sqrt(2 * math.pi) * half) * res) for k in range(-pad, pad + 1)]
-    return spark.createDataFrame(rows, "off long, weight double"), pad
+    return [(0, k, math.exp(-((k * res) ** 2) / (2 * half**2)) / (math.sqrt(2 * math.pi) * half) * res) for k in range(-pad, pad + 1)], pad
 
 
 def trig_rate_gaussian(spikes: DataFrame, triggers: DataFrame, res: int, half: int, lo: int, hi: int) -> DataFrame:
     """Rates of bins convolved with a Gaussian of standard deviation ``half``; the grid is padded first."""
-    kernel, pad = gaussian_kernel(spikes.sparkSession, res, half)
+    kernel, pad = gaussian_kernel(res, half)
     found = trig(spikes, triggers.select("trigger", "e"), (lo - pad) * res - res // 2, (hi + pad) * res + res // 2)
     n = binned(found, res, lo - pad, hi + pad, ["trigger"]).withColumnRenamed("bin", "__src")
-    spread = n.join(F.broadcast(kernel), F.lit(True))  # 2 * pad + 1 rows
-    spread = spread.withColumn("bin", F.col("__src") + F.col("off")).where(F.col("bin").between(lo, hi))
+    spread = with_basis(n, kernel).withColumn("bin", F.col("__src") + F.col("off")).where(F.col("bin").between(lo, hi))
     sums = spread.groupBy("trigger", "bin").agg(F.sum(F.col("n") * F.col("weight")).alias("rate"))
     out = grid(triggers.select("trigger"), lo, hi).join(sums, ["trigger", "bin"], "left")
     return out.withColumn("rate", F.coalesce("rate", F.lit(0.0)) / F.lit(res / SECOND))

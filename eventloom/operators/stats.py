@@ -99,7 +99,7 @@ def marginals(df: DataFrame, factors: list[str], value: str) -> DataFrame:
                 for part in combinations(subset, j):
                     lower = cube.where(F.col("g") == code(part)).select(*part, F.col("m").alias("__m"))
                     sign = -1 if (k - j) % 2 else 1
-                    own = own.join(F.broadcast(lower), list(part)) if part else own.crossJoin(F.broadcast(lower))  # cells are few: products of factor levels
+                    own = own.join(lower, list(part)) if part else own.crossJoin(F.broadcast(lower))  # the grand mean is one row
                     own = own.select(*factors, (F.col("effect") + sign * F.col("__m")).alias("effect"))
             out = own if out is None else out.unionByName(own)
     return out
@@ -130,16 +130,15 @@ def bayes_decode(counts: DataFrame, rates: DataFrame, occupancy: DataFrame) -> D
     Ties go to the lowest bin; the maps are tables of units by bins.
     """
     score = counts.join(rates, "unit").groupBy("sample", "bin").agg(F.sum(F.col("r") * F.log("l") - F.col("l")).alias("s"))
-    full = score.join(F.broadcast(occupancy.where("occ > 0")), "bin").withColumn("s", F.round(F.col("s") + F.log("occ"), 9))  # one row a bin
+    full = score.join(occupancy.where("occ > 0"), "bin").withColumn("s", F.round(F.col("s") + F.log("occ"), 9))
     return full.groupBy("sample").agg(F.max_by("bin", F.struct(F.col("s"), -F.col("bin"))).alias("bin"))
 
 
-def nearest_mean(df: DataFrame, unit: str, label: str, fold: str, dim: str, value: str) -> DataFrame:
-    """Class of the nearest class mean of each unit, means made without the unit's own fold."""
+def nearest_mean(df: DataFrame, unit: str, label: str, fold: str, folds: int, dim: str, value: str) -> DataFrame:
+    """Class of the nearest class mean of each unit, means made without the unit's own fold (0 to folds - 1)."""
     part = df.groupBy(fold, label, dim).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     every = part.groupBy(label, dim).agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
-    folds = df.select(fold).distinct()
-    means = every.crossJoin(F.broadcast(folds)).join(part, [fold, label, dim], "left")  # folds are few
+    means = every.withColumn(fold, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(folds - 1).cast("long")))).join(part, [fold, label, dim], "left")
     means = means.select(fold, F.col(label).alias("guess"), dim, ((F.col("all_s") - F.coalesce("s", F.lit(0.0))) / F.nullif(F.col("all_n") - F.coalesce("n", F.lit(0)), F.lit(0))).alias("m"))
     d = df.join(means, [fold, dim]).groupBy(unit, label, "guess").agg(F.sum((F.col(value) - F.col("m")) ** 2).alias("d"))
     return d.groupBy(unit, label).agg(F.min_by("guess", F.struct(F.round("d", 9), "guess")).alias("guess"))
@@ -170,7 +169,7 @@ def balance(df: DataFrame, label: str, key: str, mode: str = "min", seed: int =
     """
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     goal = sizes.agg((F.min if mode == "min" else F.max)("__n").alias("__goal"))
-    rows = df.join(F.broadcast(sizes), label).crossJoin(F.broadcast(goal))  # one row a class, one row
+    rows = df.join(sizes, label).crossJoin(F.broadcast(goal))  # one row
     order = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
     numbered = rows.withColumn("__i", F.row_number().over(order) - 1)
     if mode == "min":

@@ -269,7 +269,7 @@ def label_onehot(spark, sf):
 @query(f"""{_B}, c AS (SELECT k AS basis, k * 8.0 / 3 AS c FROM range(0, 4) t(k)), w AS (SELECT basis, o AS off, CASE WHEN abs((o - c) * pi() / (2 * 8.0 / 3)) < pi() THEN (cos((o - c) * pi() / (2 * 8.0 / 3)) + 1) / 2 ELSE 0 END AS w FROM c, range(0, 9) t(o)),
 e AS (SELECT key, concat('kind=', kind) AS var, basis, bin + off AS bin, sum(w) AS value FROM b, w WHERE bin + off BETWEEN 0 AND 719 GROUP BY ALL) SELECT key, var, basis, bin, round(value, 6) AS value FROM e WHERE round(value, 6) <> 0""")
 def raised_cosine_expand(spark, sf):
-    basis = labels.raised_cosine_basis(spark, 4, 0, 8)
+    basis = labels.raised_cosine_basis(4, 0, 8)
     out = labels.expand(labels.one_hot(_hot(spark, sf), "kind"), basis, 0, 719)
     return out.withColumn("value", F.round("value", 6)).where("value <> 0").select("key", "var", "basis", "bin", "value")
 

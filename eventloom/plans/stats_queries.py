@@ -121,7 +121,7 @@ c AS (SELECT vec_id, label, arg_min(guess, ROW(d, guess)) AS guess FROM d GROUP
 
 
 def _guessed(spark, sf):
-    return stats.nearest_mean(vectors(spark, sf).withColumn("fold", F.col("vec_id") % 5), "vec_id", "label", "fold", "dim", "x")
+    return stats.nearest_mean(vectors(spark, sf).withColumn("fold", F.col("vec_id") % 5), "vec_id", "label", "fold", 5, "dim", "x")
 
 
 @query(f"{_NM} SELECT vec_id, label, guess FROM c")

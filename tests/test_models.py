@@ -121,11 +121,13 @@ def test_scalar_forms(spark):
 
 
 def test_bases_and_scene(spark):
-    b = labels.raised_cosine_basis(spark, 5, 0, 20)
-    inner = b.where("off between 5 and 15").groupBy("off").agg(F.sum("weight").alias("s")).collect()
-    assert all(abs(r.s - 2) < 1e-9 for r in inner)
+    b = labels.raised_cosine_basis(5, 0, 20)
+    assert all(abs(sum(w for _, o, w in b if o == k) - 2) < 1e-9 for k in range(5, 16))
+    h = labels.history_basis(3, 10, 1.0, 5.0)
+    assert all(abs(sum(w * w for k, _, w in h if k == j) - 1) < 1e-9 for j in range(3))
+    assert labels.flip([(0, 2, 1.0)]) == [(0, -2, 1.0)]
     one = spark.createDataFrame([(1, 3, "v", 1.0)], "key long, bin long, var string, value double")
-    assert {(r.basis, r.bin): r.value for r in labels.expand(one, labels.dirac_basis(spark, 3), 0, 9).collect()} == {(k, 3 + k): 1.0 for k in range(3)}
+    assert {(r.basis, r.bin): r.value for r in labels.expand(one, labels.dirac_basis(3), 0, 9).collect()} == {(k, 3 + k): 1.0 for k in range(3)}
     t = spark.createDataFrame([("a", x) for x in (0, 3, 4, 8, 9, 30)], "k string, t long")
     assert sorted(r.t for r in scene.thinned(t, ("k",), 4).collect()) == [0, 8, 30]
     grid = spark.createDataFrame([(0, 1.0), (1, None), (2, 3.0)], "x long, v double")
