@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 from .components import components
 from .frames import cut, mapped, partitions
 
-PROJECTIONS, WIDTH, MISS = 24, 1.75, 1e-6
-SLICE, BLOCK = 4096, 256
+PROJECTIONS, WIDTH, MISS = 40, 1.75, 1e-6
+SLICE, BLOCK = 4096, 64
 SEED = 20240229
 _LEAST = np.iinfo(np.int64).min
 
@@ -74,7 +74,8 @@ def cell_links(x: np.ndarray, first: np.ndarray, weight: np.ndarray, threshold:
     half = WIDTH * reach / sqrt(dim)
     least = needed()
     p = x @ directions(dim)[:, 1:]
-    q = np.clip(np.round((p + 1.0) * (16 / half)), 0, 65535).astype(np.int16 if 32 / half < 32000 else np.int32)
+    # steps of a sixteenth of the window in one byte: clipped tails and wrapped differences only add collisions
+    q = np.clip(np.round(p * (16 / half)) + 128, 0, 255).astype(np.uint8)
     one, two = np.flatnonzero(first), np.flatnonzero(~first)
     same = not len(two)
     two = one if same else two
@@ -90,8 +91,11 @@ def cell_links(x: np.ndarray, first: np.ndarray, weight: np.ndarray, threshold:
         rows = one[a : a + BLOCK]
         lo = a if same else 0  # the lower triangle has been done
         count = np.zeros((len(rows), len(two) - lo), np.uint8)
+        apart, inside = np.empty_like(count), np.empty(count.shape, bool)
         for j in range(PROJECTIONS):
-            count += np.abs(right[j, lo:][None, :] - q[rows, j][:, None]) <= 16
+            np.subtract(right[j, lo:][None, :], (q[rows, j] - np.uint8(17))[:, None], out=apart)
+            np.less_equal(apart, 34, out=inside)
+            np.add(count, inside.view(np.uint8), out=count)
         i, k = np.nonzero(count >= least)
         i, k = rows[i], two[k + lo]
         if same:
