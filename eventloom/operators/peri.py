@@ -20,7 +20,7 @@ from eventloom.operators.labels import Basis, with_basis
 def trig(spikes: DataFrame, triggers: DataFrame, w0: int, w1: int) -> DataFrame:
     """Every spike in [e + w0, e + w1) of a trigger, with rel = t - e."""
     spans = triggers.withColumn("t0", F.col("e") + F.lit(w0).cast("long")).withColumn("t1", F.col("e") + F.lit(w1).cast("long"))
-    return in_intervals(spikes, spans).withColumn("rel", F.col("t") - F.col("e")).drop("t0", "t1", "t")
+    return in_intervals(spikes, spans, length=w1 - w0).withColumn("rel", F.col("t") - F.col("e")).drop("t0", "t1", "t")
 
 
 def trig_own(spikes: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
@@ -126,7 +126,7 @@ def correlogram(spikes: DataFrame, width: int, half: int) -> DataFrame:
     """
     reach = width * half + width // 2
     centre = spikes.select(F.col("id").alias("__i"), F.col("neuron").alias("a"), F.col("t").alias("__c"), (F.col("t") - F.lit(reach).cast("long")).alias("t0"), (F.col("t") + F.lit(reach).cast("long")).alias("t1"))
-    pairs = in_intervals(spikes.select("id", F.col("neuron").alias("b"), "t"), centre).where("id <> __i")
+    pairs = in_intervals(spikes.select("id", F.col("neuron").alias("b"), "t"), centre, length=2 * reach).where("id <> __i")
     lag = bucket(F.col("t") - F.col("__c") + F.lit(width // 2), width)
     return pairs.groupBy("a", "b", lag.alias("lag")).agg(F.count(F.lit(1)).alias("n"))
 
