@@ -29,12 +29,29 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so that lost executors cost no recomputation."""
+#: Rows of a small table in one checkpoint file.
+ROWS_A_FILE = 100_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Materialise in the shared folder, so that lost executors cost no recomputation.
+
+    ``rows``, the number of rows at most if it is known, keeps a small table to few files.
+    """
     shared_dir(df.sparkSession)
+    if rows is not None and (few := max(4, -(-rows // ROWS_A_FILE))) < partitions(df.sparkSession):
+        df = df.coalesce(few)
     return df.checkpoint(eager=True)
 
 
+def dealt_anew(column: str):
+    """The column by an expression, so that a join shuffles this side too and Spark may split the other side's large keys.
+
+    An aggregate's own partitioning would else serve the join, and no skewed partition can be split then.
+    """
+    return F.col(column).bitwiseXOR(F.lit(0).cast("long")).alias(column)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .bloom import bloom, may_hold
 from .components import components
-from .frames import cut, mapped, partitions
+from .frames import cut, dealt_anew, mapped, partitions
 from .textops import SPACED, chunked, mix, planes, rolling, unplanes, utf8, words
 
 BANDS, ROWS = 40, 5
@@ -45,7 +45,7 @@ REGISTERS = BANDS * ROWS
 #: Base of the registers' exponential spacing, rate of the draws, greatest register value.
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Documents in a slice; a cell compares two slices. Columns of a membership matrix at once.
-CELL, COLUMNS = 256, 4096
+CELL, COLUMNS = 128, 4096
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _ALL = (1 << 64) - 1
 _LEAST = np.iinfo(np.int64).min
@@ -270,20 +270,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, share: int = 80, key: str
     """
     base = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LEAST)).alias("id"), F.col(text).alias("text"))
     rows = cut(_signatures(base, shingle))
-    own = rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    copies = cut(rows.where("n > 0").join(own.where("copies > 1"), ["n", "d1", "d2"]).where("rep < id").select("rep", "id", "d1", "d2").distinct())
+    own = rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("n", dealt_anew("d1"), "d2", "rep")
+    copies = cut(rows.where("n > 0").join(own, ["n", "d1", "d2"]).where("rep < id").select("rep", "id", "d1", "d2").distinct())
     reps = rows.where("sketch is not null").join(copies.select("id", "d1", "d2"), ["id", "d1", "d2"], "left_anti")
     copies = copies.select(F.col("rep").alias("a"), F.col("id").alias("b"))
     banded = _banded(reps)
     leaders = banded.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
     pairs = cut(banded.join(leaders, "key").where("a < id").select("a", F.col("id").alias("b")).distinct())
     links = cut(copies.union(_confirmed(cut(_likely(pairs, reps, share)), base, shingle, share)))
-    found = cut(components(links))
-    families = cut(components(pairs)).select("node", F.col("component").alias("family"))
+    found = components(links)
+    families = components(pairs).select("node", F.col("component").alias("family"))
     placed = families.join(found, "node", "left").select("family", F.col("node").alias("id"), F.coalesce("component", "node").alias("c"))
     more = cut(_across(placed, base, shingle, share))
     if more.take(1):
-        found = cut(components(links.union(more)))
+        found = components(links.union(more))
     out = rows.select("id", "n").join(found, rows["id"] == found["node"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     real = lambda c: F.when(F.col(c) != _LEAST, F.col(c))
     return out.select(real("id").alias(key), "n_shingles", real("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
