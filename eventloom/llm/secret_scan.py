@@ -42,21 +42,32 @@ TEXTUAL = "^([A-Z]?[a-z]+([-_/+][A-Z]?[a-z]+)*|[A-Z]+([-_/+][A-Z]+)*)$"
 RATE, FEW, MEAN, DEVIATION = 0.01, 30, 8.0, 2.0
 #: Bins of -log10 p, per unit and in all.
 FINE, BINS = 10, 300
+#: Matches of a text whose places are added up at once.
+BLOCK = 128
 
 
 def _literal(pattern: str) -> str:
     return "r'" + pattern.replace("'", r"\x27") + "'"
 
 
+_SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+
+
 def _spans(text: str, pattern: str, kind: int, group: int = 0, least: int = 0) -> str:
-    """Array of (start, kind, end, value) of a pattern's matches, those with a short group left out."""
+    """Array of (start, kind, end, value) of a pattern's matches, those with a short group left out.
+
+    Lengths are summed up in blocks of ``BLOCK`` matches, so that a text with very many
+    matches copies short arrays only.
+    """
     p = _literal(pattern)
-    found = f"""filter(aggregate(
-        arrays_zip(slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group})),
-        named_struct('at', 0, 'out', cast(array() AS array<struct<start:int,kind:int,end:int,value:string>>)),
-        (acc, x) -> named_struct('at', acc.at + length(x.`0`) + length(x.`1`), 'out', concat(acc.out, array(named_struct('start', acc.at + length(x.`0`), 'kind', {kind}, 'end', acc.at + length(x.`0`) + length(x.`1`), 'value', x.`2`)))),
-        acc -> acc.out), y -> length(y.value) >= {least})"""
-    return f"if({text} RLIKE {p}, {found}, cast(array() AS array<struct<start:int,kind:int,end:int,value:string>>))"
+    zipped = f"arrays_zip(slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group}))"
+    blocks = f"transform(array({zipped}), z -> transform(sequence(0, (size(z) - 1) div {BLOCK}), i -> slice(z, cast(i * {BLOCK} + 1 AS int), {BLOCK})))[0]"
+    inner = f"""aggregate(blk, named_struct('at', big.at, 'out', cast(array() AS {_SPAN})),
+        (acc, x) -> named_struct('at', acc.at + length(x.`0`) + length(x.`1`), 'out', concat(acc.out, array(named_struct('start', acc.at + length(x.`0`), 'kind', {kind}, 'end', acc.at + length(x.`0`) + length(x.`1`), 'value', x.`2`)))))"""
+    found = f"""filter(aggregate({blocks}, named_struct('at', 0, 'out', cast(array() AS array<{_SPAN}>)),
+        (big, blk) -> transform(array({inner}), r -> named_struct('at', r.at, 'out', concat(big.out, array(r.out))))[0],
+        big -> flatten(big.out)), y -> length(y.value) >= {least})"""
+    return f"if({text} RLIKE {p}, {found}, cast(array() AS {_SPAN}))"
 
 
 _ALPHABETS = {"hex": "0123456789abcdef", "b32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "b64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
