@@ -113,7 +113,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Ite
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, n_words, n_hit, items (sorted ids as strings) and, of the columns in ``keep``, a struct ``row`` of every document row."""
+    """Of every document row: key, n_words, n_hit, items (sorted ids as strings), spans (first and end word of each stretch hit, in turn) and a struct ``row`` of the columns in ``keep``."""
     spark = docs.sparkSession
     own = {"key": key, **{f"kept_{i}": c for i, c in enumerate(keep)}}
     kinds = {name: docs.schema[c].dataType.simpleString() for name, c in own.items()}
@@ -124,7 +124,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, key:
         if not last:
             out = cut(out)
             index.unpersist()
-    return out.select(F.col("key").alias(key), "n_words", "n_hit", "items", *as_row(keep))
+    return out.select(F.col("key").alias(key), "n_words", "n_hit", "items", "spans", *as_row(keep))
 
 
 def _pass(docs: DataFrame, shared: Broadcast, kinds: dict[str, str], last: bool) -> DataFrame:
@@ -152,12 +152,15 @@ def _pass(docs: DataFrame, shared: Broadcast, kinds: dict[str, str], last: bool)
             keys, item_lists = batch.column(0).slice(lo, hi - lo), pa.array(items, pa.list_(pa.string()))
             if last:
                 n_hit = np.diff(np.r_[0, np.cumsum(mask)][w.first])
-                yield pa.RecordBatch.from_arrays([keys, pa.array(count), pa.array(n_hit, pa.int64()), item_lists, *more], ["key", "n_words", "n_hit", "items", *extra])
+                spans: list[list[int]] = [[] for _ in range(hi - lo)]
+                for r in np.flatnonzero(n_hit).tolist():
+                    spans[r] = np.flatnonzero(np.diff(np.r_[False, mask[w.first[r] : w.first[r + 1]], False])).tolist()
+                yield pa.RecordBatch.from_arrays([keys, pa.array(count), pa.array(n_hit, pa.int64()), item_lists, pa.array(spans, pa.list_(pa.int64())), *more], ["key", "n_words", "n_hit", "items", "spans", *extra])
             else:
                 bits = [np.packbits(mask[a:b]).tobytes() if mask[a:b].any() else None for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([keys, texts.slice(lo, hi - lo), pa.array(bits, pa.binary()), item_lists, *more], ["key", "text", "hit", "items", *extra])
 
-    middle = "n_words long, n_hit long, items array<string>" if last else "text string, hit binary, items array<string>"
+    middle = "n_words long, n_hit long, items array<string>, spans array<long>" if last else "text string, hit binary, items array<string>"
     return mapped(docs, run, ", ".join([f"key {kinds['key']}", middle, *(f"{c} {kinds[c]}" for c in extra)]))
 
 

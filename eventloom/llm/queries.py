@@ -37,7 +37,7 @@ def op5_set_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("passages")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

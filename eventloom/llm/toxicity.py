@@ -38,6 +38,7 @@ Z, FLOOR = 2.5, 1.5
 DRIFT = 0.02
 #: Extreme-value constant and greatest E of a passage.
 K, ALPHA = 0.1, 1.0
+_PASSAGES = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("evidence", pa.float64())]))
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
@@ -179,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int, key:
 
 
 def score(docs: DataFrame, labels: DataFrame, train: Column | None = None, per_class: int = 8000, key: str = "doc_id", text: str = "text", toxic: str = "toxic", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, held_out, score, predicted, n_passages, evidence and, of the columns in ``keep``, a struct ``row``."""
+    """Of every row: key, held_out, score, predicted, n_passages, evidence, passages (first word, end word, evidence) and a struct ``row`` of the columns in ``keep``."""
     train = crc_mod(key, 5) != 0 if train is None else train
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, train, per_class, key, text, toxic))
 
@@ -187,18 +188,20 @@ def score(docs: DataFrame, labels: DataFrame, train: Column | None = None, per_c
         m = shared.value
         data, offsets = utf8(batch.column(2))
         for lo, hi in chunked(offsets):
-            evidence, n, value = np.zeros(hi - lo), [0] * (hi - lo), np.zeros(hi - lo)
+            evidence, found, value = np.zeros(hi - lo), [[] for _ in range(hi - lo)], np.zeros(hi - lo)
             if m is not None:
                 w = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], ALNUM, lower=True)
                 evidence, found = m.evidence(w)
-                n, value = [len(f) for f in found], m.score(evidence)
+                value = m.score(evidence)
+            n = [len(f) for f in found]
+            passages = pa.array([[{"first": a, "end": b, "evidence": float(e)} for a, b, e in f] for f in found], _PASSAGES)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(value), pa.array((value >= 0.5).astype(np.int32)), pa.array(n, pa.int64()), pa.array(evidence), *(c.slice(lo, hi - lo) for c in batch.columns[3:])],
-                ["key", "held_out", "score", "predicted", "n_passages", "evidence", *(f"kept_{i}" for i in range(len(keep)))],
+                [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(value), pa.array((value >= 0.5).astype(np.int32)), pa.array(n, pa.int64()), pa.array(evidence), passages, *(c.slice(lo, hi - lo) for c in batch.columns[3:])],
+                ["key", "held_out", "score", "predicted", "n_passages", "evidence", "passages", *(f"kept_{i}" for i in range(len(keep)))],
             )
 
     own = {"key": key, **{f"kept_{i}": c for i, c in enumerate(keep)}}
     kinds = [f"{name} {docs.schema[c].dataType.simpleString()}" for name, c in own.items()]
     rows = docs.select(docs[key].alias("key"), (~train).alias("held_out"), docs[text].alias("text"), *[docs[f"`{c}`"].alias(f"kept_{i}") for i, c in enumerate(keep)])
-    out = mapped(rows, run, ", ".join([kinds[0], "held_out boolean, score double, predicted int, n_passages long, evidence double", *kinds[1:]]))
-    return out.select(F.col("key").alias(key), "held_out", "score", "predicted", "n_passages", "evidence", *as_row(keep))
+    out = mapped(rows, run, ", ".join([kinds[0], "held_out boolean, score double, predicted int, n_passages long, evidence double, passages array<struct<first:long,end:long,evidence:double>>", *kinds[1:]]))
+    return out.select(F.col("key").alias(key), "held_out", "score", "predicted", "n_passages", "evidence", "passages", *as_row(keep))

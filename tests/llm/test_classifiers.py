@@ -105,6 +105,7 @@ def test_toxicity_finds_planted_passages(spark):
     by = {r.doc_id: r for r in rows}
     held = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0]
     assert len(rows) == 407 and all(by[i].predicted == dict(labels)[i] for i in held)
+    assert [(p.first, p.end) for p in by[904].passages] == [(1, 4)] and not by[900].passages
     assert by[902].predicted == 1 and by[904].predicted == 1 and by[903].predicted == by[900].predicted == 0
     assert all(0 <= r.score <= 1 for r in rows)
 

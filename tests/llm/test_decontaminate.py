@@ -60,6 +60,12 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert D.decontaminate(docs_frame(spark, [(1, "a")]).where("doc_id > 9"), bench).count() == 0
 
 
+def test_spans(spark):
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    rows = {r.doc_id: r.spans for r in D.decontaminate(docs_frame(spark, [(1, "x a b c y a b c a B c"), (2, "a b"), (3, None)]), bench).collect()}
+    assert rows == {1: [1, 4, 5, 11], 2: [], 3: []}
+
+
 def test_carried_columns_keep_their_names(spark):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     docs = docs_frame(spark, [(1, "a b c")])
