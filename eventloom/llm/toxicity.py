@@ -11,7 +11,10 @@ evidence is the sum of their lambda s - ln(K n). A logistic curve fitted on the
 texts turns evidence into a score.
 
 Training uses at most ``per_class`` labelled rows of each class, the first by hash of their
-id; the sample's ids and the words that matter are broadcast, both bounded by it.
+id; the sample's ids and the words that matter are broadcast, both bounded by it. In the
+curve each sampled row weighs as many rows as it stands for (its class's labelled training
+rows, counted over all data, over the sampled ones), so a score of 0.5 means the natural mix
+at any size.
 
 Defined cases: null and empty texts have no passage and the score of no evidence; labels
 other than 0 and 1, and null ids, are ignored; rows that repeat a label's id count once by
@@ -108,14 +111,14 @@ class Model:
                 found[r] = self.passages(w, r)
         return np.array([sum(p[2] for p in f) for f in found], np.float64), found
 
-    def fit_curve(self, evidence: np.ndarray, label: np.ndarray) -> None:
-        """Two-parameter logistic regression on log1p(evidence) by Newton steps, slightly ridged."""
+    def fit_curve(self, evidence: np.ndarray, label: np.ndarray, weight: np.ndarray) -> None:
+        """Two-parameter weighted logistic regression on log1p(evidence) by Newton steps, slightly ridged."""
         x = np.c_[np.log1p(evidence), np.ones(len(evidence))]
         beta = np.zeros(2)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ beta, -50, 50)))
-            hess = x.T @ (x * (p * (1 - p))[:, None]) + np.diag([0.1, 0.1])
-            step = np.linalg.solve(hess, x.T @ (label - p) - 0.1 * beta)
+            hess = x.T @ (x * (weight * p * (1 - p))[:, None]) + np.diag([0.1, 0.1])
+            step = np.linalg.solve(hess, x.T @ (weight * (label - p)) - 0.1 * beta)
             beta += step
             if np.abs(step).max() < 1e-9:
                 break
@@ -125,18 +128,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] * np.log1p(evidence) + self.curve[1], -50, 50)))
 
 
-def _sample(labels: DataFrame, train: Column, key: str, toxic: str, per_class: int) -> DataFrame:
-    known = labels.where(F.col(key).isNotNull() & F.col(toxic).isin(0, 1) & train).groupBy(key).agg(F.max(toxic).alias("y"))
+def _known(labels: DataFrame, train: Column, key: str, toxic: str) -> DataFrame:
+    return labels.where(F.col(key).isNotNull() & F.col(toxic).isin(0, 1) & train).groupBy(key).agg(F.max(toxic).alias("y"))
+
+
+def _sample(known: DataFrame, key: str, per_class: int) -> DataFrame:
     hashed = known.select(F.col(key).alias("key"), "y", F.xxhash64(F.col(key).cast("string")).alias("h"))
     parts = [hashed.where(f"y = {y}").orderBy("h", "key").limit(per_class) for y in (0, 1)]
     return cut(parts[0].union(parts[1]).select("key", F.col("y").cast("long").alias("y")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int, key: str, text: str, toxic: str) -> Model | None:
-    chosen = _sample(labels, train, key, toxic, per_class)
+    known = _known(labels, train, key, toxic)
+    chosen = _sample(known, key, per_class)
     size = {r[0]: r[1] for r in chosen.groupBy("y").count().collect()}
     if len(size) < 2:
         return None
+    total_of = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     # at most 2 * per_class rows of 16 bytes
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("text", "y")
 
@@ -175,7 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int, key:
             yield pa.RecordBatch.from_arrays([pa.array(shared.value.evidence(w)[0]), batch.column(1).slice(lo, hi - lo)], ["evidence", "y"])
 
     got = mapped(rows, weigh, "evidence double, y long").toArrow()
-    model.fit_curve(got.column(0).to_numpy(), got.column(1).to_numpy().astype(np.float64))
+    label = got.column(1).to_numpy()
+    model.fit_curve(got.column(0).to_numpy(), label.astype(np.float64), np.where(label == 1, total_of[1] / size[1], total_of[0] / size[0]))
     return model
 
 

@@ -110,6 +110,24 @@ def test_toxicity_finds_planted_passages(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_capped_classes_keep_the_natural_mix(spark):
+    """Passages alone don't tell the class here, so scores must average the share of toxic rows, capped or not."""
+    rng = random.Random(9)
+    docs, labels = [], []
+    for i in range(1500):
+        w = [f"word{rng.randrange(80)}" for _ in range(rng.randint(20, 60))]
+        y = int(rng.random() < 0.1)
+        if rng.random() < (0.9 if y else 0.1):
+            w[5:5] = [rng.choice(["vile", "awful", "nasty"]) for _ in range(3)]
+        docs.append((i, " ".join(w)))
+        labels.append((i, y))
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    natural = np.mean([y for _, y in labels])
+    for per_class in (100, 8000):
+        mean = np.mean([r.score for r in toxicity.score(docs_frame(spark, docs), lab, per_class=per_class).collect()])
+        assert abs(mean - natural) < 0.04, (per_class, mean, natural)
+
+
 def test_toxicity_without_labels_or_documents(spark):
     lab = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score(docs_frame(spark, [(1, "a")]), lab).first().score == 0
