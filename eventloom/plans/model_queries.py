@@ -66,8 +66,7 @@ def decoder_whitened(spark, sf):
 
 @query()
 def svm_ecoc(spark, sf):
-    out = models.svm_one_vs_rest(_emb(spark, sf), "label", "embedding", F.col("fold") != 0)
-    return stats.balanced_accuracy(out.where("fold = 0").withColumn("label", F.col("label").cast("long")), "label")
+    return stats.balanced_accuracy(models.svm_decoder(_emb(spark, sf), "vec_id", "label", "fold", "embedding"), "label")
 
 
 @query()
