@@ -13,7 +13,7 @@ from eventloom.operators import demixing, models, stats
 from eventloom.plans.interval_queries import EV
 from eventloom.plans.registry import query
 from eventloom.plans.stats_queries import V, vectors
-from eventloom.sources.tables import events, spikes, table
+from eventloom.sources.tables import events, spikes, table, triggers
 
 
 def _emb(spark, sf):
@@ -127,10 +127,8 @@ def ripples(spark, sf):
 
 @query()
 def zeta(spark, sf):
-    s = spikes(spark, sf).select((F.col("neuron") % 4).alias("cell"), (F.col("t") / F.lit(1e6)).alias("t"))
-    # the test's own bound: its first 2000 events
-    at = [r[0] for r in events(spark, sf).where("event_type = 'purchase'").orderBy("t").limit(2000).select(F.col("t") / F.lit(1e6)).collect()]
-    return models.zeta_test(s, np.array(at), "cell", 3600.0, 20)
+    s = spikes(spark, sf).select((F.col("neuron") % 4).alias("cell"), "t")
+    return models.zeta_test(s, triggers(spark, sf), "cell", HOUR)
 
 
 @query()

@@ -97,6 +97,19 @@ def test_zeta_tells_locked_from_free():
     assert numeric.zeta(locked, events, 1.0)[1] < 1e-4 and numeric.zeta(free, events, 1.0)[1] > 0.01
 
 
+def test_zeta_of_all_events_equals_the_kernel(spark):
+    rng = np.random.default_rng(7)
+    events = np.sort(rng.integers(0, 4_000_000_000, 2500))
+    locked = np.r_[events[2000:] + rng.integers(300_000, 320_000, 500), rng.integers(0, 4_000_000_000, 3000)]
+    spikes = [("locked", int(t)) for t in locked] + [("free", int(t)) for t in rng.integers(0, 4_000_000_000, 3000)] + [("far", 10**11)]
+    at = spark.createDataFrame([(i, int(e)) for i, e in enumerate(events)], "trigger long, e long")
+    got = {r.unit: r for r in models.zeta_test(spark.createDataFrame(spikes, "unit string, t long"), at, "unit", 1_000_000).collect()}
+    for unit in ("locked", "free"):
+        want = numeric.zeta(np.sort([t / 1e6 for u, t in spikes if u == unit]), events / 1e6, 1.0)
+        assert math.isclose(got[unit].zeta, want[0], abs_tol=1e-9) and math.isclose(got[unit].latency, want[2], abs_tol=1e-6)
+    assert got["locked"].p < 1e-4 and got["free"].p > 0.01 and tuple(got["far"]) == ("far", 0.0, 1.0, 0.0)
+
+
 def test_demixing_separates_factors():
     rng = np.random.default_rng(6)
     ua, ub = np.linalg.qr(rng.standard_normal((20, 2)))[0].T
