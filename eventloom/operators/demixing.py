@@ -1,8 +1,9 @@
 """Cross-validation of demixed components: ridge search, classification and significance.
 
-Each repetition holds out one trial of every unit and cell, drawn by hash. Spark makes the
-cell means of all repetitions at once by keyed sums; one task then has one repetition's
-units * cells matrix.
+Each repetition holds out one trial of every unit and cell, drawn by hash; shuffles have
+their own key, and each is repeated as the data are. Spark makes cell sums once a shuffle
+and joins the drawn trials by rank, so repetitions don't copy the trials; a group then has
+one repetition's units * cells matrix.
 """
 
 from __future__ import annotations
@@ -15,23 +16,26 @@ from pyspark.sql import functions as F
 from eventloom.functions import numeric
 
 
-def held_out(df: DataFrame, unit: str, factors: tuple[str, str], value: str, key: str, reps: int, shuffle: bool = False) -> DataFrame:
-    """rep, unit, both factors, train (mean without the held trial), test (the held trial) and e (squared SE).
+def held_out(df: DataFrame, unit: str, factors: tuple[str, str], value: str, key: str, reps: int, shuffles: int = 0) -> DataFrame:
+    """shuffle, rep, unit, both factors, train (mean without the held trial), test (the held trial) and e (squared SE).
 
-    ``shuffle`` permutes the trials of a unit over its cells by hash, keeping the cells' sizes.
+    ``shuffles`` permutations of the trials of a unit over its cells by hash keep the cells'
+    sizes; with none, shuffle 0 is the data. Null values are no trials.
     """
     a, b = factors
-    rows = df.select(F.col(unit).alias("unit"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(value).cast("double").alias("x"), F.col(key).alias("k"))
-    rows = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    draw = F.xxhash64("k", "rep")
-    if shuffle:
-        w = Window.partitionBy("rep", "unit")
-        cells = rows.select("rep", "unit", "a", "b", F.row_number().over(w.orderBy("a", "b", "k")).alias("i"))
-        values = rows.select("rep", "unit", "x", "k", F.row_number().over(w.orderBy(F.xxhash64("k", F.col("rep") + 7919), "k")).alias("i"))
-        rows = cells.join(values, ["rep", "unit", "i"])
-    g = rows.groupBy("rep", "unit", "a", "b").agg(F.sum("x").alias("s"), F.count("x").alias("n"), F.max_by("x", F.struct(draw, "k")).alias("test"), F.var_samp("x").alias("v"))
+    rows = df.select(F.col(unit).alias("unit"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(value).cast("double").alias("x"), F.col(key).alias("k")).where("x is not null")
+    rows = rows.withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(max(shuffles, 1) - 1))))
+    if shuffles:
+        w = Window.partitionBy("shuffle", "unit")
+        cells = rows.select("shuffle", "unit", "a", "b", F.row_number().over(w.orderBy("a", "b", "k")).alias("i"))
+        values = rows.select("shuffle", "unit", "x", "k", F.row_number().over(w.orderBy(F.xxhash64("k", F.col("shuffle") + 7919), "k")).alias("i"))
+        rows = cells.join(values, ["shuffle", "unit", "i"])
+    on = ["shuffle", "unit", "a", "b"]
+    trials = rows.select(*on, (F.row_number().over(Window.partitionBy(*on).orderBy("k")) - 1).cast("long").alias("at"), F.col("x").alias("test"))
+    g = rows.groupBy(*on).agg(F.sum("x").alias("s"), F.count("x").alias("n"), F.var_samp("x").alias("v"))
+    draws = g.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("at", F.pmod(F.xxhash64(*on, "rep"), F.col("n")))
     train = F.when(F.col("n") > 1, (F.col("s") - F.col("test")) / (F.col("n") - 1)).otherwise(F.col("s") / F.col("n"))
-    return g.select("rep", "unit", "a", "b", train.alias("train"), "test", F.coalesce(F.col("v") / F.col("n"), F.lit(0.0)).alias("e"))
+    return draws.join(trials, [*on, "at"]).select("shuffle", "rep", "unit", "a", "b", train.alias("train"), "test", F.coalesce(F.col("v") / F.col("n"), F.lit(0.0)).alias("e"))
 
 
 def _matrices(pdf: pd.DataFrame, column: str) -> tuple[pd.DataFrame, np.ndarray, dict[str, np.ndarray]]:
@@ -65,7 +69,10 @@ def ridge_search(cells: DataFrame, components: int, ridges: list[float]) -> Data
 
 
 def accuracy(cells: DataFrame, components: int, ridge: float) -> DataFrame:
-    """Share of held-out cells whose class of each factor is that of the nearest training class, by component."""
+    """Share of held-out cells whose class of each factor is that of the nearest training class, by component.
+
+    ``accuracy`` is the mean over all repetitions, ``most`` the greatest of the shuffles' means.
+    """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         train, x, marginals = _matrices(pdf, "train")
         _, test, _ = _matrices(pdf, "test")
@@ -78,15 +85,16 @@ def accuracy(cells: DataFrame, components: int, ridge: float) -> DataFrame:
                 w = found[name][0][:, k]
                 centres = np.array([(w @ x)[label == c].mean() for c in classes])
                 guess = classes[np.abs((w @ test)[:, None] - centres[None]).argmin(axis=1)]
-                out.append((int(pdf["rep"].iloc[0]), name, k, float((guess == label).mean())))
-        return pd.DataFrame(out, columns=["rep", "marginal", "component", "accuracy"])
+                out.append((int(pdf["shuffle"].iloc[0]), name, k, float((guess == label).mean())))
+        return pd.DataFrame(out, columns=["shuffle", "marginal", "component", "accuracy"])
 
-    each = cells.groupBy("rep").applyInPandas(run, "rep int, marginal string, component long, accuracy double")
+    each = cells.groupBy("shuffle", "rep").applyInPandas(run, "shuffle int, marginal string, component long, accuracy double")
+    each = each.groupBy("shuffle", "marginal", "component").agg(F.avg("accuracy").alias("accuracy"))
     return each.groupBy("marginal", "component").agg(F.avg("accuracy").alias("accuracy"), F.max("accuracy").alias("most"))
 
 
 def significant(real: DataFrame, shuffled: DataFrame) -> DataFrame:
-    """Components whose accuracy exceeds the greatest of the shuffles."""
+    """Components whose accuracy exceeds the greatest mean of the shuffles."""
     s = shuffled.select("marginal", "component", F.col("most").alias("chance"))
     return real.join(s, ["marginal", "component"]).select("marginal", "component", "accuracy", "chance", (F.col("accuracy") > F.col("chance")).alias("significant"))
 

@@ -148,19 +148,19 @@ def hourly_cells(spark, sf):
     return _hourly(spark, sf).where("n > 0").groupBy("cell").agg(F.count(F.lit(1)).alias("bins"), F.sum("n").cast("long").alias("n"))
 
 
-def _cells(spark, sf, shuffle=False):
+def _cells(spark, sf, reps, shuffles=0):
     li = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 20).alias("unit"), "l_returnflag", "l_linestatus", "l_quantity", F.struct("l_orderkey", "l_linenumber").alias("k"))
-    return demixing.held_out(li, "unit", ("l_returnflag", "l_linestatus"), "l_quantity", "k", 5, shuffle)
+    return demixing.held_out(li, "unit", ("l_returnflag", "l_linestatus"), "l_quantity", "k", reps, shuffles)
 
 
 @query()
 def dpca_ridge_search(spark, sf):
-    return demixing.ridge_search(_cells(spark, sf), 2, [1e-7 * 1.5**k for k in range(0, 26, 5)])
+    return demixing.ridge_search(_cells(spark, sf, 10), 2, [1e-7 * 1.5**k for k in range(26)])
 
 
 @query()
 def dpca_significance(spark, sf):
-    return demixing.significant(demixing.accuracy(_cells(spark, sf), 2, 1e-5), demixing.accuracy(_cells(spark, sf, True), 2, 1e-5))
+    return demixing.significant(demixing.accuracy(_cells(spark, sf, 100), 2, 1e-5), demixing.accuracy(_cells(spark, sf, 100, 100), 2, 1e-5))
 
 
 @query("""WITH f AS (SELECT o_custkey, o_orderkey, o_orderstatus = 'F' AS f FROM orders), n AS (SELECT *, CASE WHEN lag(f) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <> f THEN 1 ELSE 0 END AS n FROM f), g AS (SELECT *, sum(n) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS g FROM n)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.functions import numeric, scalar
-from eventloom.operators import labels, models, scene, stats, sync
+from eventloom.operators import demixing, labels, models, scene, stats, sync
 
 
 def test_distributions():
@@ -122,6 +122,23 @@ def test_demixing_separates_factors():
     assert abs(out["a"][1][:, 0] @ ua) > 0.99 and abs(out["b"][1][:, 0] @ ub) > 0.99
 
 
+def test_demixing_chance_is_the_greatest_mean_of_shuffles(spark, sf):
+    from eventloom.plans import registry
+
+    rng = np.random.default_rng(8)
+    rows = [(i, i % 6, "ab"[i // 6 % 2], "xyz"[i // 12 % 3], float(rng.normal())) for i in range(360)]
+    df = spark.createDataFrame(rows, "k long, u long, f string, g string, v double")
+    cells = demixing.held_out(df, "u", ("f", "g"), "v", "k", 4, 3).persist()
+    assert cells.select("shuffle", "rep").distinct().count() == 12 and cells.count() == 12 * 36
+    sums = cells.groupBy("shuffle", "rep").agg(F.sum(F.col("train") * 9 + F.col("test")).alias("s")).collect()
+    assert all(math.isclose(r.s, sum(x[4] for x in rows), abs_tol=1e-9) for r in sums)
+    each = [{(r.marginal, r.component): r.accuracy for r in demixing.accuracy(cells.where(f"shuffle = {k}"), 2, 1e-5).collect()} for k in range(3)]
+    for r in demixing.accuracy(cells, 2, 1e-5).collect():
+        assert math.isclose(r.most, max(e[r.marginal, r.component] for e in each))
+    found = registry.queries()["dpca_ridge_search"](spark, sf).collect()
+    assert len(found) == 26 and all(r.reps == 10 for r in found)
+
+
 def test_sync(spark):
     rows = [(float(x), 1.5 * x + 3 + (50.0 if x == 77 else 0.001 * (x % 3))) for x in range(200)]
     pairs = spark.createDataFrame(rows, "x double, y double")
