@@ -1,8 +1,12 @@
 """Vectorised word tables over Arrow string columns.
 
 Every helper works on whole texts, batch by batch, with memory bounded by
-``CHUNK`` bytes of text (one longer text is a chunk of its own and is hashed
-segment by segment).
+``CHUNK`` bytes of text (one longer text is a chunk of its own).
+
+Words are told apart by their bytes: a chunk's words are dictionary-encoded, and only the
+distinct ones are hashed, by a keyed 64-bit hash. Windows of words get Rabin-Karp hashes:
+polynomials of word hashes modulo the prime 2**61 - 1 at a fixed random base, so no
+structure of the words makes two windows collide more often than chance does.
 """
 
 from __future__ import annotations
@@ -11,17 +15,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once.
 CHUNK = 2 << 20
-#: Bytes hashed at once inside a chunk.
-SEGMENT = 1 << 20
 
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0x5851F42D4C957F2D
-_INV = pow(_BASE, -1, 1 << 64)
+#: Key of the words' hash.
+WORD_KEY = "eventloom words."
+PRIME = (1 << 61) - 1
+#: Bases of the windows' polynomials; the second one serves where 61 bits are too few.
+BASES = (0x1B3A9F0C5D72E681, 0x0C96E15F38AD427B)
+_P, _31, _30 = np.uint64(PRIME), np.uint64(31), np.uint64(30)
+_LOW31, _LOW30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
 
 #: A-Z to a-z, byte by byte; UTF-8 bytes over 0x7F stay.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -35,18 +42,6 @@ SPACED[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _INV)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash; a bijection."""
     h = h ^ (h >> np.uint64(33))
@@ -104,13 +99,26 @@ class Words:
             ok[: n - k + 1] = self.row[: n - k + 1] == self.row[k - 1 :]
         return ok
 
-    def grams(self, k: int) -> np.ndarray:
-        """Rolling polynomial hash of k words from each word on; see spans()."""
-        return rolling(self.hash, k)
+    def grams(self, k: int, base: int = 0) -> np.ndarray:
+        """Rabin-Karp hash of k words from each word on; see spans()."""
+        return rolling(self.hash, k, base)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**61 - 1, or that number itself."""
+    return (x & _P) + (x >> np.uint64(61))
 
 
-def rolling(h: np.ndarray, k: int) -> np.ndarray:
-    """sum(h[i + j] * B ** j for j < k) modulo 2**64, mixed; 0 where it doesn't fit.
+def _times(x: np.ndarray, c: int) -> np.ndarray:
+    """x * c modulo 2**61 - 1, by parts of 31 bits; x is below 2**61 + 8."""
+    c1, c0 = np.uint64(c >> 31), np.uint64(c & (1 << 31) - 1)
+    x1, x0 = x >> _31, x & _LOW31
+    middle = x1 * c0 + x0 * c1
+    return _reduced(((x1 * c1) << np.uint64(1)) + (middle >> _30) + ((middle & _LOW30) << _31) + _reduced(x0 * c0))
+
+
+def rolling(h: np.ndarray, k: int, base: int = 0) -> np.ndarray:
+    """sum(h[i + j] * B ** j for j < k) modulo 2**61 - 1, mixed; 0 where it doesn't fit.
 
     By doubling: two halves make a window of twice the length.
     """
@@ -118,7 +126,7 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     if n < k:
         return out
-    part, size, acc, got = h.copy(), 1, None, 0
+    part, size, acc, got = _reduced(h), 1, None, 0
     want = k
     while True:
         if want & size:
@@ -126,18 +134,28 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
                 acc, got = part.copy(), size
             else:
                 m = min(len(acc), len(part) - got)
-                acc = acc[:m] + part[got : got + m] * np.uint64(pow(int(_MULT), got, 1 << 64))
+                acc = _reduced(acc[:m] + _times(part[got : got + m], pow(BASES[base], got, PRIME)))
                 got += size
             want ^= size
         if not want:
             break
         m = len(part) - size
-        part = part[:m] + part[size:] * np.uint64(pow(int(_MULT), size, 1 << 64))
+        part = _reduced(part[:m] + _times(part[size:], pow(BASES[base], size, PRIME)))
         size *= 2
-    out[: n - k + 1] = mix(acc[: n - k + 1] ^ np.uint64(k))
+    acc = acc[: n - k + 1]
+    out[: n - k + 1] = mix(np.where(acc >= _P, acc - _P, acc) ^ np.uint64(k))
     return out
 
 
+def distinct(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each of the byte strings laid end to end, equal ones alike, and the distinct strings as objects."""
+    offsets = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+    column = column.dictionary_encode()
+    return column.indices.to_numpy(), column.dictionary.to_numpy(zero_copy_only=False)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool = False) -> Words:
     """Cut texts to maximal runs of the table's bytes and hash each run."""
     if lower:
@@ -157,24 +175,9 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool
     end = np.flatnonzero(inside & ~after) + 1
     first = np.searchsorted(start, offsets)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    return Words(data, start, end, row, hashes(data, start, end), first)
-
-
-def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each stretch of small integers; stretches are in order and don't overlap."""
-    out = np.empty(len(start), np.uint64)
-    lo = 0
-    while lo < len(start):
-        at = int(start[lo])
-        hi = max(lo + 1, int(np.searchsorted(end, at + SEGMENT, "right")))
-        piece = data[at : int(end[hi - 1])]
-        power, inverse = _tables(max(len(piece) + 1, 1 << 16))
-        sums = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * power[: len(piece)], out=sums[1:])
-        s, e = start[lo:hi] - at, end[lo:hi] - at
-        out[lo:hi] = mix((sums[e] - sums[s]) * inverse[s] ^ ((e - s).astype(np.uint64) * _MULT))
-        lo = hi
-    return out
+    number, own = distinct(data[inside], end - start)
+    hashes = pd.util.hash_array(own, hash_key=WORD_KEY, categorize=False) if len(own) else np.zeros(0, np.uint64)
+    return Words(data, start, end, row, hashes[number], first)
 
 
 def planes(values: np.ndarray, width: int) -> bytes:

@@ -7,9 +7,11 @@ mergeable pair leave the batch, and their surviving symbols are counted. Merging
 occurrences of the lowest-ranked pair equals merging them one after another, because a
 merge can only make pairs of a higher rank.
 
-Defined cases: null text counts as empty (0 bytes, 0 tokens); special strings in a text
-are one token each, as the vocabulary file's library treats them by default; repeated
-rows are counted each; further columns of the input are dropped.
+Defined cases: null text counts as empty (0 bytes, 0 tokens); an empty table gives an empty
+one; texts of any length are counted whole, piece by piece; special strings in a text are
+one token each, as the vocabulary file's library treats them by default; equal ranks don't
+occur; repeated rows are counted each; further columns of the input are dropped. Files of
+another kind (see ``byte_level``) are an error.
 """
 
 from __future__ import annotations
@@ -39,12 +41,29 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in own else next(others)) for b in range(256)]
 
 
+def byte_level(spec: dict) -> dict:
+    """The file's content, if it is the plain byte-level kind that the cut and the merges here stand for."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = (
+        spec.get("normalizer") is None
+        and cut.get("type") == "ByteLevel"
+        and not cut.get("add_prefix_space", True)
+        and cut.get("use_regex", True)
+        and model.get("type", "BPE") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
+        and not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip"))
+    )
+    if not plain:
+        raise ValueError("not a plain byte-level BPE file: another normaliser, pre-tokeniser, model or special-token flag")
+    return spec
+
+
 class MergeTable:
     """Ranks of pairs of symbols, looked up for whole arrays."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            spec = byte_level(json.load(f))
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         left = np.array([vocab[a] for a, _ in pairs], np.int64)

@@ -8,11 +8,18 @@ id, nulls first; rows that repeat an id stay, ordered by a hash of their text.
 
 Shards are written by tasks into a shared folder under a name of the attempt and renamed,
 so a lost or repeated task leaves whole files only, and readers open just the files that
-the manifest names.
+the manifest names. Readers take boundaries from the select structures, a stretch of
+documents at a time; no file's boundaries are ever held as a table of 64-bit numbers.
+
+Defined cases: null and empty texts have the end id only; texts of any length are encoded
+whole, piece by piece, into one file; an empty table writes no file and an empty manifest;
+special strings are one id each, as the vocabulary file's library treats them by default;
+further columns are dropped; files of another kind (see ``byte_level``) are an error.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,13 +34,15 @@ from pyspark.sql import functions as F
 
 from .frames import cut, partitions
 from .pretokens import Pretokens
-from .token_counts import byte_symbols
+from .token_counts import byte_level, byte_symbols
 
 MAGIC = b"EVLMTOK1"
 #: Ids after which a task begins another file.
 SHARD_IDS = 4 << 20
 #: One in so many set bits has its place sampled for select().
 SAMPLE = 512
+#: Documents whose boundaries a reader holds at once.
+DOCS = 4096
 
 
 class EliasFano:
@@ -92,15 +101,26 @@ class EliasFano:
         place = byte * 8 + int(np.flatnonzero(np.unpackbits(window, bitorder="little"))[left])
         return (place - i) << self.low_bits | self._low(i)
 
-    def values(self) -> np.ndarray:
-        """All values at once."""
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))
-        out = (places - np.arange(self.n)).astype(np.int64) << self.low_bits
+    def slice(self, a: int, b: int) -> np.ndarray:
+        """Values a to b; only the bytes that hold them are unpacked."""
+        b = min(b, self.n)
+        if a >= b:
+            return np.zeros(0, np.int64)
+        byte = int(self.samples[a // SAMPLE]) // 8  # holds no later value's bit than that of the sample
+        stop = int(self.samples[-(-b // SAMPLE)]) // 8 + 1 if -(-b // SAMPLE) < len(self.samples) else len(self.high)
+        places = np.flatnonzero(np.unpackbits(self.high[byte:stop], bitorder="little")) + byte * 8
+        skip = a - a // SAMPLE * SAMPLE + int(np.searchsorted(places, int(self.samples[a // SAMPLE])))
+        out = (places[skip : skip + b - a] - np.arange(a, b)).astype(np.int64) << self.low_bits
         if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little", count=self.n * self.low_bits).reshape(self.n, self.low_bits)
-            out |= bits.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+            at = a * self.low_bits
+            bits = np.unpackbits(self.low[at // 8 : (b * self.low_bits + 7) // 8], bitorder="little")[at % 8 :][: (b - a) * self.low_bits]
+            out |= bits.reshape(b - a, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
         return out
 
+    def values(self) -> np.ndarray:
+        """All values at once."""
+        return self.slice(0, self.n)
+
 
 def shard_bytes(keys: list[int | None], lengths: np.ndarray, ids: bytes, width: int) -> bytes:
     known = np.array([k for k in keys if k is not None], np.int64)
@@ -120,11 +140,16 @@ class Shard:
         n, nulls, total, width, least, a, b = (int(x) for x in np.frombuffer(raw, "<i8", 7, 8))
         at = 64
         self.bounds = EliasFano.from_bytes(memoryview(raw)[at : at + a])
-        names = EliasFano.from_bytes(memoryview(raw)[at + a : at + a + b])
-        self.keys = [None] * nulls + [least + int(v) for v in names.values()]
+        self.names = EliasFano.from_bytes(memoryview(raw)[at + a : at + a + b])
+        self.nulls, self.least = nulls, least
         self.ids = np.frombuffer(raw, f"<u{width}", total, at + a + b)
         self.n = n
 
+    def keys(self, a: int, b: int) -> list[int | None]:
+        """Document ids of the documents a to b."""
+        known = self.names.slice(max(a - self.nulls, 0), max(b - self.nulls, 0)) + self.least
+        return [None] * (max(min(b, self.nulls) - a, 0)) + known.tolist()
+
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
@@ -134,6 +159,7 @@ def _encoder(path: str) -> Pretokens:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
+    byte_level(json.loads(t.to_str()))
     tokenize = t.model.tokenize
     stand_in = str.maketrans(dict(enumerate(byte_symbols())))
 
@@ -161,8 +187,8 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, text: str
     """Write all documents' ids to ``folder`` and return the manifest: one row a file.
 
     Each distinct pre-token is encoded once by the tokenizers library. A range partitioning by id puts the files in
-    order; only it is a shuffle. The manifest has file, n_docs, n_ids and start, the ids
-    in all files before it.
+    order; only it is a shuffle. The manifest has file, n_docs, n_ids, start and first_doc, the
+    ids and documents in all files before it.
     """
     width = id_width(path)
 
@@ -205,8 +231,12 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, text: str
     spark = docs.sparkSession
     ranged = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange(partitions(spark), F.col("key").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("text"))
     manifest = cut(ranged.mapInArrow(run, "shard long, part long, file string, n_docs long, n_ids long"))
-    order = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(order), F.lit(0).cast("long")))
+    # one row a partition is numbered in one place; the files of a partition are numbered by themselves
+    summed = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    parts = manifest.groupBy("shard").agg(F.sum("n_ids").alias("all"), F.sum("n_docs").alias("all_docs"))
+    parts = parts.select("shard", summed("all", Window.orderBy("shard")).alias("ids_before"), summed("all_docs", Window.orderBy("shard")).alias("docs_before"))
+    own = Window.partitionBy("shard").orderBy("part")
+    return manifest.join(parts, "shard").select("shard", "part", "file", "n_docs", "n_ids", (F.col("ids_before") + summed("n_ids", own)).alias("start"), (F.col("docs_before") + summed("n_docs", own)).alias("first_doc"))
 
 
 def read_shards(manifest: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
@@ -218,10 +248,13 @@ def read_shards(manifest: DataFrame, folder: str, key: str = "doc_id") -> DataFr
             for file, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with fs.open_input_file(f"{at}/{file}") as f:
                     shard = Shard(f.read())
-                bounds = shard.bounds.values()
-                wide = np.ascontiguousarray(shard.ids, "<u4")
-                crc = [zlib.crc32(wide[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.keys, pa.int64()), pa.array(bounds[:-1] + start), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"])
+                for a in range(0, shard.n, DOCS):
+                    b = min(a + DOCS, shard.n)
+                    bounds = shard.bounds.slice(a, b + 1)
+                    wide = shard.ids[bounds[0] : bounds[-1]].astype("<u4")
+                    edge = (bounds - bounds[0]).tolist()
+                    crc = [zlib.crc32(wide[x:y]) for x, y in zip(edge[:-1], edge[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.keys(a, b), pa.int64()), pa.array(bounds[:-1] + start), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"])
 
     files = manifest.select("file", "start").repartition(partitions(manifest.sparkSession))
     return files.mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("key", key)
@@ -229,8 +262,7 @@ def read_shards(manifest: DataFrame, folder: str, key: str = "doc_id") -> DataFr
 
 def read_document(spark: SparkSession, manifest: DataFrame, folder: str, i: int) -> np.ndarray:
     """Ids of the i-th document over all files, by one manifest look-up and two selects."""
-    order = Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    row = manifest.withColumn("before", F.coalesce(F.sum("n_docs").over(order), F.lit(0))).where((F.col("before") <= i) & (F.lit(i) < F.col("before") + F.col("n_docs"))).first()
+    row = manifest.where((F.col("first_doc") <= i) & (F.lit(i) < F.col("first_doc") + F.col("n_docs"))).first()
     fs, at = _open(folder)
     with fs.open_input_file(f"{at}/{row['file']}") as f:
-        return Shard(f.read()).document(i - row["before"])
+        return Shard(f.read()).document(i - row["first_doc"])
