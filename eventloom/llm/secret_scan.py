@@ -17,8 +17,12 @@ small table. Both passes over the documents are narrow; only counts by group are
 
 Starts and ends are in code points. Matches are those of a scan from left to right that
 never overlap: texts between matches come from split(), so starts are running sums of
-lengths. Defined cases: null counts as empty (no spans); candidates that overlap a base
-span add none; repeated rows are scanned each; further columns are dropped.
+lengths. No pattern repeats a group, so matching never recurses, however long the text.
+
+Defined cases: null counts as empty (no spans); an empty table gives an empty one; texts of
+any length are scanned whole; spans that begin together are in order of kind; candidates
+that overlap a base span add none; repeated rows are scanned each; further columns are
+dropped but for those asked for, which come back in a struct where no name can clash.
 """
 
 from __future__ import annotations
@@ -36,7 +40,10 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 LEAST = 20
 CANDIDATE = rf"[A-Za-z0-9+/_-]{{{LEAST},}}"
-TEXTUAL = "^([A-Z]?[a-z]+([-_/+][A-Z]?[a-z]+)*|[A-Z]+([-_/+][A-Z]+)*)$"
+#: Words of one case, perhaps with a capital, that single separators join. Only classes are
+#: repeated, no groups, since Java matches those by recursion: the first pattern of a pair must
+#: match and the second must not.
+TEXTUAL = (("^[A-Za-z][A-Za-z_/+-]*[a-z]$", "[A-Za-z][A-Z]|[A-Z][_/+-]|[_/+-][_/+-]"), ("^[A-Z][A-Z_/+-]*[A-Z]$", "[_/+-][_/+-]"))
 #: Greatest share of false discoveries in a group; groups of fewer textual candidates than
 #: FEW use the fixed mean and deviation.
 RATE, FEW, MEAN, DEVIATION = 0.01, 30, 8.0, 2.0
@@ -98,7 +105,8 @@ def _tested(s: str) -> str:
     mean = "aggregate(v, 0D, (a, c) -> a + c) / n"
     serial = "coalesce(abs(aggregate(zip_with(slice(v, 1, size(v) - 1), slice(v, 2, size(v) - 1), (c, d) -> (c - mu) * (d - mu)), 0D, (a, c) -> a + c)) / nullif(aggregate(v, 0D, (a, c) -> a + power(c - mu, 2)), 0D), 1D)"
     size = f"CASE WHEN n < 24 THEN 20 WHEN n < 32 THEN 24 WHEN n < 48 THEN 32 WHEN n < 96 THEN 48 ELSE 96 END"
-    body = f"named_struct('unit', concat(e, cast({size} AS string)), 't', (({chi}) + ({runs}) + ({serial} * sqrt(n) - 0.8D) / 0.6D) / sqrt(3D), 'textual', {s} RLIKE '{TEXTUAL}')"
+    textual = " OR ".join(f"({s} RLIKE '{whole}' AND NOT {s} RLIKE '{amiss}')" for whole, amiss in TEXTUAL)
+    body = f"named_struct('unit', concat(e, cast({size} AS string)), 't', (({chi}) + ({runs}) + ({serial} * sqrt(n) - 0.8D) / 0.6D) / sqrt(3D), 'textual', {textual})"
     return let("e", code, let("n", f"cast(length({s}) AS double)", let("t", plain, let("x", "split(t, '')", let("v", places, let("mu", mean, body))))))
 
 
@@ -153,8 +161,16 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def redact(text: str, found: str, mask: str = "[REDACTED]") -> Column:
-    """The text with every span found replaced by the mask; overlapping spans become one."""
-    return F.expr(f"""CASE WHEN size({found}) = 0 THEN {text} ELSE aggregate({found}, named_struct('at', 0, 'out', ''),
+    """The text with every span found replaced by the mask; overlapping spans become one.
+
+    Spans are taken in blocks of ``BLOCK``, each over its own stretch of the text, and
+    their pieces are joined once.
+    """
+    block = f"transform(sequence(0, (size({found}) - 1) div {BLOCK}), i -> slice({found}, cast(i * {BLOCK} + 1 AS int), {BLOCK}))"
+    inner = f"""aggregate(blk, named_struct('at', p.base, 'out', cast(array() AS array<string>)),
         (acc, x) -> CASE WHEN x.start < acc.at THEN named_struct('at', greatest(acc.at, x.end), 'out', acc.out)
-          ELSE named_struct('at', x.end, 'out', concat(acc.out, substring({text}, acc.at + 1, x.start - acc.at), '{mask}')) END,
-        acc -> concat(acc.out, substring({text}, acc.at + 1))) END""")
+          ELSE named_struct('at', x.end, 'out', concat(acc.out, array(substring(p.part, acc.at - p.base + 1, x.start - acc.at), '{mask}'))) END)"""
+    return F.expr(f"""CASE WHEN size({found}) = 0 THEN {text} ELSE aggregate({block}, named_struct('at', 0, 'out', cast(array() AS array<string>)),
+        (big, blk) -> transform(array(named_struct('base', big.at, 'part', substring({text}, big.at + 1, greatest(array_max(transform(blk, x -> x.end)) - big.at, 0)))),
+          p -> transform(array({inner}), r -> named_struct('at', r.at, 'out', concat(big.out, array(array_join(r.out, '')))))[0])[0],
+        big -> concat(array_join(big.out, ''), substring({text}, big.at + 1))) END""")

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from hashlib import sha256
@@ -51,6 +52,70 @@ def test_battery_adds_random_strings_and_leaves_text(spark):
     assert not any(got[i]["spans"] for i in got if i not in planted)
 
 
+OLD_TEXTUAL = re.compile("([A-Z]?[a-z]+([-_/+][A-Z]?[a-z]+)*|[A-Z]+([-_/+][A-Z]+)*)")
+
+
+def battery(c):
+    """Group, T and textual of a candidate, by the docstring's definitions."""
+    e = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", c) else "b32" if re.fullmatch("[A-Z2-7]+", c) else "b64"
+    alphabet = S._ALPHABETS[e]
+    n, m = len(c), len(alphabet)
+    t = c.lower() if e == "hex" else c.replace("-", "+").replace("_", "/")
+    chi = ((m / n * sum(t.count(x) ** 2 for x in set(t)) - n) - (m - 1)) / math.sqrt(2 * (m - 1) * (n - 1) / n)
+    same = S._SAME[e]
+    runs = (1 + (n - 1) * (1 - same) - len(re.findall("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+", c))) / math.sqrt((n - 1) * same * (1 - same))
+    v = [alphabet.find(x) + 1 for x in t]
+    mu = sum(v) / n
+    below = sum((a - mu) ** 2 for a in v)
+    serial = abs(sum((a - mu) * (b - mu) for a, b in zip(v, v[1:], strict=False))) / below if below else 1.0
+    size = max(x for x in (20, 24, 32, 48, 96) if n >= x)
+    return f"{e}{size}", (chi + runs + (serial * math.sqrt(n) - 0.8) / 0.6) / math.sqrt(3), bool(OLD_TEXTUAL.fullmatch(c))
+
+
+def test_random_spans_equal_brute_force(spark):
+    rng = random.Random(21)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    slug = lambda: "-".join(rng.choice(["alpha", "beta", "Gamma", "delta", "omega"]) for _ in range(rng.randint(5, 9)))
+    odd = lambda: "".join(rng.choice(["aB", "x_", "Zz", "9", "lorem", "Q"]) for _ in range(rng.randint(10, 20)))
+    secret = lambda: "".join(rng.choice(alphabet) for _ in range(rng.randint(20, 60)))
+    base32 = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(32))
+    docs = [(i, " ".join(rng.choice([slug, slug, slug, odd, secret, base32])() for _ in range(6)) + " token=abcdefgh") for i in range(150)]
+    every = {i: [(m.start(), m.end(), *battery(m.group())) for m in re.finditer("[A-Za-z0-9+/_-]{20,}", t)] for i, t in docs}
+    groups = {}
+    for found in every.values():
+        for _, _, unit, t, textual in found:
+            groups.setdefault(unit, []).append((round(t, 2), textual))
+    most = {}
+    for unit, own in groups.items():
+        plain = [t for t, textual in own if textual]
+        mean, dev = S.MEAN, S.DEVIATION
+        if len(plain) >= S.FEW:
+            mean = sum(plain) / len(plain)
+            dev = max(math.sqrt(max(sum(t * t for t in plain) / len(plain) - mean * mean, 0)), 0.25)
+        z = [(t - mean) / dev for t, _ in own]
+        p = [math.floor(math.log1p(math.exp(min(-1.5976 * x - 0.07056 * x**3, 600.0))) / math.log(10) * S.FINE) for x in z]
+        ok = [t for (t, _), b in zip(own, p, strict=True) if 10 ** (-min(b, S.BINS) / S.FINE) <= S.RATE * sum(c >= min(b, S.BINS) for c in p) / len(p)]
+        if ok:
+            most[unit] = max(ok)
+    got = by_id(S.digest(S.scan(docs_frame(spark, docs))))
+    n = 0
+    for i, t in docs:
+        more = [(a, 3, b, "random") for a, b, unit, v, textual in every[i] if unit in most and round(v, 2) <= most[unit] and not textual and not any(x < b and a < y for x, _, y, _ in base(t))]
+        n += len(more)
+        assert got[i]["spans"] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted([*base(t), *more]))
+    assert n > 100
+
+
+def test_long_texts_recurse_nowhere(spark):
+    docs = [(0, "ab-" * 200_000 + "ab"), (1, "Ab/Cd_" * 100_000 + "ef"), (2, "AB+" * 100_000 + "CD"), (3, "a1" * 200_000), (4, "token=" + "ab-" * 100_000), (5, "token=abcdef " * 5_000)]
+    got = by_id(S.digest(S.scan(docs_frame(spark, docs))))
+    for i, t in docs:
+        assert got[i]["base_sha256"] == sha256(",".join(f"{n}:{a}:{b}" for a, _, b, n in base(t)).encode()).hexdigest()
+        assert "random" not in got[i]["spans"] or i == 3
+    found = S.scan(docs_frame(spark, docs[5:]), keep=("text",))
+    assert found.select(S.redact("row.text", "found").alias("x")).first().x == "[REDACTED] " * 5_000
+
+
 def test_redaction_and_rows(spark):
     t = "a token=abcdefgh b deadbeefdeadbeefdeadbeef00 c"
     found = S.scan(docs_frame(spark, [(1, t), (1, t), (None, "secret: 🙂 secret: abcdef!"), (3, None)]), keep=("text",))
