@@ -8,12 +8,15 @@ batch with presence rows P are (P Z^T) B; the product Z^T B is made once, so tha
 costs one matrix product and whole texts of any length one presence row.
 
 Training reads a bounded sample: about ``per_language`` rows of each language by hash of
-their id, of which ``landmarks`` are landmarks. Only presence rows (one bit a place) leave
-the tasks. Counts by language cover all training rows.
+their id, of which ``landmarks`` in all, one a language at least, are landmarks. The driver
+gets the landmarks' presence rows (one bit a place) and sums of feature products that tasks
+make over blocks of the sample; neither grows with the sample. Counts by language cover all
+training rows.
 
 Defined cases: null texts and texts without a letter get ``und`` and score 0, as does every
-text if there is nothing to learn from; ties go to the first language in order of name;
-repeated rows are scored each; further columns are dropped.
+text if there is nothing to learn from; an empty table gives an empty one; texts of any
+length are read whole and cost one presence row; ties go to the first language in order of
+name; repeated rows are scored each; further columns are dropped.
 """
 
 from __future__ import annotations
@@ -22,16 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import crc_mod, mapped
+from .frames import crc_mod, cut, mapped
 from .textops import chunked, utf8
 
 ORDERS = 3
 DIM = 1 << 14
 #: Languages at most; more are an error, since the model is broadcast.
 MOST_LANGUAGES = 1000
+#: Texts whose presence rows are held at once, and tasks that sum feature products.
+ROWS, SUMS = 512, 8
 _MIX = np.uint32(0x9E3779B1)
 #: Margins are sharpened by this before they become probabilities.
 SHARP = 6.0
@@ -56,27 +61,41 @@ def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-class Model:
-    """Weights by place and language; margins by one matrix product."""
-
-    def __init__(self, rows: np.ndarray, labels: list[str], landmarks: int, ridge: float = 1e-3):
-        self.names = sorted(set(labels))
-        x = rows.astype(np.float64)
-        x /= np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1.0)
-        y = np.where(np.array(labels)[:, None] == np.array(self.names)[None, :], 1.0, -1.0)
-        each = max(1, landmarks // len(self.names))
-        mine = np.concatenate([np.flatnonzero(np.array(labels) == name)[:each] for name in self.names])
-        z = x[mine]
-        value, vector = np.linalg.eigh(z @ z.T)
+def _unit(rows: np.ndarray) -> np.ndarray:
+    x = rows.astype(np.float64)
+    return x / np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1.0)
+
+
+def _unpacked(bits: list[bytes]) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(bits), np.uint8)).reshape(len(bits), DIM)
+
+
+class Landmarks:
+    """Nystroem features: products with landmark rows, whitened."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows = _unit(rows)
+        value, vector = np.linalg.eigh(self.rows @ self.rows.T)
         keep = value > 1e-8 * value[-1]
-        half = vector[:, keep] / np.sqrt(value[keep])
-        phi = x @ z.T @ half
-        phi = np.c_[phi, np.ones(len(phi))]
-        count = np.array([labels.count(name) for name in self.names])
-        weight = 1.0 / count[[self.names.index(v) for v in labels]]
-        gram = phi.T @ (phi * weight[:, None]) + ridge * np.eye(phi.shape[1])
-        beta = np.linalg.solve(gram, phi.T @ (y * weight[:, None]))
-        self.weights = (z.T @ (half @ beta[:-1])).astype(np.float32)
+        self.half = vector[:, keep] / np.sqrt(value[keep])
+
+    def features(self, rows: np.ndarray) -> np.ndarray:
+        phi = _unit(rows) @ self.rows.T @ self.half
+        return np.c_[phi, np.ones(len(phi))]
+
+
+class Model:
+    """Weights by place and language; margins by one matrix product.
+
+    ``gram`` sums weighted outer products of features and ``sums`` the weighted features of
+    each language, with weights that give every language the same total.
+    """
+
+    def __init__(self, names: list[str], marks: Landmarks, gram: np.ndarray, sums: np.ndarray, ridge: float = 1e-3):
+        self.names = names
+        right = 2 * sums.T - sums.sum(axis=0)[:, None]  # 1 for the own language and -1 for the others
+        beta = np.linalg.solve(gram + ridge * np.eye(len(gram)), right)
+        self.weights = (marks.rows.T @ (marks.half @ beta[:-1])).astype(np.float32)
         self.bias = beta[-1].astype(np.float32)
 
     def score(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,15 +123,38 @@ def fit(docs: DataFrame, train: Column, per_language: int, landmarks: int, key:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, offsets = utf8(batch.column(1))
-        for lo, hi in chunked(offsets):
+        for lo, hi in chunked(offsets, rows=ROWS):
             bits = np.packbits(presence(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]), axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([b.tobytes() for b in bits], pa.binary())], ["lang", "draw", "bits"])
 
     chosen = rows.where(draw < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.lower(text).alias("text"), F.xxhash64(F.col(key).cast("string"), text).alias("draw"))
-    got = sorted(tuple(r) for r in mapped(chosen, run, "lang string, draw long, bits binary").collect())
+    sample = cut(mapped(chosen, run, "lang string, draw long, bits binary"))
+    each = max(1, landmarks // len(counts))
+    first = sample.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "bits"))).where(F.col("place") <= each)
+    got = sorted(tuple(r) for r in first.select("lang", "draw", "bits").collect())  # at most landmarks rows, or one a language
     if not got:
         return None
-    return Model(np.unpackbits(np.frombuffer(b"".join(r[2] for r in got), np.uint8)).reshape(len(got), DIM), [r[0] for r in got], landmarks)
+    names = sorted(counts)
+    marks = Landmarks(_unpacked([r[2] for r in got]))
+    shared = docs.sparkSession.sparkContext.broadcast((marks, {name: (i, 1.0 / min(counts[name], per_language)) for i, name in enumerate(names)}))
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, place = shared.value
+        m = marks.half.shape[1] + 1
+        gram, sums = np.zeros((m, m)), np.zeros((len(place), m))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                phi = marks.features(_unpacked(part.column(1).to_pylist()))
+                at, weight = (np.array(x) for x in zip(*(place[name] for name in part.column(0).to_pylist()), strict=True))
+                gram += phi.T @ (phi * weight[:, None])
+                np.add.at(sums, at, phi * weight[:, None])
+        yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary())], ["gram", "sums"])
+
+    parts = sample.select("lang", "bits").repartition(SUMS).mapInArrow(total, "gram binary, sums binary").collect()
+    m = marks.half.shape[1] + 1
+    gram = sum(np.frombuffer(p.gram).reshape(m, m) for p in parts)
+    return Model(names, marks, gram, sum(np.frombuffer(p.sums).reshape(len(names), m) for p in parts))
 
 
 def identify(docs: DataFrame, train: Column | None = None, per_language: int = 400, landmarks: int = 256, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -125,7 +167,7 @@ def identify(docs: DataFrame, train: Column | None = None, per_language: int = 4
         m = shared.value
         data, offsets = utf8(batch.column(2))
         usable = batch.column(3).to_numpy(zero_copy_only=False)
-        for lo, hi in chunked(offsets):
+        for lo, hi in chunked(offsets, rows=ROWS):
             if m is None:
                 name, score = ["und"] * (hi - lo), np.zeros(hi - lo)
             else:

@@ -65,12 +65,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunked(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``most`` bytes each."""
+def chunked(offsets: np.ndarray, most: int = CHUNK, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``most`` bytes, and of ``rows`` rows at most."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1
-        hi = min(max(hi, lo + 1), n)
+        hi = min(max(hi, lo + 1), n, lo + (rows or n))
         yield lo, hi
         lo = hi
 

@@ -6,7 +6,8 @@ log-odds exceed ``FLOOR`` and ``Z`` standard errors keep them as their score, an
 ``DRIFT``, so that scores fall on average. A linear scan finds all maximal-scoring segments
 (each positive word and gap is looked at once, but for merges). A segment of score s among
 n words has extreme-value significance E = K n exp(-lambda s), with lambda from the
-background's score distribution; segments with E below ``ALPHA`` are passages, and a text's
+background's score distribution and K from the segments of a word's least score or more
+that the background's texts show; segments with E below ``ALPHA`` are passages, and a text's
 evidence is the sum of their lambda s - ln(K n). A logistic curve fitted on the training
 texts turns evidence into a score.
 
@@ -16,9 +17,11 @@ curve each sampled row weighs as many rows as it stands for (its class's labelle
 rows, counted over all data, over the sampled ones), so a score of 0.5 means the natural mix
 at any size.
 
-Defined cases: null and empty texts have no passage and the score of no evidence; labels
-other than 0 and 1, and null ids, are ignored; rows that repeat a label's id count once by
-greatest label; without labels of both classes every score is 0; further columns are dropped.
+Defined cases: null and empty texts have no passage and the score of no evidence; an empty
+documents table gives an empty one; texts of any length are scanned whole, in linear time;
+labels other than 0 and 1, and null ids, are ignored; rows that repeat a label's id count
+once by greatest label; without labels of both classes every score is 0; equal sums don't
+merge segments; further columns are dropped but for those asked for, in a struct.
 """
 
 from __future__ import annotations
@@ -39,33 +42,36 @@ PRIOR = 0.1
 #: a little commoner in the toxic rows, as a whole language may be, count nothing.
 Z, FLOOR = 2.5, 1.5
 DRIFT = 0.02
-#: Extreme-value constant and greatest E of a passage.
-K, ALPHA = 0.1, 1.0
+#: Greatest E of a passage.
+ALPHA = 0.005
 _PASSAGES = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("evidence", pa.float64())]))
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first, end, score) of a sequence; linear time.
 
-    Candidates are kept with their left and right cumulative sums; a new positive stretch
-    merges with the latest candidate that starts lower and ends lower, again and again.
+    Candidates are kept with their left and right cumulative sums and a link to the latest
+    earlier one of a smaller left sum. A new positive stretch follows links, none of which
+    is followed twice, and merges with the candidate found if that ends lower, again and again.
     """
-    found: list[list] = []  # first, end, sum before, sum after
+    found: list[tuple[int, int, float, float, int]] = []  # first, end, sum before, sum after, link
     before = np.r_[0.0, np.cumsum(score)]
     positive = score > 0
-    edge = np.flatnonzero(np.diff(np.r_[False, positive, False])).tolist()
-    for a, b in zip(edge[::2], edge[1::2], strict=True):
-        now = [a, b, float(before[a]), float(before[b])]
+    edge = np.flatnonzero(np.diff(np.r_[False, positive, False]))
+    sums = before[edge].tolist()
+    edge = edge.tolist()
+    for a, b, lo, hi in zip(edge[::2], edge[1::2], sums[::2], sums[1::2], strict=True):
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= now[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= now[3]:
-                found.append(now)
+            while j >= 0 and found[j][2] >= lo:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= hi:
+                found.append((a, b, lo, hi, j))
                 break
-            now = [found[j][0], now[1], found[j][2], now[3]]
+            a, lo, link = found[j][0], found[j][2], found[j][4]
             del found[j:]
-    return [(a, b, hi - lo) for a, b, lo, hi in found]
+            j = link
+    return [(a, b, hi - lo) for a, b, lo, hi, _ in found]
 
 
 class Model:
@@ -75,6 +81,7 @@ class Model:
         order = np.argsort(hashes)
         self.hashes, self.scores = hashes[order], scores[order]
         self.rate = self._rate(scores, background)
+        self.k = 0.1
         self.curve = (0.0, -50.0)
 
     @staticmethod
@@ -89,26 +96,43 @@ class Model:
             lo, hi = (mid, hi) if mean < 1 else (lo, mid)
         return (lo + hi) / 2
 
-    def passages(self, w: Words, row: int) -> list[tuple[int, int, float]]:
-        """Significant segments of a text in word positions, with lambda s - ln(K n)."""
+    def calibrate(self, found: int, n_words: int) -> None:
+        """K such that n_words of background are expected to show the segments of FLOOR or more that they do."""
+        self.k = max(found, 1) * np.exp(self.rate * FLOOR) / max(n_words, 1)
+
+    def count(self, w: Words) -> np.ndarray:
+        """Segments of FLOOR or more of each text."""
+        out = np.zeros(len(w.first) - 1, np.int64)
+        for r in self._touched(w):
+            out[r] = sum(s >= FLOOR - DRIFT for _, _, s in self._segments(w, r))
+        return out
+
+    def _touched(self, w: Words) -> list[int]:
+        """Texts that hold a scored word."""
+        if not len(self.hashes):
+            return []
+        at = np.searchsorted(self.hashes, w.hash)
+        at[at == len(self.hashes)] = 0
+        return np.unique(w.row[self.hashes[at] == w.hash]).tolist()
+
+    def _segments(self, w: Words, row: int) -> list[tuple[int, int, float]]:
         a, b = int(w.first[row]), int(w.first[row + 1])
         own = w.hash[a:b]
         at = np.searchsorted(self.hashes, own)
         at[at == len(self.hashes)] = 0
         hit = self.hashes[at] == own
-        if not hit.any():
-            return []
-        score = np.where(hit, self.scores[at], 0.0) - DRIFT
-        out = [(x, y, self.rate * s - np.log(K * max(b - a, 1))) for x, y, s in segments(score)]
+        return segments(np.where(hit, self.scores[at], 0.0) - DRIFT)
+
+    def passages(self, w: Words, row: int) -> list[tuple[int, int, float]]:
+        """Significant segments of a text in word positions, with lambda s - ln(K n)."""
+        n = int(w.first[row + 1] - w.first[row])
+        out = [(x, y, self.rate * s - np.log(self.k * max(n, 1))) for x, y, s in self._segments(w, row)]
         return [p for p in out if p[2] > -np.log(ALPHA)]
 
     def evidence(self, w: Words) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
         found: list[list[tuple[int, int, float]]] = [[] for _ in range(len(w.first) - 1)]
-        if len(self.hashes):
-            at = np.searchsorted(self.hashes, w.hash)
-            at[at == len(self.hashes)] = 0
-            for r in np.unique(w.row[self.hashes[at] == w.hash]).tolist():
-                found[r] = self.passages(w, r)
+        for r in self._touched(w):
+            found[r] = self.passages(w, r)
         return np.array([sum(p[2] for p in f) for f in found], np.float64), found
 
     def fit_curve(self, evidence: np.ndarray, label: np.ndarray, weight: np.ndarray) -> None:
@@ -174,6 +198,15 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int, key:
     scored = counts.select("h", "c0", (log_odds("c1", n1) - log_odds("c0", n0)).alias("d"), F.sqrt(1 / (F.col("c1") + prior) + 1 / (F.col("c0") + prior)).alias("e"))
     kept = scored.where((F.col("d") > FLOOR) & (F.col("d") > Z * F.col("e"))).select("h", "c0", "d").toArrow()
     model = Model(kept.column(0).to_numpy().view(np.uint64), kept.column(2).to_numpy(), (kept.column(1).to_numpy() + 0.5) / (n0 + 1.0))
+    plain = docs.sparkSession.sparkContext.broadcast(model)
+
+    def background(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        data, offsets = utf8(batch.column(0))
+        for lo, hi in chunked(offsets):
+            w = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], ALNUM, lower=True)
+            yield pa.RecordBatch.from_arrays([pa.array([int(plain.value.count(w).sum())]), pa.array([len(w.row)])], ["found", "n"])
+
+    model.calibrate(*mapped(rows.where("y = 0"), background, "found long, n long").agg(F.coalesce(F.sum("found"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first())
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def weigh(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -41,6 +41,41 @@ def test_language_of_odd_texts(spark):
     assert language_id.identify(unlabelled).first().lang_pred == "und"
 
 
+def folded(text):
+    b = text.lower().encode()
+    return {((int.from_bytes(b[i : i + k], "big") + (k << 24)) * 0x9E3779B1 % 2**32) >> 18 for k in (1, 2, 3) for i in range(len(b) - k + 1)}
+
+
+def test_margins_equal_a_direct_computation(spark):
+    """Presence kernel, Nystroem map and balanced ridge regression by their definitions."""
+    docs, truth = labelled(spark, 150)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    train = [i for i in sorted(text) if zlib.crc32(str(i).encode()) % 3 != 1]
+    model = language_id.fit(docs, language_id.crc_mod("doc_id", 3) != 1, 10_000, 10_000, "doc_id", "text", "lang")  # every training row is a landmark
+    grams = {i: folded(t) for i, t in text.items()}
+    kernel = lambda a, b: np.array([[len(grams[i] & grams[j]) / np.sqrt(len(grams[i]) * len(grams[j])) for j in b] for i in a])
+    own = kernel(train, train)
+    value, vector = np.linalg.eigh(own)
+    keep = value > 1e-8 * value[-1]
+    half = vector[:, keep] / np.sqrt(value[keep])
+    phi = lambda ids: np.c_[kernel(ids, train) @ half, np.ones(len(ids))]
+    names = sorted(WORDS)
+    y = np.array([[1.0 if truth[i] == n else -1.0 for n in names] for i in train])
+    w = np.array([1.0 / sum(truth[j] == truth[i] for j in train) for i in train])
+    x = phi(train)
+    beta = np.linalg.solve(x.T @ (x * w[:, None]) + 1e-3 * np.eye(x.shape[1]), x.T @ (y * w[:, None]))
+    want = phi(sorted(text)) @ beta
+    raw = [text[i].lower().encode() for i in sorted(text)]
+    rows = language_id.presence(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])])
+    got = rows.astype(np.float32) @ model.weights / np.sqrt(rows.sum(axis=1))[:, None] + model.bias
+    assert model.names == names and np.abs(got - want).max() < 1e-3
+
+
+def test_many_short_rows_stay_small():
+    offsets = np.arange(0, 20_002, 2)
+    assert max(b - a for a, b in language_id.chunked(offsets, rows=language_id.ROWS)) == language_id.ROWS
+
+
 def test_presence_is_of_whole_texts_and_apart():
     def grams(t):
         b = t.encode()
@@ -82,6 +117,56 @@ def test_segments_are_the_maximal_ones(values):
     assert all(abs(x[a:b].sum() - s) < 1e-9 for a, b, s in got)
 
 
+def test_segments_of_long_falling_sequences_take_linear_time():
+    n = 500_000
+    x = np.tile([1.0, -1.5], n)  # sums fall, so every stretch stays a candidate
+    assert len(toxicity.segments(x)) == n
+    y = np.tile([1.0, -0.5], n)  # sums rise, so all merge
+    assert toxicity.segments(y) == [(0, 2 * n - 1, 0.5 * (n - 1) + 1.0)]
+
+
+def test_scores_equal_a_direct_computation(spark):
+    """Word scores, rate, K, evidence and curve by the docstring's definitions."""
+    docs, labels = toxic_rows()
+    text = {i: t.lower().split() for i, t in docs}
+    train = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5 != 0]
+    count = {}
+    for i, y in train:
+        for word in set(text[i]):
+            count.setdefault(word, [0, 0])[y] += 1
+    n = [sum(c[k] for c in count.values()) for k in (0, 1)]
+    total = toxicity.PRIOR * sum(n)
+    score = {}
+    for word, c in count.items():
+        prior = toxicity.PRIOR * sum(c)
+        odds = [np.log((c[k] + prior) / (n[k] + total - c[k] - prior)) for k in (0, 1)]
+        if odds[1] - odds[0] > max(toxicity.FLOOR, toxicity.Z * np.sqrt(1 / (c[0] + prior) + 1 / (c[1] + prior))):
+            score[word] = odds[1] - odds[0]
+    assert 3 <= len(score) < 20
+    share = {word: (count[word][0] + 0.5) / (n[0] + 1) for word in score}
+    mean = lambda v: sum(share[x] * np.exp(v * (score[x] - toxicity.DRIFT)) for x in score) + (1 - sum(share.values())) * np.exp(-v * toxicity.DRIFT)
+    lo, hi = 1e-6, 50.0
+    for _ in range(80):
+        lo, hi = ((lo + hi) / 2, hi) if mean((lo + hi) / 2) < 1 else (lo, (lo + hi) / 2)
+    rate = (lo + hi) / 2
+    found = {i: [s for _, _, s in toxicity.segments(np.array([score.get(x, 0.0) - toxicity.DRIFT for x in w]))] for i, w in text.items()}
+    clean = [i for i, y in train if not y]
+    k = max(sum(s >= toxicity.FLOOR - toxicity.DRIFT for i in clean for s in found[i]), 1) * np.exp(rate * toxicity.FLOOR) / sum(len(text[i]) for i in clean)
+    evidence = {i: sum(e for s in found[i] if (e := rate * s - np.log(k * max(len(text[i]), 1))) > -np.log(toxicity.ALPHA)) for i in text}
+    slope = bias = 0.0
+    for _ in range(50):
+        g, h = np.array([-0.1 * slope, -0.1 * bias]), np.diag([0.1, 0.1])
+        for i, y in train:
+            x = np.array([np.log1p(evidence[i]), 1.0])
+            p = 1 / (1 + np.exp(-np.clip(slope * x[0] + bias, -50, 50)))
+            g, h = g + x * (y - p), h + np.outer(x, x) * p * (1 - p)
+        slope, bias = np.array([slope, bias]) + np.linalg.solve(h, g)
+    rows = toxicity.score(docs_frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    for r in rows:
+        assert abs(r.evidence - evidence[r.doc_id]) < 1e-6 * max(1.0, evidence[r.doc_id])
+        assert abs(r.score - 1 / (1 + np.exp(-(slope * np.log1p(evidence[r.doc_id]) + bias)))) < 1e-6
+
+
 def toxic_rows():
     rng = random.Random(4)
     plain = [f"word{i}" for i in range(80)]

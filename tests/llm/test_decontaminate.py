@@ -51,6 +51,27 @@ def test_matches_brute_force_in_one_block_and_in_many(spark, block):
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == w, i
 
 
+def test_long_items_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(D, "PIECE", 7)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([10, 16, 17, 90])))) for k in range(8)]
+    docs = [(k, " ".join(rng.choice(words) for _ in range(5)) + " " + " ".join(items[k % 8][1].split()[k : k + 30])) for k in range(40)]
+    got = by_id(D.digest(D.decontaminate(docs_frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), block_bytes=400)))
+    for i, w in brute(docs, items).items():
+        r = got[i]
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == w, i
+
+
+def test_index_size_is_bounded_by_its_text():
+    rng = random.Random(3)
+    prose = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(300_000))
+    letters = " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000))
+    for text, most in ((prose, 9), (letters, 25)):
+        pieces = [("a", 300_000, text)]
+        assert D.Index(pieces, 10).nbytes() < most * len(text)
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     rows = D.digest(D.decontaminate(docs_frame(spark, [(None, "x a b c"), (7, "a b c"), (7, "a b c"), (7, "z")]), bench)).collect()
