@@ -7,18 +7,20 @@ repeated window covers go; overlapping and touching windows merge into maximal i
 
 Flow: (1) a map task hashes the windows of a batch, keeps each hash's earliest window and
 marks the others, so a passage that every document holds is sent once a batch; (2) the
-kept hashes are dealt by value into partitions, as byte planes of about 9 bytes a window;
+kept hashes are dealt by value into partitions, as byte planes of about 14 bytes a window;
 (3) each partition marks all but the earliest window of each hash; (4) marks, packed for
-many documents a row, are dealt by document and joined with the texts, which are cut.
-
-Hashes have 56 bits besides the partition's number, over 61 in all; equal hashes count as
-equal windows. With n windows in all about n * n / 2**62 of them are taken for repeated by
-chance: 0.005 for 10**8, and ``length``-word windows are not compared again.
-
-Defined cases: null and empty texts have no words; a null document id sorts before all
-others; rows with one id and one text are one document (both copies keep and lose the same
-words), rows with one id and different texts are judged against each other only by start;
-further columns are dropped.
+many documents a row, are dealt by document and joined with those texts that a Bloom filter
+over marked documents lets pass, which are cut; all other texts are never shuffled.
+
+Two hashes of different bases tell windows apart, 96 bits of them and the partition's
+number besides: with n windows about n * n / 2**97 are taken for repeated by chance in one
+partition and fewer in more, 1e-5 for 10**12 windows. Words are not compared again.
+
+Defined cases: null and empty texts have no words; an empty table gives an empty one; a
+text of any length is hashed whole, piece by piece of a batch; a null document id sorts
+before all others; rows with one id and one text are one document (both copies keep and
+lose the same words), rows with one id and different texts are judged against each other
+only by start; further columns are dropped.
 """
 
 from __future__ import annotations
@@ -30,20 +32,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import partitions
+from .bloom import bloom, may_hold
+from .frames import cut, mapped, partitions
 from .textops import SPACED, chunked, mix, planes, unplanes, utf8, words
 
 #: Bytes of text whose windows are grouped before the shuffle.
 BATCH = 8 << 20
-_WIDTH = 7
+#: Bytes kept of either hash.
+_WIDTH, _WIDTH2 = 7, 5
 _LEAST = np.iinfo(np.int64).min
 
 
-def _earliest(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Mask of the windows that are the earliest (doc, at) of their hash; ties are all earliest."""
-    order = np.lexsort((at, doc, h))
-    hs, ds, ts = h[order], doc[order], at[order]
-    fresh = np.r_[True, hs[1:] != hs[:-1]] if len(h) else np.zeros(0, bool)
+def _earliest(h: np.ndarray, g: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Mask of the windows that are the earliest (doc, at) of their two hashes; ties are all earliest."""
+    order = np.lexsort((at, doc, g, h))
+    hs, gs, ds, ts = h[order], g[order], doc[order], at[order]
+    fresh = np.r_[True, (hs[1:] != hs[:-1]) | (gs[1:] != gs[:-1])] if len(h) else np.zeros(0, bool)
     group = np.flatnonzero(fresh)
     lead = np.repeat(group, np.diff(np.r_[group, len(h)]))
     out = np.zeros(len(h), bool)
@@ -108,20 +112,20 @@ def _merge_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(digest[own]), pa.array(blobs, pa.binary())], ["doc", "digest", "starts"])
 
 
-def _pack(h, row, at, docs, digests) -> bytes:
+def _pack(h, g, row, at, docs, digests) -> bytes:
     """Windows of one batch and partition, in order of document and start."""
     own, first, count = np.unique(row, return_index=True, return_counts=True)
     step = np.diff(at, prepend=0)
     step[first] = at[first]
     head = np.array([len(h), len(own)], "<u8").tobytes()
-    return head + planes(h, _WIDTH) + planes(step, 4) + planes(count, 4) + docs[own].astype("<i8").tobytes() + digests[own].astype("<i8").tobytes()
+    return head + planes(h, _WIDTH) + planes(g, _WIDTH2) + planes(step, 4) + planes(count, 4) + docs[own].astype("<i8").tobytes() + digests[own].astype("<i8").tobytes()
 
 
 def _unpack(raw: bytes):
     n, m = (int(x) for x in np.frombuffer(raw, "<u8", 2))
     view, at = memoryview(raw), 16
-    h = unplanes(view[at:], n, _WIDTH)
-    at += n * _WIDTH
+    h, g = unplanes(view[at:], n, _WIDTH), unplanes(view[at + n * _WIDTH :], n, _WIDTH2)
+    at += n * (_WIDTH + _WIDTH2)
     step = unplanes(view[at:], n, 4).astype(np.int64)
     at += n * 4
     count = unplanes(view[at:], m, 4).astype(np.int64)
@@ -129,7 +133,7 @@ def _unpack(raw: bytes):
     docs, digests = np.frombuffer(raw, "<i8", m, at), np.frombuffer(raw, "<i8", m, at + m * 8)
     total = np.cumsum(step)
     first = np.r_[0, np.cumsum(count)[:-1]]
-    return h, np.repeat(docs, count), np.repeat(digests, count), total - np.repeat(total[first] - step[first], count)
+    return h, g, np.repeat(docs, count), np.repeat(digests, count), total - np.repeat(total[first] - step[first], count)
 
 
 def _hash_windows(length: int, n_parts: int):
@@ -141,26 +145,27 @@ def _hash_windows(length: int, n_parts: int):
             doc = batch.column(0).to_numpy(zero_copy_only=False)
             digest = batch.column(1).to_numpy(zero_copy_only=False)
             for lo, hi in chunked(offsets, BATCH):
-                hashes, rows, starts = [], [], []
+                hashes, others, rows, starts = [], [], [], []
                 for a, b in chunked(offsets[lo : hi + 1] - offsets[lo]):
                     a, b = a + lo, b + lo
                     w = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SPACED)
                     at = np.flatnonzero(w.spans(length))
                     hashes.append(w.grams(length)[at])
+                    others.append(w.grams(length, 1)[at] >> np.uint64(64 - 8 * _WIDTH2))
                     rows.append(w.row[at] + a)
                     starts.append(at - w.first[w.row[at]])
-                h, row, at = np.concatenate(hashes), np.concatenate(rows), np.concatenate(starts)
-                first = _earliest(h, doc[row], at)
+                h, g, row, at = (np.concatenate(x) for x in (hashes, others, rows, starts))
+                first = _earliest(h, g, doc[row], at)
                 part = (h >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)
                 again = ~first
                 if again.any():
                     known = _marks(doc[row[again]], digest[row[again]], at[again], n_parts)
                     yield pa.RecordBatch.from_arrays([*known.columns, pa.nulls(known.num_rows, pa.binary())], ["part", "marks", "windows"])
-                h, row, at, part = h[first], row[first], at[first], part[first].astype(np.int64)
+                h, g, row, at, part = h[first], g[first], row[first], at[first], part[first].astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 bound = np.searchsorted(part[order], np.arange(n_parts + 1))
                 used = np.flatnonzero(np.diff(bound))
-                blobs = [_pack(h[o := order[bound[p] : bound[p + 1]]], row[o], at[o], doc, digest) for p in used.tolist()]
+                blobs = [_pack(h[o := order[bound[p] : bound[p + 1]]], g[o], row[o], at[o], doc, digest) for p in used.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.nulls(len(used), pa.binary()), pa.array(blobs, pa.binary())], ["part", "marks", "windows"])
 
     return run
@@ -177,13 +182,13 @@ def _find_repeats(n_parts: int):
                 yield known.select(["part", "marks"])
             parts += [_unpack(raw) for raw in batch.column(2).to_pylist() if raw is not None]
         if parts:
-            h, doc, digest, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            h, g, doc, digest, at = (np.concatenate(x) for x in zip(*parts, strict=True))
             del parts
             order = np.argsort(h, kind="stable")
             same = h[order][1:] == h[order][:-1]
             order = order[np.r_[False, same] | np.r_[same, False]]  # those that stand alone need no more
-            h, doc, digest, at = h[order], doc[order], digest[order], at[order]
-            again = ~_earliest(h, doc, at)
+            h, g, doc, digest, at = h[order], g[order], doc[order], digest[order], at[order]
+            again = ~_earliest(h, g, doc, at)
             if again.any():
                 yield _marks(doc[again], digest[again], at[again], n_parts)
 
@@ -210,29 +215,39 @@ def repeated_windows(docs: DataFrame, length: int, key: str = "doc_id", text: st
 def remove_repeats(docs: DataFrame, length: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, n_removed, kept (text of the kept words, joined by one space) and spans of removed words of every row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            starts = batch.column(2).to_pylist()
-            for lo, hi in chunked(offsets):
-                w = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], SPACED)
-                removed, kept, spans = [], [], []
-                for r in range(hi - lo):
-                    a, b = int(w.first[r]), int(w.first[r + 1])
-                    gone = np.zeros(b - a, bool)
-                    if raw := starts[lo + r]:
-                        gone = cover(np.cumsum(unplanes(raw, len(raw) // 4, 4).astype(np.int64)), length, b - a)
-                    edge = np.flatnonzero(np.diff(np.r_[False, gone, False]))
-                    spans.append(edge.tolist())
-                    removed.append(int(gone.sum()))
-                    kept.append(b" ".join([w.text(a + s, a + e) for s, e in _runs(~gone)]) if removed[-1] else (w.text(a, b) if b > a else b""))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(w.first)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(pa.int64()))], ["key", "n_words", "n_removed", "kept", "spans"])
-
-    marks = repeated_windows(docs, length, key, text)
-    base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(_LEAST)).alias("doc"), F.xxhash64(text).alias("digest"))
-    joined = base.join(marks, ["doc", "digest"], "left").select("key", "text", "starts")
+    def removed(keys: pa.Array, texts: pa.Array, starts: list[bytes | None]) -> Iterator[pa.RecordBatch]:
+        data, offsets = utf8(texts)
+        for lo, hi in chunked(offsets):
+            w = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], SPACED)
+            count, kept, spans = [], [], []
+            for r in range(hi - lo):
+                a, b = int(w.first[r]), int(w.first[r + 1])
+                gone = np.zeros(b - a, bool)
+                if raw := starts[lo + r]:
+                    gone = cover(np.cumsum(unplanes(raw, len(raw) // 4, 4).astype(np.int64)), length, b - a)
+                edge = np.flatnonzero(np.diff(np.r_[False, gone, False]))
+                spans.append(edge.tolist())
+                count.append(int(gone.sum()))
+                kept.append(b" ".join([w.text(a + s, a + e) for s, e in _runs(~gone)]) if count[-1] else (w.text(a, b) if b > a else b""))
+            yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), pa.array(np.diff(w.first)), pa.array(count, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(pa.int64()))], ["key", "n_words", "n_removed", "kept", "spans"])
+
+    marks = cut(repeated_windows(docs, length, key, text))
+    bits = docs.sparkSession.sparkContext.broadcast(bloom(marks, "doc"))
+    base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(_LEAST)).alias("doc"))
     kind = docs.schema[key].dataType.simpleString()
-    return joined.mapInArrow(run, f"key {kind}, n_words long, n_removed long, kept string, spans array<long>").withColumnRenamed("key", key)
+    schema = f"key {kind}, n_words long, n_removed long, kept string, spans array<long>"
+
+    def unmarked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        batch = batch.filter(pa.array(~may_hold(bits.value, batch.column(2).to_numpy())))
+        yield from removed(batch.column(0), batch.column(1), [None] * batch.num_rows)
+
+    def perhaps(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(may_hold(bits.value, batch.column(2).to_numpy())))
+
+    marked = mapped(base, perhaps, f"key {kind}, text string, doc long").withColumn("digest", F.xxhash64("text"))
+    joined = marked.join(marks, ["doc", "digest"], "left").select("key", "text", "starts")
+    out = mapped(base, unmarked, schema).union(mapped(joined, lambda batch: removed(batch.column(0), batch.column(1), batch.column(2).to_pylist()), schema))
+    return out.withColumnRenamed("key", key)
 
 
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
