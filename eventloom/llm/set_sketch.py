@@ -12,18 +12,24 @@ one representative, so copies are never paired; (2) bands of registers are keys,
 key's documents are paired with its least document only; (3) pairs are estimated jointly
 by maximum likelihood from sizes and register order, and those within reach of the
 threshold are confirmed on full sets, which a second scan rebuilds just for the documents
-that a Bloom filter of fixed size lets pass; (4) components of confirmed links; (5) where
-documents that candidate pairs connect still fall into several components, full sets are
-compared across components in cells of bounded size, by products of membership matrices
-inside tasks, so that no link of documents with a common key is lost and no pairs are
-emitted but new links.
-
-With 40 bands of 5 registers a pair at similarity 0.8 shares no key with probability
-(1 - 0.8**5)**40, about 1e-7; the estimate may fall 5 standard errors short.
-
-Defined cases: null and empty texts have an empty set and link with nothing; a text of
-fewer words than a shingle is one element; rows that repeat an id are one node, whose links
-are those of all its rows; a null id is a node below all others; further columns are dropped.
+that a Bloom filter of bounded size lets pass; (4) components of confirmed links; (5) where
+a key's documents still fall into several components, they are compared across components,
+so that no link of documents with a common key is lost: keys of at most ``FEW`` documents
+by the pairs of their documents, estimated and confirmed as before, and larger ones by
+full sets in cells of bounded size, as products of membership matrices inside tasks, which
+give back a spanning forest of new links. Documents that larger keys tie together are one
+family there, so that documents with many common keys meet once.
+
+Bands are the longest of ``REGISTERS`` registers that a pair at the threshold misses with a
+chance of ``MISS`` at most: 40 bands of 5 at 0.8, missed with (1 - 0.8**5)**40, about 1e-7.
+The estimate may fall 5 standard errors short. Sets are compared as 64-bit hashes of their
+shingles, whose windows of words are hashed modulo a prime.
+
+Defined cases: null and empty texts have an empty set and link with nothing; an empty table
+gives an empty one; texts of any length are read whole; a text of fewer words than a
+shingle is one element; a pair at the threshold itself is linked; rows that repeat an id
+are one node, whose links are those of all its rows; a null id is a node below all others;
+further columns are dropped.
 """
 
 from __future__ import annotations
@@ -40,16 +46,18 @@ from .components import components
 from .frames import cut, dealt_anew, mapped, partitions
 from .textops import SPACED, chunked, mix, planes, rolling, unplanes, utf8, words
 
-BANDS, ROWS = 40, 5
-REGISTERS = BANDS * ROWS
+#: Registers of a sketch, and the chance at most that a pair at the threshold shares no band.
+REGISTERS, MISS = 200, 2e-7
 #: Base of the registers' exponential spacing, rate of the draws, greatest register value.
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Documents in a slice; a cell compares two slices. Columns of a membership matrix at once.
 CELL, COLUMNS = 128, 4096
+#: Documents of a key that are compared by pairs; parts in which a family's join is dealt.
+FEW, SALTS = 32, 16
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _ALL = (1 << 64) - 1
 _LEAST = np.iinfo(np.int64).min
-_SET_BYTES = 6
+_SET_BYTES = 8
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,12 +96,21 @@ def sketch(elements: np.ndarray, first: np.ndarray, m: int = REGISTERS) -> np.nd
     return np.clip(value, 0, TOP).astype(np.uint16)
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
+def bands_of(share: int) -> tuple[int, int]:
+    """Bands and registers of each for a threshold in percent."""
+    for rows in range(REGISTERS, 0, -1):
+        bands = REGISTERS // rows
+        if (1 - (share / 100) ** rows) ** bands <= MISS:
+            return bands, rows
+    raise ValueError(f"{REGISTERS} registers can't find pairs at a similarity of {share} percent")
+
+
+def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit key for each band of each sketch."""
     n = len(registers)
-    part = registers.reshape(n, BANDS, ROWS).astype(np.uint64)
-    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * _GOLDEN, (n, BANDS)).copy()
-    for r in range(ROWS):
+    part = registers[:, : bands * rows].reshape(n, bands, rows).astype(np.uint64)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64) * _GOLDEN, (n, bands)).copy()
+    for r in range(rows):
         key = mix(key ^ (part[:, :, r] + np.uint64((r + 1) * int(_GOLDEN) & _ALL)))
     return key.view(np.int64)
 
@@ -120,7 +137,7 @@ def joint_estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray)
     return (lo + hi) / 2
 
 
-def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
+def _signatures(docs: DataFrame, shingle: int, share: int) -> DataFrame:
     """id, n, d1, d2 and sketch of every row; sets too small for a link to another set have no sketch."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -131,7 +148,7 @@ def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
             sums = np.r_[np.uint64(0), np.cumsum(elements)]
             other = np.r_[np.uint64(0), np.cumsum(mix(elements ^ _GOLDEN))]
             d1, d2 = sums[first[1:]] - sums[first[:-1]], other[first[1:]] - other[first[:-1]]
-            big = n >= 4
+            big = n * (100 - share) >= share  # a set and the least one that holds it and more
             keep = np.repeat(big, n)
             registers = sketch(elements[keep], np.r_[0, np.cumsum(n[big])])
             blobs = iter(registers.astype("<u2").view(np.uint8).reshape(-1, REGISTERS * 2))
@@ -143,11 +160,13 @@ def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
     return mapped(docs, run, "id long, n long, d1 long, d2 long, sketch binary")
 
 
-def _banded(reps: DataFrame) -> DataFrame:
+def _banded(reps: DataFrame, share: int) -> DataFrame:
+    bands, rows = bands_of(share)
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw, _ = utf8(batch.column(1))
-        keys = band_keys(raw.view("<u2").reshape(-1, REGISTERS))
-        return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "id"])
+        keys = band_keys(raw.view("<u2").reshape(-1, REGISTERS), bands, rows)
+        return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), bands))], ["key", "id"])
 
     return mapped(reps.select("id", "sketch"), run, "key long, id long")
 
@@ -237,7 +256,10 @@ def _across(placed: DataFrame, base: DataFrame, shingle: int, share: int) -> Dat
     """Links across components (c) among the documents (id) of each family, by full sets."""
     spark = placed.sparkSession
     mixed = placed.groupBy("family").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 < c1").select("family", F.ceil(F.col("size") / CELL).cast("int").alias("k"))
-    members = cut(placed.join(mixed, "family").withColumn("s", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")))
+    # a family may hold most documents, so its join is dealt by a salt too
+    salted = mixed.select("family", "k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    members = placed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["family", "salt"]).drop("salt")
+    members = cut(members.withColumn("s", F.pmod(F.xxhash64("id", F.lit(1)), F.col("k")).cast("int")))
     full = members.join(_full_sets(members.select("id").distinct(), base, shingle), "id")
     cells = full.select("family", "id", "c", "s", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("t"), "elements").select("family", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), "id", "c", "elements")
     dealt = cells.repartition(partitions(spark), "family", "i", "j").sortWithinPartitions("family", "i", "j")
@@ -263,25 +285,47 @@ def _across(placed: DataFrame, base: DataFrame, shingle: int, share: int) -> Dat
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _placed(rows: DataFrame, found: DataFrame, column: str, name: str) -> DataFrame:
+    """Rows with the component of a column's documents, their own id where they have none."""
+    own = found.select(F.col("node").alias(column), F.col("component").alias(name))
+    return rows.join(own, column, "left").withColumn(name, F.coalesce(name, column))
+
+
+def _missed(tied: DataFrame, found: DataFrame, reps: DataFrame, base: DataFrame, shingle: int, share: int) -> DataFrame:
+    """Links across components among the documents (b) of each key besides its least one (a)."""
+    marked = cut(_placed(_placed(tied, found, "a", "ca"), found, "b", "cb"))
+    sizes = marked.groupBy("key").agg(F.min(F.least("ca", "cb")).alias("c0"), F.max(F.greatest("ca", "cb")).alias("c1"), F.min("cb").alias("b0"), F.max("cb").alias("b1"), F.count(F.lit(1)).alias("size"))
+    mixed = sizes.where("c0 < c1 and b0 < b1").select(dealt_anew("key"), "size")
+    members = cut(marked.join(mixed, "key").select("key", "a", F.col("b").alias("id"), F.col("cb").alias("c"), "ca", "size"))
+    few = members.where(f"size <= {FEW}").select("key", "id", "c")
+    pairs = few.toDF("key", "a", "ca").join(few.toDF("key", "b", "cb"), "key").where("a < b and ca <> cb").select("a", "b").distinct()
+    found_few = _confirmed(cut(_likely(pairs, reps, share)), base, shingle, share)
+    many = members.where(f"size > {FEW}")
+    if not many.take(1):
+        return found_few
+    ends = many.select("id", "c").union(many.select(F.col("a").alias("id"), F.col("ca").alias("c"))).distinct()
+    families = components(many.select("a", F.col("id").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("family"))
+    return found_few.union(_across(cut(ends.join(families, "id").select("family", "id", "c")), base, shingle, share))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 2, share: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id of every row.
 
     Links join documents with 100 * |A & B| >= share * |A | B|; equal sets are linked too.
     """
     base = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LEAST)).alias("id"), F.col(text).alias("text"))
-    rows = cut(_signatures(base, shingle))
+    rows = cut(_signatures(base, shingle, share))
     own = rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("n", dealt_anew("d1"), "d2", "rep")
     copies = cut(rows.where("n > 0").join(own, ["n", "d1", "d2"]).where("rep < id").select("rep", "id", "d1", "d2").distinct())
     reps = rows.where("sketch is not null").join(copies.select("id", "d1", "d2"), ["id", "d1", "d2"], "left_anti")
     copies = copies.select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    banded = _banded(reps)
+    banded = _banded(reps, share)
     leaders = banded.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
-    pairs = cut(banded.join(leaders, "key").where("a < id").select("a", F.col("id").alias("b")).distinct())
+    tied = cut(banded.join(leaders, "key").where("a < id").select("key", "a", F.col("id").alias("b")))
+    pairs = tied.select("a", "b").distinct()
     links = cut(copies.union(_confirmed(cut(_likely(pairs, reps, share)), base, shingle, share)))
     found = components(links)
-    families = components(pairs).select("node", F.col("component").alias("family"))
-    placed = families.join(found, "node", "left").select("family", F.col("node").alias("id"), F.coalesce("component", "node").alias("c"))
-    more = cut(_across(placed, base, shingle, share))
+    more = cut(_missed(tied, found, reps, base, shingle, share))
     if more.take(1):
         found = components(links.union(more))
     out = rows.select("id", "n").join(found, rows["id"] == found["node"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from eventloom.llm import set_sketch as S
 
@@ -42,6 +43,24 @@ def test_components_match_brute_force(spark):
     assert got == brute(docs, 2, 80)
 
 
+@pytest.mark.parametrize("share", [50, 60, 90])
+def test_other_thresholds(spark, share):
+    rng = random.Random(share)
+    docs = list(enumerate(t for g in range(10) for t in variants(rng, [f"g{g}w{k}" for k in range(rng.choice([6, 20, 50]))], 8, 6)))
+    docs += [(500, "a b c d"), (501, "a b c d e"), (502, "x y z"), (503, "x y z w"), (504, "p q"), (505, "p q r")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in S.near_duplicates(docs_frame(spark, docs), 2, share).collect())
+    assert got == brute(docs, 2, share)
+
+
+def test_bands_miss_few_pairs():
+    assert S.bands_of(80) == (40, 5)
+    for share in range(45, 100, 5):
+        bands, rows = S.bands_of(share)
+        assert bands * rows <= S.REGISTERS and (1 - (share / 100) ** rows) ** bands <= S.MISS
+    with pytest.raises(ValueError):
+        S.bands_of(1)
+
+
 def test_repeated_ids_are_one_node_and_empty_tables(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     rows = S.near_duplicates(docs_frame(spark, [(1, a), (2, a), (2, b), (3, b), (3, b), (None, b)]), 2, 80).collect()
@@ -61,8 +80,11 @@ def test_registers_estimate_and_merge():
     assert abs(np.mean(many) - 2 / 3) < 0.02
 
 
-def test_large_family_of_near_copies_in_cells(spark, monkeypatch):
+@pytest.mark.parametrize("few", [1, 5, 1000])
+def test_large_family_of_near_copies(spark, monkeypatch, few):
+    """By cells, by pairs, and by both."""
     monkeypatch.setattr(S, "CELL", 8)
+    monkeypatch.setattr(S, "FEW", few)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(80)]
     docs = list(enumerate(variants(rng, base, 60, 12)))
