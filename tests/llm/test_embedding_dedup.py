@@ -43,6 +43,29 @@ def test_matches_brute_force_with_one_slice_and_with_many(spark, monkeypatch, si
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("bucket,size", [(100, 4096), (60, 16)])
+def test_buckets_by_signs_in_rounds(spark, monkeypatch, bucket, size):
+    monkeypatch.setattr(E, "BUCKET", bucket)
+    monkeypatch.setattr(E, "SLICE", size)
+    rows = vectors(seed=4)
+    k, turns = E.rounds(len(rows), 0.95)
+    assert k >= 2 and turns > 5
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in E.near_vectors(frame(spark, rows)).collect())
+    assert got == brute(rows)
+
+
+def test_rounds_leave_little_chance_of_a_miss():
+    for n in (10**4, 10**6, 10**7, 10**9):
+        k, turns = E.rounds(n, 0.95)
+        assert n / 2**k <= E.BUCKET and (k == 0 or (1 - (1 - math.acos(0.95) / math.pi) ** k) ** turns <= E.MISS)
+
+
+def test_vectors_that_share_an_id_are_all_compared(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    got = E.near_vectors(frame(spark, [(1, a), (1, b), (2, b), (3, a), (4, c), (None, c), (None, c)])).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in got) == [(0, 1, 0), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 0)]
+
+
 def test_repeated_and_null_ids_and_no_rows(spark):
     a = [1.0, 0.0]
     got = E.near_vectors(frame(spark, [(1, a), (1, a), (2, a), (None, [0.0, 1.0])])).collect()
