@@ -42,5 +42,5 @@ def load() -> None:
         import_module(f"eventloom.plans.{name}")
 
 
-MODULES = ["interval_queries", "peri_queries", "stats_queries", "scalar_queries", "model_queries", "recording_queries"]
+MODULES = ["interval_queries", "peri_queries", "stats_queries", "scalar_queries", "model_queries", "recording_queries", "access_queries"]
 load()
