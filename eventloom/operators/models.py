@@ -207,6 +207,16 @@ def hmm_states(df: DataFrame, key: str, order: str, count: str, states: int = 2)
     return by_group(df.select(key, order, count), [key], fit, f"{key} {kind}, {order} long, p_high double, rate_low double, rate_high double, stay double")
 
 
+def hmm_given(df: DataFrame, key: str, order: str, count: str, rates: list[float], stay: float) -> DataFrame:
+    """Filters each key's counts through Poisson states of given rates, in rising order: bin and probability of the highest state."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        return pd.DataFrame({order: pdf[order], "p_high": numeric.hmm_filter(pdf[count].to_numpy(float), np.array(rates), stay)[:, -1]})
+
+    kind = df.schema[key].dataType.simpleString()
+    return by_group(df.select(key, order, count), [key], run, f"{key} {kind}, {order} long, p_high double")
+
+
 def find_ripples(df: DataFrame, key: str, order: str, value: str, fs: float, **options) -> DataFrame:
     """Bursts of each channel's signal; long recordings are cut into overlapping pieces by the caller's key."""
     columns = ["peak", "onset", "offset", "n_cycles", "freq", "amplitude", "amplitude_norm"]

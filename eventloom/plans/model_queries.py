@@ -92,7 +92,8 @@ def anova_p(spark, sf):
 
 def _hourly(spark, sf):
     h = events(spark, sf).groupBy((F.col("user_id") % 8).alias("cell"), F.expr(f"t div {HOUR}L").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    grid = h.select("cell").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(719).cast("long"))))
+    last = h.agg(F.max("bin").alias("last"))  # one row
+    grid = h.select("cell").distinct().crossJoin(F.broadcast(last)).select("cell", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("bin"))
     full = grid.join(h, ["cell", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")).cast("double"))
     angle = F.col("bin") * F.lit(2 * math.pi / 24)
     return full.withColumn("c", F.cos(angle)).withColumn("s", F.sin(angle)).withColumn("night", (F.col("bin") % 24 < 6).cast("double"))
