@@ -123,8 +123,9 @@ def piecewise_rate_slope(u: Column) -> Column:
 
 
 def convert_by_type(kind: Column, value: Column) -> dict[str, Column]:
-    """Typed readings of a logged value by its type name; null where it is another type or can't be read."""
-    whole = kind.isin("Byte", "Int16", "Int32", "Int64", "UInt16", "UInt32")
+    """Typed readings of a logged value by its type name, with or without its namespace; null where it is another type or can't be read."""
+    kind = F.regexp_replace(kind, r"^(System|UnityEngine)\.", "")
+    whole = kind.isin("SByte", "Byte", "Int16", "Int32", "Int64", "UInt16", "UInt32", "UInt64")
     real = kind.isin("Single", "Double")
     return {
         "as_long": F.when(whole, value.try_cast("long")),
@@ -136,13 +137,13 @@ def convert_by_type(kind: Column, value: Column) -> dict[str, Column]:
 
 
 def parse_log(line: Column) -> dict[str, Column]:
-    """Fields of a log line: ``[ticks] name (type) = value`` or ``[ticks] message``."""
-    full = r"^\[(\d+)\] (\w+) \(([\w\[\]]+)\) = (.*)$"
+    """Fields of a log line: ``[ticks] name (type) = value`` or ``[ticks] message``. Dots in names go."""
+    full = r"^\[(\d+)\] ([\w.]+) \(?(.*?)\)? ?= ([^\r\n]*)$"
     typed = line.rlike(full)
     part = lambda i: F.when(typed, F.regexp_extract(line, full, i))
     return {
         "ticks": F.nullif(F.regexp_extract(line, r"^\[(\d+)\]", 1), F.lit("")).cast("long"),
-        "name": part(2),
+        "name": F.regexp_replace(part(2), r"\.", ""),
         "type": part(3),
         "value": part(4),
         "message": F.when(~typed, F.regexp_extract(line, r"^\[\d+\] (.*)$", 1)),

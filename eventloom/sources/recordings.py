@@ -1,8 +1,8 @@
-"""Recording files: self-describing record files, NPY arrays, block-wise channel files, event rows, log text.
+"""Recording files: NPY arrays, block-wise channel files, event rows and folders, messages, log text.
 
-Files are listed and read by Spark (binaryFile or text), so they may lie in any store that
-Spark reads; each file's bytes are decoded inside a task. Large channel files are split by
-the block ranges of ``continuous``, which seeks only where the store is a file system.
+Binary files are cut into ranges of rows that tasks read each by itself (see ``records``),
+so a file of any size is read by many tasks. Text goes through Spark's own reader. Partial
+rows and blocks are errors.
 """
 
 from __future__ import annotations
@@ -10,162 +10,14 @@ from __future__ import annotations
 import ast
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from eventloom.functions.scalar import natural_key, parse_log
-
-# record files: magic, version and header length, then a textual type, then fixed-width rows
-
-MAGIC = b"EVLR"
-_KINDS = {"i1": T.ByteType(), "i2": T.ShortType(), "i4": T.IntegerType(), "i8": T.LongType(), "u1": T.ShortType(), "u2": T.IntegerType(), "u4": T.LongType(), "f4": T.FloatType(), "f8": T.DoubleType(), "b4": T.BooleanType()}
-
-
-@dataclass
-class Field:
-    """A leaf or a group of the type grammar ``name:kind[length]{0=a,1=b}`` or ``name(child, ...)``."""
-
-    name: str
-    kind: str = ""
-    length: int = 1
-    names: dict[int, str] | None = None
-    children: list[Field] | None = None
-
-
-def parse_type(text: str) -> list[Field]:
-    """Fields of a nested type text; names of children are joined to their parent's in flatten()."""
-    out, at = _fields(text, 0)
-    if at != len(text):
-        raise ValueError(f"unexpected {text[at:]!r}")
-    return out
-
-
-def _fields(s: str, at: int) -> tuple[list[Field], int]:
-    out = []
-    while at < len(s) and s[at] != ")":
-        begin = at
-        while at < len(s) and (s[at].isalnum() or s[at] == "_"):
-            at += 1
-        name = s[begin:at]
-        if not name:
-            raise ValueError(f"a name is missing at {at}")
-        if s[at : at + 1] == "(":
-            children, at = _fields(s, at + 1)
-            if s[at : at + 1] != ")":
-                raise ValueError("a parenthesis is open")
-            out.append(Field(name, children=children))
-            at += 1
-        elif s[at : at + 1] == ":":
-            kind = s[at + 1 : at + 3]
-            if kind not in _KINDS:
-                raise ValueError(f"unknown kind {kind!r}")
-            field, at = Field(name, kind), at + 3
-            if s[at : at + 1] == "[":
-                end = s.index("]", at)
-                field.length, at = int(s[at + 1 : end]), end + 1
-            if s[at : at + 1] == "{":
-                end = s.index("}", at)
-                field.names = {int(k): v for k, v in (x.split("=") for x in s[at + 1 : end].split(","))}
-                at = end + 1
-            out.append(field)
-        else:
-            raise ValueError(f"a kind is missing after {name!r}")
-        if s[at : at + 1] == ",":
-            at += 1
-            while s[at : at + 1] == " ":
-                at += 1
-    return out, at
-
-
-def flatten(fields: list[Field], prefix: str = "") -> list[Field]:
-    """Leaves, named by parent and child in camel case."""
-    out = []
-    for f in fields:
-        name = prefix + (f.name[:1].upper() + f.name[1:] if prefix else f.name)
-        out += flatten(f.children, name) if f.children is not None else [Field(name, f.kind, f.length, f.names)]
-    return out
-
-
-def type_text(fields: list[Field]) -> str:
-    def one(f: Field) -> str:
-        if f.children is not None:
-            return f"{f.name}({type_text(f.children)})"
-        names = "{" + ",".join(f"{k}={v}" for k, v in f.names.items()) + "}" if f.names else ""
-        return f"{f.name}:{f.kind}" + (f"[{f.length}]" if f.length > 1 else "") + names
-
-    return ", ".join(map(one, fields))
-
-
-def _dtype(fields: list[Field]) -> np.dtype:
-    return np.dtype([(f.name, "<i4" if f.kind == "b4" else f"<{f.kind}", (f.length,) if f.length > 1 else ()) for f in fields])
-
-
-def spark_schema(fields: list[Field]) -> T.StructType:
-    out = T.StructType()
-    for f in flatten(fields):
-        kind = T.StringType() if f.names else _KINDS[f.kind]
-        out.add(f.name, T.ArrayType(kind) if f.length > 1 else kind)
-    return out
-
-
-def record_bytes(fields: list[Field], rows: list[tuple]) -> bytes:
-    """A whole record file; the header is padded to a power of two."""
-    leaves = flatten(fields)
-    back = [{v: k for k, v in f.names.items()} if f.names else None for f in leaves]
-    data = np.array([tuple(b[v] if b else v for v, b in zip(r, back, strict=True)) for r in rows], _dtype(leaves))
-    head = type_text(fields).encode()
-    size = 1 << (len(head) + 12 - 1).bit_length()
-    return MAGIC + struct.pack("<II", 1, size) + head.ljust(size - 12, b"\0") + data.tobytes()
-
-
-def record_rows(raw: bytes) -> tuple[list[Field], np.ndarray]:
-    """Type and structured rows of a record file; a partial last row is left out."""
-    if raw[:4] != MAGIC:
-        raise ValueError("not a record file")
-    _, size = struct.unpack_from("<II", raw, 4)
-    fields = parse_type(raw[12:size].rstrip(b"\0").decode())
-    dtype = _dtype(flatten(fields))
-    return fields, np.frombuffer(raw, dtype, (len(raw) - size) // dtype.itemsize, size)
-
-
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of all record files under a path, which share one type; adds the column ``file``."""
-    files = spark.read.format("binaryFile").load(path)
-    head = files.select(F.substring("content", 1, 65536).alias("h")).first()
-    if head is None:
-        raise ValueError(f"no file under {path}")
-    _, size = struct.unpack_from("<II", head["h"], 4)
-    fields = parse_type(bytes(head["h"][12:size]).rstrip(b"\0").decode())
-    leaves, schema = flatten(fields), spark_schema(fields)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                _, data = record_rows(raw)
-                for lo in range(0, len(data), 1 << 16):
-                    part = data[lo : lo + (1 << 16)]
-                    columns = []
-                    for f in leaves:
-                        x = part[f.name]
-                        if f.kind == "b4":
-                            x = x != 0
-                        if f.names:
-                            unknown = set(np.unique(x).tolist()) - set(f.names)
-                            if unknown:
-                                raise ValueError(f"unknown values {sorted(unknown)} of {f.name}")
-                            x = np.vectorize(f.names.get, otypes=[object])(x)
-                        kind = pa.string() if f.names else {"u1": pa.int16(), "u2": pa.int32(), "u4": pa.int64(), "b4": pa.bool_()}.get(f.kind) or pa.from_numpy_dtype(np.dtype(f.kind))
-                        columns.append(pa.array(x.tolist(), pa.list_(kind)) if f.length > 1 else pa.array(x, kind))
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(part)), *columns], ["file", *(f.name for f in leaves)])
-
-    out = T.StructType([T.StructField("file", T.StringType()), *schema.fields])
-    return files.select("path", "content").mapInArrow(run, out)
-
+from eventloom.sources.records import files, filesystem, opened, ranged, written
 
 # NPY arrays
 
@@ -193,19 +45,53 @@ def npy_array(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype, n, at).reshape(shape, order="F" if fortran else "C")
 
 
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
+def _npy_head(f) -> tuple[np.dtype, bool, tuple[int, ...], int]:
+    f.seek(0)
+    return npy_header(f.read(1 << 16))
+
+
+def _npy_rows(f, lo: int, hi: int) -> np.ndarray:
+    """Rows lo to hi of an array; one in column order is gathered column by column."""
+    dtype, fortran, shape, at = _npy_head(f)
+    n, rest = (shape[0], tuple(shape[1:])) if shape else (1, ())
+    width = int(np.prod(rest, dtype=np.int64))
+    if not fortran or len(shape) < 2:
+        f.seek(at + lo * width * dtype.itemsize)
+        return np.frombuffer(f.read((hi - lo) * width * dtype.itemsize), dtype).reshape(hi - lo, width)
+    out = np.empty((hi - lo, width), dtype)
+    for k in range(width):
+        f.seek(at + (k * n + lo) * dtype.itemsize)
+        out[:, k] = np.frombuffer(f.read((hi - lo) * dtype.itemsize), dtype)
+    return out if len(rest) < 2 else out.reshape(hi - lo, *rest[::-1]).transpose(0, *range(len(rest), 0, -1)).reshape(hi - lo, width)
+
+
+def _npy_shape(f, path: str, length: int) -> tuple[int, int]:
+    dtype, _, shape, at = _npy_head(f)
+    n, size = (shape[0] if shape else 1), int(np.prod(shape[1:], dtype=np.int64)) * dtype.itemsize
+    if length != at + n * size:
+        raise ValueError(f"{path} doesn't hold its array")
+    return n, size
+
+
+def read_npy(spark: SparkSession, path: str, pattern: str = "*.npy") -> DataFrame:
     """file, row (place in the first dimension) and values (the row's numbers) of NPY files."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = npy_array(raw)
-                x = x.reshape(len(x) if x.ndim else 1, -1)
-                for lo in range(0, len(x), 1 << 14):
-                    part = x[lo : lo + (1 << 14)].astype(np.float64)
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(part)), pa.array(np.arange(lo, lo + len(part))), pa.array(list(part), pa.list_(pa.float64()))], ["file", "row", "values"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, row long, values array<double>")
+    def read(f, path: str, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+        for a in range(lo, hi, 1 << 14):
+            x = _npy_rows(f, a, min(a + (1 << 14), hi)).astype(np.float64)
+            edge = pa.array(np.arange(0, x.size + 1, max(x.shape[1], 1)) if x.shape[1] else np.zeros(len(x) + 1), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(x)), pa.array(np.arange(a, a + len(x))), pa.ListArray.from_arrays(edge, pa.array(x.ravel()))], ["file", "row", "values"])
+
+    return ranged(files(spark, path, pattern), _npy_shape, read, "file string, row long, values array<double>")
+
+
+def write_npy(df: DataFrame, folder: str, column: str) -> DataFrame:
+    """An array column to NPY files, one a partition; returns file and n."""
+
+    def encode(held: list[pa.RecordBatch]) -> bytes:
+        return npy_bytes(np.concatenate([np.stack(b.column(0).to_numpy(zero_copy_only=False)) for b in held]).astype("<f8"))
+
+    return written(df.select(column), folder, ".npy", encode)
 
 
 # block-wise channel files: 1024 samples a block, big-endian
@@ -213,26 +99,114 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
 BLOCK_SAMPLES, BLOCK_BYTES, HEADER_BYTES, BLOCK_HEAD = 1024, 2070, 1024, 12
 
 
-def continuous_rows(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """First timestamp of each block and samples (blocks by 1024) of a channel file."""
-    n = (len(raw) - HEADER_BYTES) // BLOCK_BYTES
-    body = np.frombuffer(raw, np.uint8, n * BLOCK_BYTES, HEADER_BYTES).reshape(n, BLOCK_BYTES)
-    stamp = np.ascontiguousarray(body[:, :8]).view("<i8").ravel()
-    return stamp, np.ascontiguousarray(body[:, BLOCK_HEAD : BLOCK_HEAD + 2 * BLOCK_SAMPLES]).view(">i2").astype(np.int16)
+def _whole(what: str, size: int):
+    def shape(f, path: str, length: int) -> tuple[int, int]:
+        n, rest = divmod(length - HEADER_BYTES, size)
+        if rest or n < 0:
+            raise ValueError(f"{path} doesn't hold whole {what}")
+        return n, size
+
+    return shape
 
 
 def read_continuous(spark: SparkSession, path: str, microvolts: float = 0.195) -> DataFrame:
     """file, timestamp of the block and its samples in microvolts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                stamp, samples = continuous_rows(raw)
-                for lo in range(0, len(stamp), 256):
-                    part = samples[lo : lo + 256] * microvolts
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(part)), pa.array(stamp[lo : lo + 256]), pa.array(list(part), pa.list_(pa.float64()))], ["file", "timestamp", "samples"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.continuous").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, timestamp long, samples array<double>")
+    def read(f, path: str, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+        for a in range(lo, hi, 256):
+            b = min(a + 256, hi)
+            f.seek(HEADER_BYTES + a * BLOCK_BYTES)
+            body = np.frombuffer(f.read((b - a) * BLOCK_BYTES), np.uint8).reshape(b - a, BLOCK_BYTES)
+            stamp = np.ascontiguousarray(body[:, :8]).view("<i8").ravel()
+            x = np.ascontiguousarray(body[:, BLOCK_HEAD : BLOCK_HEAD + 2 * BLOCK_SAMPLES]).view(">i2").astype(np.float64) * microvolts
+            yield pa.RecordBatch.from_arrays([pa.array([path] * (b - a)), pa.array(stamp), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * BLOCK_SAMPLES, pa.int32()), pa.array(x.ravel()))], ["file", "timestamp", "samples"])
+
+    return ranged(files(spark, path, "*.continuous"), _whole("blocks", BLOCK_BYTES), read, "file string, timestamp long, samples array<double>")
+
+
+def write_continuous(df: DataFrame, folder: str) -> DataFrame:
+    """Blocks (timestamp, samples: 1024 16-bit integers) to channel files, one a partition."""
+
+    def encode(held: list[pa.RecordBatch]) -> bytes:
+        out = [bytes(HEADER_BYTES)]
+        for b in held:
+            for stamp, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if len(x) != BLOCK_SAMPLES:
+                    raise ValueError(f"a block has {len(x)} samples")
+                out.append(struct.pack("<qHH", stamp, BLOCK_SAMPLES, 0) + np.array(x, ">i2").tobytes() + bytes(BLOCK_BYTES - BLOCK_HEAD - 2 * BLOCK_SAMPLES))
+        return b"".join(out)
+
+    return written(df.select("timestamp", "samples"), folder, ".continuous", encode)
+
+
+# digital and network events
+
+EVENT = np.dtype([("timestamp", "<i8"), ("place", "<i2"), ("type", "u1"), ("processor", "u1"), ("state", "u1"), ("channel", "u1"), ("recording", "<u2")])
+EVENT_SCHEMA = "file string, t double, timestamp long, type string, channel int, channel_name string, rising boolean, message string"
+
+
+def _events(path: str, stamp: np.ndarray, start: int, fs: float, kind: str, channel: np.ndarray, rising: np.ndarray, message: list[str | None], names: list[str]) -> pa.RecordBatch:
+    stamp = stamp.astype(np.int64) - start
+    known = [names[c - 1] if 0 < c <= len(names) else None for c in channel.tolist()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([path] * len(stamp), pa.string()), pa.array(stamp / fs), pa.array(stamp), pa.array([kind] * len(stamp), pa.string()), pa.array(channel, pa.int32()), pa.array(known, pa.string()), pa.array(rising, pa.bool_()), pa.array(message, pa.string())],
+        ["file", "t", "timestamp", "type", "channel", "channel_name", "rising", "message"],
+    )
+
+
+def read_event_rows(spark: SparkSession, path: str, names: list[str] = (), start: int = 0, fs: float = 30000.0, pattern: str = "*.events") -> DataFrame:
+    """Digital events in rows of 16 bytes after a header; channels count from 1. Message files are left out."""
+
+    def read(f, path: str, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+        for a in range(lo, hi, 1 << 16):
+            b = min(a + (1 << 16), hi)
+            f.seek(HEADER_BYTES + a * EVENT.itemsize)
+            x = np.frombuffer(f.read((b - a) * EVENT.itemsize), EVENT)
+            yield _events(path, x["timestamp"], start, fs, "Dig", x["channel"].astype(np.int32) + 1, x["state"] > 0, [None] * len(x), list(names))
+
+    found = files(spark, path, pattern).where(~F.col("path").endswith("messages.events"))
+    return ranged(found, _whole("events", EVENT.itemsize), read, EVENT_SCHEMA)
+
+
+def write_event_rows(df: DataFrame, folder: str) -> DataFrame:
+    """timestamp, channel (from 1) and rising to files of 16-byte rows, one a partition."""
+
+    def encode(held: list[pa.RecordBatch]) -> bytes:
+        x = np.zeros(sum(b.num_rows for b in held), EVENT)
+        stamp, channel, rising = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in range(3))
+        x["timestamp"], x["channel"], x["state"] = stamp, channel - 1, rising
+        return bytes(HEADER_BYTES) + x.tobytes()
+
+    return written(df.select("timestamp", "channel", "rising"), folder, ".events", encode)
+
+
+def read_event_folders(spark: SparkSession, path: str, names: list[str] = (), start: int = 0, fs: float = 30000.0) -> DataFrame:
+    """Events of folders with ``sample_numbers.npy``: network events where ``text.npy`` stands beside it, else digital ones of ``states.npy``, whose sign is the direction."""
+
+    def read(f, path: str, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+        folder = path[: path.rindex("/")]
+        fs_, at = filesystem(folder)
+        network = fs_.get_file_info(f"{at}/text.npy").is_file
+        with opened(f"{folder}/{'text' if network else 'states'}.npy") as other:
+            for a in range(lo, hi, 1 << 16):
+                b = min(a + (1 << 16), hi)
+                stamp, x = _npy_rows(f, a, b)[:, 0], _npy_rows(other, a, b)[:, 0]
+                if network:
+                    text = [v.decode() if isinstance(v, bytes) else v for v in x.tolist()]
+                    yield _events(path, stamp, start, fs, "Net", np.zeros(len(x), np.int32), np.ones(len(x), bool), text, [])
+                else:
+                    yield _events(path, stamp, start, fs, "Dig", np.abs(x).astype(np.int32), x > 0, [None] * len(x), list(names))
+
+    return ranged(files(spark, path, "sample_numbers.npy"), _npy_shape, read, EVENT_SCHEMA)
+
+
+def read_messages(spark: SparkSession, path: str, fs: float = 30000.0) -> DataFrame:
+    """Network events of ``messages.events`` texts: lines ``number, message``, of which the second gives the start and those from the fourth on are events."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "messages.events").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.expr(r"regexp_extract_all(value, '(?m)^(\\d+), (.+?)$', 0)").alias("lines"))
+    number = lambda c: F.regexp_extract(c, r"^(\d+), ", 1).cast("long")
+    rows = lines.select("file", number(F.col("lines")[1]).alias("start"), F.posexplode("lines").alias("k", "line")).where("k >= 3")
+    stamp: Column = number(F.col("line")) - F.col("start")
+    return rows.select("file", (stamp / F.lit(fs)).alias("t"), stamp.alias("timestamp"), F.lit("Net").alias("type"), F.lit(0).alias("channel"), F.lit(None).cast("string").alias("channel_name"), F.lit(True).alias("rising"), F.regexp_extract("line", r"^\d+, (.+?)$", 1).alias("message"))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -243,7 +217,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Files under a path in natural order: path, name, length and time of change."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).drop("content")
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "modificationTime", "length")
     return f.withColumn("name", F.element_at(F.split("path", "/"), -1)).orderBy(natural_key(F.col("path")))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,3 +35,12 @@ def spans(spark: SparkSession, sf_dir: str, kind: str, length: int) -> DataFrame
     """[t, t + length) of each event of a type, with its event_id and user_id."""
     rows = events(spark, sf_dir).where(F.col("event_type") == kind)
     return rows.select("event_id", "user_id", F.col("t").alias("t0"), (F.col("t") + F.lit(length).cast("long")).alias("t1"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in spark.checkpoint.dir, which all executors share; in a temporary one only where it is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not at:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        at = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="eventloom-")
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
