@@ -15,8 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.functions.timing import bucket
-from eventloom.operators.ordered import numbered, running_sum
+from eventloom.operators.ordered import before, numbered, running_sum
 
 #: Bucket widths are powers of this.
 STEP = 4
@@ -27,35 +26,28 @@ def _levels(intervals: DataFrame) -> DataFrame:
     return intervals.withColumn("__level", F.ceil(F.log(length.cast("double")) / F.log(F.lit(float(STEP)))).cast("int"))
 
 
-def _width(level: int) -> int:
-    return STEP ** max(level - 1, 0)
+def _bucket(t: str, level: str) -> Column:
+    """Bucket of a time at a level, whose width is STEP to one less than it, or 1."""
+    return F.expr(f"({t} - pmod({t}, shiftleft(1L, 2 * greatest({level} - 1, 0)))) div shiftleft(1L, 2 * greatest({level} - 1, 0))")
 
 
 def in_intervals(events: DataFrame, intervals: DataFrame, on: tuple[str, ...] = (), right_closed: bool = False, t: str = "t", length: int | None = None) -> DataFrame:
     """Every (event, interval) with t0 <= t < t1, or t <= t1; columns of both sides.
 
-    If all intervals have one known ``length``, no job is needed beforehand; else the few
-    widths that occur are read first (at most 32 numbers).
+    One join on level and bucket; an event goes to each level that occurs. If all intervals
+    have one known ``length``, no job is needed beforehand; else the few levels that occur are
+    read first (at most 32 numbers).
     """
     if length is not None:
         level = next(k for k in range(64) if STEP**k >= length)
         leveled, used = intervals.withColumn("__level", F.lit(level)), [level]
     else:
         leveled = _levels(intervals)
-        used = sorted(r[0] for r in leveled.select("__level").distinct().collect())
-    out = None
-    for level in used:
-        width = _width(level)
-        i = leveled.where(F.col("__level") == level).drop("__level").withColumn("__b", F.explode(F.sequence(bucket("t0", width), bucket("t1", width))))
-        e = events.withColumn("__b", bucket(t, width))
-        inside = (F.col(t) >= F.col("t0")) & ((F.col(t) <= F.col("t1")) if right_closed else (F.col(t) < F.col("t1")))
-        part = e.join(i, ["__b", *on]).where(inside).drop("__b")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        keys = list(on)
-        out = events.join(intervals, keys) if keys else events.crossJoin(intervals)
-        out = out.where(F.lit(False))
-    return out
+        used = sorted(r[0] for r in leveled.select("__level").distinct().collect()) or [0]
+    i = leveled.withColumn("__b", F.explode(F.sequence(_bucket("t0", "__level"), _bucket("t1", "__level"))))
+    e = events.withColumn("__level", F.explode(F.array(*map(F.lit, used))) if len(used) > 1 else F.lit(used[0])).withColumn("__b", _bucket(f"`{t}`", "__level"))
+    inside = (F.col(t) >= F.col("t0")) & ((F.col(t) <= F.col("t1")) if right_closed else (F.col(t) < F.col("t1")))
+    return e.join(i, ["__level", "__b", *on]).where(inside).drop("__level", "__b")
 
 
 def counts_in(events: DataFrame, intervals: DataFrame, key: str, on: tuple[str, ...] = (), right_closed: bool = False) -> DataFrame:
@@ -130,23 +122,25 @@ def _islands(df: DataFrame, new: Column, on: tuple[str, ...], order: list[str])
     return df.withColumn("run", F.sum(F.when(new, 1).otherwise(0).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def find_continuous(events: DataFrame, gap: int | None, least: int = 0, on: tuple[str, ...] = ()) -> DataFrame:
+def _runs(times: DataFrame, new: Column, on: tuple[str, ...], width: int | None) -> DataFrame:
+    """t0, t1 and n of runs of distinct times (t, n) with the time before in __p, broken where ``new`` holds."""
+    rows = before(times, "__p", "t", "t", on, width).withColumn("__new", F.coalesce(new, F.lit(False)).cast("long"))
+    rows = running_sum(rows, {"run": "__new"}, "t", on, width)
+    return rows.groupBy(*on, "run").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.sum("n").alias("n")).drop("run")
+
+
+def find_continuous(events: DataFrame, gap: int | None, least: int = 0, on: tuple[str, ...] = (), width: int | None = None) -> DataFrame:
     """Runs of events, split where a gap is at least ``gap``; those shorter than ``least`` go."""
-    w = Window.partitionBy(*on).orderBy("t")
-    new = (F.col("t") - F.lag("t").over(w)) >= gap if gap is not None else F.lit(False)
-    rows = _islands(events.withColumn("__new", F.coalesce(new, F.lit(False))), F.col("__new"), on, ["t"])
-    runs = rows.groupBy(*on, "run").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count(F.lit(1)).alias("n"))
-    return runs.where(F.col("t1") - F.col("t0") >= least).drop("run")
+    times = events.groupBy(*on, "t").agg(F.count(F.lit(1)).alias("n"))
+    runs = _runs(times, (F.col("t") - F.col("__p")) >= gap if gap is not None else F.lit(False), on, width)
+    return runs.where(F.col("t1") - F.col("t0") >= least)
 
 
-def find_intervals(samples: DataFrame, threshold: float, gap: int | None, least: int = 0, on: tuple[str, ...] = (), value: str = "value", extrapolate: int = 0) -> DataFrame:
+def find_intervals(samples: DataFrame, threshold: float, gap: int | None, least: int = 0, on: tuple[str, ...] = (), value: str = "value", extrapolate: int = 0, width: int | None = None) -> DataFrame:
     """Runs of samples at or over a threshold, split where a gap exceeds ``gap``."""
-    above = samples.where(F.col(value) >= threshold)
-    w = Window.partitionBy(*on).orderBy("t")
-    new = (F.col("t") - F.lag("t").over(w)) > gap if gap is not None else F.lit(False)
-    rows = _islands(above.withColumn("__new", F.coalesce(new, F.lit(False))), F.col("__new"), on, ["t"])
-    runs = rows.groupBy(*on, "run").agg(F.min("t").alias("t0"), (F.max("t") + F.lit(extrapolate)).alias("t1"), F.count(F.lit(1)).alias("n"))
-    return runs.where(F.col("t1") - F.col("t0") >= least).drop("run")
+    times = samples.where(F.col(value) >= threshold).groupBy(*on, "t").agg(F.count(F.lit(1)).alias("n"))
+    runs = _runs(times, (F.col("t") - F.col("__p")) > gap if gap is not None else F.lit(False), on, width)
+    return runs.withColumn("t1", F.col("t1") + F.lit(extrapolate)).where(F.col("t1") - F.col("t0") >= least)
 
 
 def find_sequence(intervals: DataFrame, gap: int, on: tuple[str, ...], forced: str | None = None) -> DataFrame:

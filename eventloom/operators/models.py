@@ -25,9 +25,9 @@ def gram(df: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s, q = 0, None, None
         for batch in batches:
-            rows = [r for r in batch.column(0).to_pylist() if r is not None]
-            if rows:
-                x = np.array(rows, np.float64)
+            rows = batch.column(0).drop_null()
+            if len(rows):
+                x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
                 n, s, q = n + len(x), (0 if s is None else s) + x.sum(axis=0), (0 if q is None else q) + x.T @ x
         if n:
             values = np.r_[n, s, q.ravel()]

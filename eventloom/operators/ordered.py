@@ -1,8 +1,9 @@
 """Running sums, neighbours and as-of look-ups that never sort a whole table in one partition.
 
-With a partitioning key the plain window is used. Without one, or where one key may hold
-much of the table, rows are cut into buckets of time: each bucket is sorted by itself and
-takes what the buckets before it add up to from a table of one row a bucket.
+With a partitioning key the plain window is used. Without one (then by ``WIDTH`` unless told
+otherwise), or where one key may hold much of the table, rows are cut into buckets of time:
+each bucket is sorted by itself and takes what the buckets before it add up to from a table
+of one row a bucket.
 """
 
 from __future__ import annotations
@@ -10,9 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.functions.timing import bucket
+from eventloom.functions.timing import DAY, bucket
 
 _B = "__bucket"
+#: Width of buckets where there is neither a key nor a width.
+WIDTH = DAY
+
+
+def _width(on: tuple[str, ...], width: int | None) -> int | None:
+    return WIDTH if width is None and not on else width
 
 
 def running_sum(df: DataFrame, sums: dict[str, str], order: str = "t", on: tuple[str, ...] = (), width: int | None = None) -> DataFrame:
@@ -20,6 +27,7 @@ def running_sum(df: DataFrame, sums: dict[str, str], order: str = "t", on: tuple
 
     Order values must be unique within ``on``.
     """
+    width = _width(on, width)
     if width is None:
         w = Window.partitionBy(*on).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(v).over(w).alias(out) for out, v in sums.items()])
@@ -37,6 +45,18 @@ def numbered(df: DataFrame, out: str, order: str = "t", on: tuple[str, ...] = ()
     return running_sum(df.withColumn("__one", F.lit(1).cast("long")), {out: "__one"}, order, on, width).drop("__one")
 
 
+def before(df: DataFrame, out: str, column: str, order: str = "t", on: tuple[str, ...] = (), width: int | None = None) -> DataFrame:
+    """Adds a column's value in the row before by ``order``, whose values must be unique within ``on``."""
+    width = _width(on, width)
+    if width is None:
+        return df.withColumn(out, F.lag(column).over(Window.partitionBy(*on).orderBy(order)))
+    rows = df.withColumn(_B, bucket(order, width))
+    ends = rows.groupBy(*on, _B).agg(F.max_by(column, order).alias("__end"))
+    ends = ends.select(*on, _B, F.lag("__end").over(Window.partitionBy(*on).orderBy(_B)).alias("__far"))
+    inner = F.lag(column).over(Window.partitionBy(*on, _B).orderBy(order))
+    return rows.withColumn("__near", inner).join(ends, [*on, _B]).withColumn(out, F.coalesce("__near", "__far")).drop(_B, "__near", "__far")
+
+
 def carried(df: DataFrame, values: list[str], order: list[Column], on: tuple[str, ...] = (), time: str = "t", width: int | None = None, back: bool = True) -> DataFrame:
     """Each of ``values`` (null where a row has none) filled from the latest row before or at, or the next one.
 
@@ -46,6 +66,7 @@ def carried(df: DataFrame, values: list[str], order: list[Column], on: tuple[str
     rows = df.withColumn("__v", pack)
     pick = F.last if back else F.first
     frame = (Window.unboundedPreceding, 0) if back else (0, Window.unboundedFollowing)
+    width = _width(on, width)
     if width is None:
         w = Window.partitionBy(*on).orderBy(*order).rowsBetween(*frame)
         filled = rows.withColumn("__f", pick("__v", ignorenulls=True).over(w))
@@ -80,7 +101,7 @@ def asof(queries: DataFrame, table: DataFrame, values: list[str], mode: str = "p
     rows = left.unionByName(right, allowMissingColumns=True)
     tie = F.col("__q").asc() if back else F.col("__q").desc()
     order = [F.col(t), F.col("__q") if back else -F.col("__q")]
-    out = carried(rows, values, order if width is not None else [F.col(t), tie], on, t, width, back)
+    out = carried(rows, values, order if _width(on, width) is not None else [F.col(t), tie], on, t, width, back)
     if ends:
         out = out.withColumn("__miss", F.col(values[0]).isNull() & (F.col("__q") == 1))
         far = first.groupBy(*on).agg((F.min_by if back else F.max_by)(F.struct(*values), F.col(t)).alias("__e"))

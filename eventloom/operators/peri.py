@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from eventloom.functions.timing import SECOND, bucket
 from eventloom.operators.intervals import in_intervals
 from eventloom.operators.labels import Basis, with_basis
+from eventloom.operators.ordered import numbered
 
 
 def trig(spikes: DataFrame, triggers: DataFrame, w0: int, w1: int) -> DataFrame:
@@ -100,14 +101,31 @@ def window_rate(spikes: DataFrame, triggers: DataFrame, w0: int, w1: int, by: li
     return filled(n, _cells(spikes, triggers, by), ["trigger", *by]).withColumn("rate", F.col("n") / F.lit((w1 - w0) / SECOND)).drop("n")
 
 
-def raster(found: DataFrame, label: str) -> DataFrame:
+def mean_rate(spikes: DataFrame, triggers: DataFrame, label: str, res: int, half: int, lo: int, hi: int) -> DataFrame:
+    """label, bin, mean rate in a box of ``half`` on either side, its standard error and the number of triggers.
+
+    Sums and squares of the cells with spikes and the number of triggers say it all, so
+    cells without spikes are never made.
+    """
+    found = trig(spikes, triggers.select("trigger", "e", label), lo * res - half, hi * res + half)
+    sums = boxed(found, res, half, lo, hi, [label, "trigger"]).groupBy(label, "bin").agg(F.sum("n").alias("__s"), F.sum(F.col("n") * F.col("n")).alias("__q"))
+    cells = grid(triggers.groupBy(label).agg(F.count(F.lit(1)).alias("n")), lo, hi).join(sums, [label, "bin"], "left").na.fill(0, ["__s", "__q"])
+    width = F.lit(2.0 * half / SECOND)
+    spread = F.sqrt(F.greatest(F.col("__q") - F.col("__s") * F.col("__s") / F.col("n"), F.lit(0.0)) / F.nullif(F.col("n") - 1, F.lit(0)))
+    return cells.select(label, "bin", (F.col("__s") / F.col("n") / width).alias("mean_rate"), (spread / width / F.sqrt("n")).alias("se"), "n")
+
+
+def raster(found: DataFrame, label: str, width: int = 1 << 16) -> DataFrame:
     """Spikes with the row of their trigger when triggers are sorted by label.
 
-    Rows are numbered on the table of triggers, not of spikes.
+    Rows are numbered on the table of triggers, not of spikes: within ranges of ``width``
+    trigger numbers of each label, and labels, which are few, by their totals.
     """
-    rows = found.select(label, "trigger").distinct()
-    rows = rows.withColumn("row", F.row_number().over(Window.orderBy(label, "trigger")).cast("long"))
-    return found.join(rows.select("trigger", "row"), "trigger")
+    rows = numbered(found.select(label, "trigger").distinct(), "__i", "trigger", (label,), width)
+    totals = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__k"))
+    totals = totals.select(label, F.coalesce(F.sum("__k").over(Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # one row a label
+    rows = rows.join(totals, label).select("trigger", (F.col("__before") + F.col("__i")).cast("long").alias("row"))
+    return found.join(rows, "trigger")
 
 
 def cut_windows(samples: DataFrame, triggers: DataFrame, fs: float, lo: int, hi: int) -> DataFrame:

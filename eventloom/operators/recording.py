@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from eventloom.operators.intervals import in_intervals
 from eventloom.operators.ordered import asof
@@ -122,25 +125,51 @@ def assets(meta: DataFrame) -> DataFrame:
 
 
 def discriminant_subspace(df: DataFrame, keys: list[str], label: str, column: str, axes: int, ridge: float = 1e-3) -> DataFrame:
-    """Orthonormal axes of greatest between-class against within-class variance, for each group of keys."""
+    """Orthonormal axes of greatest between-class against within-class variance, for each group of keys.
+
+    Tasks add up counts, sums and outer products; a group's fit sees those sums only, of
+    (classes + dims) * dims numbers.
+    """
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    label_kind = df.schema[label].dataType.simpleString()
+
+    def part(batches):
+        for batch in batches:
+            pdf = batch.select([*keys, label]).to_pandas()
+            rows = batch.column(column)
+            x = rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
+            out = []
+            for key, own in pdf.groupby(keys).indices.items():
+                key, y, z = (key if isinstance(key, tuple) else (key,)), pdf[label].to_numpy()[own], x[own]
+                out.append((*key, None, len(z), z.T @ z))
+                out += [(*key, c, int((y == c).sum()), z[y == c].sum(axis=0)) for c in pd.unique(y)]
+            yield from _sums(out, [*keys, label])
+
+    def _sums(rows, names):
+        for *key, n, v in rows:
+            v = np.r_[float(n), v.ravel()]
+            yield pa.RecordBatch.from_pydict({**{k: [c] * len(v) for k, c in zip(names, key, strict=True)}, "i": np.arange(len(v)), "v": v}, schema=arrow)
+
+    arrow = to_arrow_schema(T.StructType([*[df.schema[k] for k in keys], T.StructField(label, df.schema[label].dataType), T.StructField("i", T.LongType()), T.StructField("v", T.DoubleType())]))
+    sums = df.where(F.col(label).isNotNull() & F.col(column).isNotNull()).select(*keys, label, column).mapInArrow(part, f"{kinds}, {label} {label_kind}, i long, v double")
+    sums = sums.groupBy(*keys, label, "i").agg(F.sum("v").alias("v"))
 
     def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.stack(pdf[column]).astype(float), pdf[label].to_numpy()
-        mean = x.mean(axis=0)
-        between = within = np.zeros((x.shape[1],) * 2)
-        for c in np.unique(y):
-            d = x[y == c]
-            m = d.mean(axis=0)
-            between = between + len(d) * np.outer(m - mean, m - mean)
-            within = within + (d - m).T @ (d - m)
-        half = np.linalg.cholesky(np.linalg.inv(within + ridge * np.trace(within) / len(within) * np.eye(len(within))))
+        pdf = pdf.sort_values("i")
+        whole = pdf[pdf[label].isna()]["v"].to_numpy()
+        d = int(np.sqrt(len(whole) - 1))
+        classes = np.stack([g["v"].to_numpy() for _, g in pdf[pdf[label].notna()].groupby(label)])
+        n, means = classes[:, 0], classes[:, 1:] / classes[:, :1]
+        mean = n @ means / n.sum()
+        between = (means - mean).T @ ((means - mean) * n[:, None])
+        within = whole[1:].reshape(d, d) - means.T @ (means * n[:, None])
+        half = np.linalg.cholesky(np.linalg.inv(within + ridge * np.trace(within) / d * np.eye(d)))
         v = np.linalg.eigh(half.T @ between @ half)[1][:, ::-1][:, :axes]
         q = np.linalg.qr(half @ v)[0]
         q = q * np.sign(q[np.abs(q).argmax(axis=0), np.arange(q.shape[1])])
         return pd.DataFrame([(*key, k, q[:, k].tolist()) for k in range(q.shape[1])], columns=[*keys, "axis", "weights"])
 
-    return df.groupBy(*keys).applyInPandas(fit, f"{kinds}, axis long, weights array<double>")
+    return sums.groupBy(*keys).applyInPandas(fit, f"{kinds}, axis long, weights array<double>")
 
 
 def event_samples(times: DataFrame, events: DataFrame, reach: int, exclude: int, share: float, folds: int, block: int) -> DataFrame:

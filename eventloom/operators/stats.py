@@ -10,6 +10,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.operators.ordered import numbered
+
 
 def moments(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, mean and sample SD by group."""
@@ -164,15 +166,14 @@ def chance(df: DataFrame, label: str) -> DataFrame:
 def balance(df: DataFrame, label: str, key: str, mode: str = "min", seed: int = 0) -> DataFrame:
     """Equal numbers of rows by class: the least class's number drawn from each, or copies up to the greatest's.
 
-    Draws are by hash of the key, so they repeat. A class is ranked by hash within salted
-    parts only where it must be cut exactly.
+    Draws are by hash of the key, so they repeat. Rows of a class are numbered within ranges
+    of the hash, and ranges by their totals, so no class is sorted in one place.
     """
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     goal = sizes.agg((F.min if mode == "min" else F.max)("__n").alias("__goal"))
     rows = df.join(sizes, label).crossJoin(F.broadcast(goal))  # one row
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    numbered = rows.withColumn("__i", F.row_number().over(order) - 1)
+    placed = numbered(rows.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed))), "__i", "__h", (label,), 1 << 52).withColumn("__i", F.col("__i") - 1).drop("__h")
     if mode == "min":
-        return numbered.where("__i < __goal").drop("__i", "__n", "__goal")
+        return placed.where("__i < __goal").drop("__i", "__n", "__goal")
     copies = F.expr("__goal div __n + if(__i < __goal % __n, 1, 0)")
-    return numbered.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long") - 1))).drop("__i", "__n", "__goal")
+    return placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long") - 1))).drop("__i", "__n", "__goal")

@@ -96,7 +96,8 @@ def raster_rows(spark, sf):
 @query(f"{_BOX} SELECT label, bin, round(avg(rate), 9) AS mean_rate, round(stddev_samp(rate) / sqrt(count(*)), 9) AS se, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY 1, 2")
 def group_mean_se(spark, sf):
     """Peri-event firing rate by day of the week: mean and standard error of each bin."""
-    return _box(spark, sf).groupBy("label", "bin").agg(F.round(F.avg("rate"), 9).alias("mean_rate"), F.round(F.stddev_samp("rate") / F.sqrt(F.count(F.lit(1))), 9).alias("se"), F.count(F.lit(1)).alias("n"))
+    out = peri.mean_rate(spikes(spark, sf).select("t"), triggers(spark, sf), "label", RES, HALF, LO, HI)
+    return out.select("label", "bin", F.round("mean_rate", 9).alias("mean_rate"), F.round("se", 9).alias("se"), "n")
 
 
 @query(f"{_BOX} SELECT round(avg(rate), 9) AS mean_rate, round(stddev_samp(rate), 9) AS sd FROM r WHERE bin BETWEEN 0 AND 3")
