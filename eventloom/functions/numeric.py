@@ -101,11 +101,19 @@ def gaussian_smooth(x: np.ndarray, sd: float) -> np.ndarray:
     return np.convolve(x, k, "same") / np.convolve(np.ones(len(x)), k, "same")
 
 
-def ripples(x: np.ndarray, fs: float, lo: float = 70.0, hi: float = 180.0, peak_sd: float = 5.0, edge_sd: float = 3.0, least_cycles: int = 3) -> list[dict]:
-    """Bursts of a band: peaks of the smoothed envelope over mean + peak_sd SD, edges at mean + edge_sd SD."""
+def ripple_band(x: np.ndarray, fs: float, lo: float = 70.0, hi: float = 180.0) -> tuple[np.ndarray, np.ndarray]:
+    """The band of a signal and its smoothed envelope."""
     band = band_pass(x - x.mean(), fs, lo, hi)
-    env = gaussian_smooth(envelope(band), 0.1 * fs / 6)
-    mean, sd = env.mean(), env.std(ddof=1)
+    return band, gaussian_smooth(envelope(band), 0.1 * fs / 6)
+
+
+def ripples(x: np.ndarray, fs: float, lo: float = 70.0, hi: float = 180.0, peak_sd: float = 5.0, edge_sd: float = 3.0, least_cycles: int = 3, level: tuple[float, float] | None = None) -> list[dict]:
+    """Bursts of a band: peaks of the smoothed envelope over mean + peak_sd SD, edges at mean + edge_sd SD.
+
+    ``level`` is the envelope's mean and SD where the signal is a piece of a longer one.
+    """
+    band, env = ripple_band(x, fs, lo, hi)
+    mean, sd = level or (env.mean(), env.std(ddof=1))
     over = np.flatnonzero(np.diff(np.r_[0, (env > mean + edge_sd * sd).astype(int), 0]))
     out, last = [], -1.0
     for a, b in zip(over[::2], over[1::2], strict=True):

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from eventloom.functions import numeric
-from eventloom.functions.timing import HOUR
+from eventloom.functions.timing import HOUR, MINUTE
 from eventloom.operators import demixing, models, stats
 from eventloom.plans.interval_queries import EV
 from eventloom.plans.registry import query
@@ -117,13 +117,12 @@ def hmm_filter(spark, sf):
 
 @query()
 def ripples(spark, sf):
-    """Bursts in a signal of four channels made of the hourly counts' phases at 1 kHz."""
-    t = spark.range(8000).withColumnRenamed("id", "sample").withColumn("channel", F.explode(F.array(*[F.lit(i).cast("long") for i in range(4)])))
-    x = F.col("sample") / F.lit(1000.0)
-    centre = F.lit(2.0) + F.col("channel")
-    burst = F.exp(-(((x - centre) / 0.03) ** 2)) * F.sin(x * F.lit(2 * math.pi * 120)) * 8
-    noise = (F.pmod(F.xxhash64("sample", "channel"), F.lit(2001)) - 1000) / F.lit(1000.0)
-    return models.find_ripples(t.select("channel", "sample", (burst + noise).alias("value")), "channel", "sample", "value", 1000.0)
+    """Bursts of 8 to 20 minutes' period in the counts by minute of four channels, days standing for seconds; cut into pieces of ten days."""
+    n = events(spark, sf).groupBy((F.col("user_id") % 4).alias("channel"), F.expr(f"t div {MINUTE}L").alias("sample")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    last = n.agg(F.max("sample").alias("last"))  # one row
+    grid = n.select("channel").distinct().crossJoin(F.broadcast(last)).select("channel", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("sample"))
+    signal = grid.join(n, ["channel", "sample"], "left").na.fill(0.0, ["value"])
+    return models.find_ripples(signal, "channel", "sample", "value", 1440.0, piece=14400, overlap=2880, peak_sd=3.0, edge_sd=2.0)
 
 
 @query()
