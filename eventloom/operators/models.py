@@ -5,6 +5,7 @@ bounded by the number of dimensions, or by one group's own size, and say so.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -311,20 +312,37 @@ def zeta_test(spikes: DataFrame, events: DataFrame, key: str, window: int, resam
     return each.select(F.col("unit").alias(key), F.when(flat, 0.0).otherwise(F.col("own")).alias("zeta"), F.when(flat, 1.0).otherwise(p).alias("p"), "latency")
 
 
-def demixed(df: DataFrame, unit: str, factors: tuple[str, str], value: str, components: int = 2, ridge: float = 1e-3) -> DataFrame:
-    """Demixed components of units by two factors: explained share of each component.
+def margins(frame: pd.DataFrame, factors: tuple[str, ...], combine: list[list[tuple[str, ...]]] | None = None) -> dict[str, np.ndarray]:
+    """Parts of centred cell means (units by cells) that each subset of factors explains, by inclusion and exclusion.
+
+    ``combine`` lists the subsets whose parts are added up to one; subsets that it leaves out are parts of their own.
+    """
+    subsets = [s for k in range(1, len(factors) + 1) for s in combinations(factors, k)]
+    mean = {s: frame.T.groupby(level=[factors.index(f) for f in s]).transform("mean").T.to_numpy() for s in subsets}
+    part: dict[tuple[str, ...], np.ndarray] = {}
+    for s in subsets:  # smaller ones come first
+        part[s] = mean[s] - sum(part[q] for k in range(1, len(s)) for q in combinations(s, k))
+    groups = [list(map(tuple, g)) for g in combine or []]
+    groups += [[s] for s in subsets if not any(s in g for g in groups)]
+    return {"+".join("*".join(s) for s in g): sum(part[s] for s in g) for g in groups}
+
+
+def demixed(df: DataFrame, unit: str, factors: tuple[str, ...], value: str, components: int = 2, ridge: float = 1e-3, combine: list[list[tuple[str, ...]]] | None = None) -> DataFrame:
+    """Demixed components of units by factors: share of variance that each component explains, that those up to it explain
+    together, and the first less the share that noise alone would give.
 
     Cell means are made in Spark; the matrix is units * cells.
     """
     cells = df.groupBy(unit, *factors).agg(F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.count(F.lit(1)).alias("n")).toPandas()
-    a, b = factors
-    m = cells.pivot_table(index=unit, columns=[a, b], values="m").sort_index()
+    m = cells.pivot_table(index=unit, columns=list(factors), values="m").sort_index()
     m = m.apply(lambda r: r.fillna(r.mean()), axis=1)
     noise = np.diag(cells.assign(e=(cells.v / cells.n).fillna(0)).groupby(unit)["e"].mean().sort_index().to_numpy())
     x = m.to_numpy() - m.to_numpy().mean(axis=1, keepdims=True)
-    frame = pd.DataFrame(x, index=m.index, columns=m.columns)
-    over_a = frame.T.groupby(level=0).transform("mean").T.to_numpy()
-    over_b = frame.T.groupby(level=1).transform("mean").T.to_numpy()
-    found = numeric.demix(m.to_numpy(), noise, {a: over_a, b: over_b, f"{a}*{b}": x - over_a - over_b}, components, ridge)
-    rows = [(name, k, float(share[k])) for name, (_, _, share) in found.items() for k in range(len(share))]
-    return df.sparkSession.createDataFrame(rows, "marginal string, component long, explained double")
+    found = numeric.demix(m.to_numpy(), noise, margins(pd.DataFrame(x, index=m.index, columns=m.columns), factors, combine), components, ridge)
+    total, rows = (x**2).sum(), []
+    for name, (w, u, share) in found.items():
+        for k in range(len(share)):
+            both = 100 - 100 * ((x - u[:, : k + 1] @ np.linalg.lstsq(u[:, : k + 1], x, rcond=None)[0]) ** 2).sum() / total
+            chance = 100 * x.shape[1] * float(w[:, k] @ noise @ w[:, k]) / total
+            rows.append((name, k, float(share[k]), float(both), float(share[k] - chance)))
+    return df.sparkSession.createDataFrame(rows, "marginal string, component long, explained double, cumulative double, above_noise double")

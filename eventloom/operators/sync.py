@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.operators.ordered import numbered
+from eventloom.operators.ordered import before, numbered
 
 
 def linear(pairs: DataFrame, x: str = "x", y: str = "y", weight: str | None = None) -> dict[str, float]:
@@ -37,6 +37,27 @@ def robust(pairs: DataFrame, x: str = "x", y: str = "y", rounds: int = 20) -> di
     return fit
 
 
+def with_step(pairs: DataFrame, x: str = "x", y: str = "y", most_sd: float = 10.0, width: int | None = None) -> dict[str, float]:
+    """The robust line, or where the clocks' gaps differ somewhere by over ``most_sd`` SD, a line with a step there.
+
+    The step lies between the two pairs of the greatest difference (at, in x), and the line
+    is fitted with step * sign(x - at) beside it, from one pass of sums. x counts whole numbers.
+    """
+    rows = pairs.select(F.col(x).cast("long").alias("x"), F.col(y).cast("double").alias("y"))
+    near = before(before(rows, "__x", "x", "x", (), width), "__y", "y", "x", (), width)
+    gap = near.where("__x is not null").select(((F.col("x") + F.col("__x")) / 2).alias("at"), F.abs((F.col("y") - F.col("__y")) - (F.col("x") - F.col("__x"))).alias("d"), ((F.col("y") - F.col("__y")) - (F.col("x") - F.col("__x"))).alias("g"))
+    s = gap.agg(F.avg("g").alias("m"), F.stddev_samp("g").alias("sd"), F.max_by("at", "d").alias("at"), F.max_by("g", "d").alias("g")).first()
+    if s["sd"] is None or not s["sd"] or abs(s["g"] - s["m"]) <= most_sd * s["sd"]:
+        return {**robust(rows, "x", "y"), "step": 0.0, "at": float("nan")}
+    mean = rows.agg(F.avg("x").alias("x"), F.avg("y").alias("y")).first()
+    u, v, z = F.col("x") - F.lit(mean["x"]), F.col("y") - F.lit(mean["y"]), F.signum(F.col("x") - F.lit(s["at"]))
+    q = rows.agg(F.sum(u * u).alias("uu"), F.sum(u * z).alias("uz"), F.sum(z * z).alias("zz"), F.sum(z).alias("z"), F.sum(u * v).alias("uv"), F.sum(v * z).alias("vz"), F.sum(v * v).alias("vv"), F.count(F.lit(1)).alias("n")).first()
+    zz, det = q["zz"] - q["z"] ** 2 / q["n"], q["uu"] * (q["zz"] - q["z"] ** 2 / q["n"]) - q["uz"] ** 2
+    scale, step = (q["uv"] * zz - q["vz"] * q["uz"]) / det, (q["vz"] * q["uu"] - q["uv"] * q["uz"]) / det
+    left = q["vv"] - scale * q["uv"] - step * q["vz"]
+    return {"scale": scale, "offset": mean["y"] - scale * mean["x"] - step * q["z"] / q["n"], "r2": 1 - left / q["vv"] if q["vv"] else 1.0, "step": step, "at": s["at"]}
+
+
 def forward(t, fit: dict[str, float]):
     return t * F.lit(fit["scale"]) + F.lit(fit["offset"])
 

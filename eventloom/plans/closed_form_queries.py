@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import numeric
 from eventloom.functions.timing import HOUR
-from eventloom.operators import models, stats
+from eventloom.operators import models, stats, sync
 from eventloom.operators import recording as R
 from eventloom.plans.interval_queries import EV
 from eventloom.plans.model_queries import _hourly
 from eventloom.plans.registry import query
-from eventloom.sources.tables import spikes, table, triggers
+from eventloom.sources.tables import events, spikes, table, triggers
 
 _XY = "WITH p AS (SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
 
@@ -172,7 +172,25 @@ s AS (SELECT marginal, t, u0, u1, u0 * c00 + u1 * c10 AS w0, u0 * c01 + u1 * c11
 def dpca_two_units(spark, sf):
     """First demixed component of each marginal of two units' cell means."""
     li = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 2).alias("unit"), "l_returnflag", "l_linestatus", "l_quantity")
-    return models.demixed(li, "unit", ("l_returnflag", "l_linestatus"), "l_quantity", 1, 1e-3).withColumn("explained", F.round("explained", 5))
+    return models.demixed(li, "unit", ("l_returnflag", "l_linestatus"), "l_quantity", 1, 1e-3).select("marginal", "component", F.round("explained", 5).alias("explained"))
+
+
+_COMBINED = _CELLS.replace(_CELLS[_CELLS.index("k AS (SELECT 'l_returnflag'") : _CELLS.index("d AS (SELECT marginal")], "k AS (SELECT 'l_returnflag+l_returnflag*l_linestatus' AS marginal, sum((x0 - b0) * x0) AS h00, sum((x0 - b0) * x1) AS h01, sum((x1 - b1) * x0) AS h10, sum((x1 - b1) * x1) AS h11 FROM c UNION ALL SELECT 'l_linestatus', sum(b0 * x0), sum(b0 * x1), sum(b1 * x0), sum(b1 * x1) FROM c),\n")
+
+
+@query(f"{_COMBINED} SELECT marginal, CAST(0 AS BIGINT) AS component, round(100 - 100 * sum(power(x0 - u0 * (w0 * x0 + w1 * x1), 2) + power(x1 - u1 * (w0 * x0 + w1 * x1), 2)) / t, 5) AS explained, round(100 * sum(power(u0 * x0 + u1 * x1, 2)) / t, 5) AS cumulative FROM s, c GROUP BY marginal, t")
+def dpca_combined(spark, sf):
+    """The same with one factor and its interaction as one marginal, and the variance inside the first axis."""
+    li = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 2).alias("unit"), "l_returnflag", "l_linestatus", "l_quantity")
+    out = models.demixed(li, "unit", ("l_returnflag", "l_linestatus"), "l_quantity", 1, 1e-3, [[("l_returnflag",), ("l_returnflag", "l_linestatus")]])
+    return out.select("marginal", "component", F.round("explained", 5).alias("explained"), F.round("cumulative", 5).alias("cumulative"))
+
+
+@query()
+def dpca_three_factors(spark, sf):
+    """Demixed components of three factors and all their interactions."""
+    li = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 20).alias("unit"), "l_returnflag", "l_linestatus", (F.col("l_linenumber") % 2).alias("half"), "l_quantity")
+    return models.demixed(li, "unit", ("l_returnflag", "l_linestatus", "half"), "l_quantity", 1)
 
 
 # calibration and robust lines
@@ -198,6 +216,23 @@ def gaze_plane(spark, sf):
     return R.calibrate(e, spark.createDataFrame(_DOTS, "dot long, x double, y double")).select("vec_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
+_STEP = f"""WITH {EV}, p AS (SELECT t AS x, t * 1.00001 + 7000 + (event_id % 7 - 3) * 10 + CASE WHEN t > (SELECT max(t) FROM ev) * 0.6 THEN 5000000000 ELSE 0 END AS y FROM ev WHERE event_type = 'purchase'),
+g AS (SELECT (x + lag(x) OVER (ORDER BY x)) / 2.0 AS place, (y - lag(y) OVER (ORDER BY x)) - (x - lag(x) OVER (ORDER BY x)) AS g FROM p), a AS (SELECT arg_max(place, abs(g)) AS place FROM g WHERE g IS NOT NULL),
+z AS (SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(sign(x - place) AS DOUBLE) AS z FROM p, a), c AS (SELECT var_pop(x) AS uu, covar_pop(x, z) AS uz, var_pop(z) AS zz, covar_pop(x, y) AS uv, covar_pop(y, z) AS vz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM z),
+f AS (SELECT (uv * zz - vz * uz) / (uu * zz - uz * uz) AS scale, (vz * uu - uv * uz) / (uu * zz - uz * uz) AS step, mx, my, mz FROM c)"""
+
+
+@query(f"{_STEP} SELECT round(scale, 9) AS scale, round(step / 1e6, 3) AS step, round((my - scale * mx - step * mz) / 1e6, 2) AS off, round((SELECT place FROM a) / 1e6, 3) AS place FROM f")
+def sync_step(spark, sf):
+    """A clock against another that jumps once: line and step."""
+    ev = events(spark, sf)
+    last = ev.agg(F.max("t").alias("last"))  # one row
+    jump = F.when(F.col("t") > F.col("last") * 0.6, F.lit(5_000_000_000)).otherwise(F.lit(0))
+    y = F.col("t") * 1.00001 + 7000 + (F.col("event_id") % 7 - 3) * 10 + jump
+    f = sync.with_step(ev.where("event_type = 'purchase'").crossJoin(F.broadcast(last)).select(F.col("t").alias("x"), y.alias("y")))
+    return spark.createDataFrame([(round(f["scale"], 9), round(f["step"] / 1e6, 3), round(f["offset"] / 1e6, 2), round(f["at"] / 1e6, 3))], "scale double, step double, off double, place double")
+
+
 # chances by integration
 
 

@@ -117,3 +117,12 @@ def asset_table(spark, sf):
 
     text = F.concat(F.lit("fileFormatVersion: 2\nguid: "), F.md5("n_name"), F.when(F.col("n_nationkey") % 3 == 0, F.lit("\nfolderAsset: yes")).otherwise(F.lit("")))
     return assets(table(spark, sf, "nation").select(F.concat(F.lit("Assets/"), F.col("n_name"), F.lit(".meta")).alias("path"), text.alias("value")))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS channel, n_name AS name, CAST(n_regionkey AS BIGINT) AS grp FROM nation")
+def xml_files(spark, sf):
+    """A side-car of channels written as XML and read back."""
+    folder = scratch(spark, "xml")
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("channel"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("grp"))
+    n.write.format("xml").option("rootTag", "parameters").option("rowTag", "unit").save(folder)
+    return spark.read.format("xml").option("rowTag", "unit").schema("channel long, name string, grp long").load(folder)

@@ -195,3 +195,26 @@ def test_balance(spark):
     for mode, n in (("min", 3), ("max", 7)):
         got = stats.balance(df, "y", "id", mode).groupBy("y").count().collect()
         assert [r["count"] for r in got] == [n, n]
+
+
+def test_margins_add_up_and_don_t_overlap():
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    columns = pd.MultiIndex.from_product([range(3), range(2), range(4)])
+    x = rng.standard_normal((5, 24))
+    x -= x.mean(axis=1, keepdims=True)
+    parts = models.margins(pd.DataFrame(x, columns=columns), ("a", "b", "c"))
+    assert len(parts) == 7 and np.allclose(sum(parts.values()), x)
+    names = list(parts)
+    assert all(abs((parts[p] * parts[q]).sum()) < 1e-9 for i, p in enumerate(names) for q in names[:i])
+    both = models.margins(pd.DataFrame(x, columns=columns), ("a", "b", "c"), [[("a",), ("a", "b")]])
+    assert np.allclose(both["a+a*b"], parts["a"] + parts["a*b"]) and len(both) == 6
+
+
+def test_step_of_clocks(spark):
+    rows = [(i * 1000, i * 1002.0 + 50 + (4000 if i >= 60 else 0) + i % 3) for i in range(400)]
+    f = sync.with_step(spark.createDataFrame(rows, "x long, y double"))
+    assert abs(f["scale"] - 1.002) < 1e-4 and abs(f["step"] - 2000) < 3 and f["at"] == 59_500 and f["r2"] > 0.9999
+    g = sync.with_step(spark.createDataFrame([(x, x * 1.002 + 50 + x // 1000 % 3) for x, _ in rows], "x long, y double"))
+    assert g["step"] == 0 and abs(g["scale"] - 1.002) < 1e-4
