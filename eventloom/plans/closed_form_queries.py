@@ -193,28 +193,7 @@ def dpca_three_factors(spark, sf):
     return models.demixed(li, "unit", ("l_returnflag", "l_linestatus", "half"), "l_quantity", 1)
 
 
-# calibration and robust lines
-
-_DOTS = [(0, 0.5, 0.5), (1, 0.1, 0.1), (2, 0.9, 0.1), (3, 0.1, 0.9), (4, 0.9, 0.9)]
-_VALUES = ", ".join(map(str, _DOTS))
-_DET = "(w * (xx * yy - xy * xy) - sx * (sx * yy - xy * sy) + sy * (sx * xy - xx * sy))"
-
-
-def _solved(c: str) -> str:
-    a = f"(z{c} * (xx * yy - xy * xy) - sx * (x{c} * yy - xy * y{c}) + sy * (x{c} * xy - xx * y{c})) / {_DET} AS {c}0"
-    b = f"(w * (x{c} * yy - xy * y{c}) - z{c} * (sx * yy - xy * sy) + sy * (sx * y{c} - x{c} * sy)) / {_DET} AS {c}1"
-    d = f"(w * (xx * y{c} - x{c} * xy) - sx * (sx * y{c} - x{c} * sy) + z{c} * (sx * xy - xx * sy)) / {_DET} AS {c}2"
-    return f"{a}, {b}, {d}"
-
-
-@query(f"""WITH g AS (SELECT vec_id, vec_id % 5 AS dot, CAST(embedding[1] AS DOUBLE) AS gx, CAST(embedding[2] AS DOUBLE) AS gy FROM embeddings), m AS (SELECT dot, median(gx) AS gx, median(gy) AS gy, count(*) AS w FROM g GROUP BY 1),
-d AS (SELECT * FROM (VALUES {_VALUES}) v(dot, p, q)), s AS (SELECT sum(w) AS w, sum(w * gx) AS sx, sum(w * gy) AS sy, sum(w * gx * gx) AS xx, sum(w * gx * gy) AS xy, sum(w * gy * gy) AS yy, sum(w * p) AS zp, sum(w * gx * p) AS xp, sum(w * gy * p) AS yp, sum(w * q) AS zq, sum(w * gx * q) AS xq, sum(w * gy * q) AS yq FROM m JOIN d USING (dot)),
-k AS (SELECT {_solved("p")}, {_solved("q")} FROM s) SELECT vec_id, round(p0 + p1 * gx + p2 * gy, 6) AS x, round(q0 + q1 * gx + q2 * gy, 6) AS y FROM g, k""")
-def gaze_plane(spark, sf):
-    """Gaze mapped to the screen by a weighted plane through five dots."""
-    e = table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 5).alias("dot"), F.col("embedding")[0].cast("double").alias("gx"), F.col("embedding")[1].cast("double").alias("gy"))
-    return R.calibrate(e, spark.createDataFrame(_DOTS, "dot long, x double, y double")).select("vec_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
-
+# clocks
 
 _STEP = f"""WITH {EV}, p AS (SELECT t AS x, t * 1.00001 + 7000 + (event_id % 7 - 3) * 10 + CASE WHEN t > (SELECT max(t) FROM ev) * 0.6 THEN 5000000000 ELSE 0 END AS y FROM ev WHERE event_type = 'purchase'),
 g AS (SELECT (x + lag(x) OVER (ORDER BY x)) / 2.0 AS place, (y - lag(y) OVER (ORDER BY x)) - (x - lag(x) OVER (ORDER BY x)) AS g FROM p), a AS (SELECT arg_max(place, abs(g)) AS place FROM g WHERE g IS NOT NULL),
@@ -231,33 +210,3 @@ def sync_step(spark, sf):
     y = F.col("t") * 1.00001 + 7000 + (F.col("event_id") % 7 - 3) * 10 + jump
     f = sync.with_step(ev.where("event_type = 'purchase'").crossJoin(F.broadcast(last)).select(F.col("t").alias("x"), y.alias("y")))
     return spark.createDataFrame([(round(f["scale"], 9), round(f["step"] / 1e6, 3), round(f["offset"] / 1e6, 2), round(f["at"] / 1e6, 3))], "scale double, step double, off double, place double")
-
-
-# chances by integration
-
-
-def _beta(a: str, b: str, x: str) -> str:
-    """Sum that gives the regularised incomplete beta function by Simpson's rule over the angle whose squared sine is the variable; n.i runs from 0 to 2000."""
-    phi = f"(asin(sqrt({x})) * i / 2000)"
-    return f"sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * 2 * power(sin({phi}), 2 * {a} - 1) * power(cos({phi}), 2 * {b} - 1) * asin(sqrt({x})) / 6000 / exp(lgamma({a}) + lgamma({b}) - lgamma({a} + {b})))"
-
-
-_V = "WITH v AS (SELECT vec_id, CAST(label AS BIGINT) AS label, unnest(CAST(embedding AS DOUBLE[])) AS x, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS dim FROM embeddings), n AS (SELECT unnest(range(0, 2001)) AS i)"
-
-
-@query(f"""{_V}, t AS (SELECT dim, label, avg(x) / (stddev_samp(x) / sqrt(count(*))) AS t, count(*) - 1 AS df FROM v GROUP BY 1, 2) SELECT dim, label, round(t, 6) AS t, CAST(df AS BIGINT) AS df, round({_beta("(df / 2.0)", "0.5", "(df / (df + t * t))")}, 6) AS p FROM t, n GROUP BY dim, label, t, df""")
-def ttest_chance(spark, sf):
-    """Two-sided chance of the one-sample t statistic by dimension and class."""
-    from eventloom.plans.model_queries import ttest_p
-
-    return ttest_p(spark, sf).select("dim", "label", F.round("t", 6).alias("t"), "df", F.round("p", 6).alias("p"))
-
-
-@query(f"""{_V}, g AS (SELECT dim, label, count(*) AS n, avg(x) AS m, var_pop(x) * count(*) AS w FROM v GROUP BY 1, 2), o AS (SELECT dim, avg(x) AS m FROM v GROUP BY 1),
-f AS (SELECT dim, (sum(n * (g.m - o.m) * (g.m - o.m)) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))) AS f, CAST(count(*) - 1 AS DOUBLE) AS a, CAST(sum(n) - count(*) AS DOUBLE) AS b FROM g JOIN o USING (dim) GROUP BY dim)
-SELECT dim, round(f, 6) AS f, round({_beta("(b / 2)", "(a / 2)", "(b / (b + a * f))")}, 6) AS p FROM f, n GROUP BY dim, f, a, b""")
-def anova_chance(spark, sf):
-    """Chance of the F statistic by dimension."""
-    from eventloom.plans.model_queries import anova_p
-
-    return anova_p(spark, sf).select("dim", F.round("f", 6).alias("f"), F.round("p", 6).alias("p"))

@@ -69,15 +69,26 @@ def svm_ecoc(spark, sf):
     return stats.balanced_accuracy(models.svm_decoder(_emb(spark, sf), "vec_id", "label", "fold", "embedding"), "label")
 
 
-@query()
+def _beta(a: str, b: str, x: str) -> str:
+    """Sum that gives the regularised incomplete beta function by Simpson's rule over the angle whose squared sine is the variable; n.i runs from 0 to 2000."""
+    phi = f"(asin(sqrt({x})) * i / 2000)"
+    return f"sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * 2 * power(sin({phi}), 2 * {a} - 1) * power(cos({phi}), 2 * {b} - 1) * asin(sqrt({x})) / 6000 / exp(lgamma({a}) + lgamma({b}) - lgamma({a} + {b})))"
+
+
+_N = f"{V}, n AS (SELECT unnest(range(0, 2001)) AS i)"
+
+
+@query(f"""{_N}, t AS (SELECT dim, label, avg(x) / (stddev_samp(x) / sqrt(count(*))) AS t, count(*) - 1 AS df FROM v GROUP BY 1, 2) SELECT dim, label, round(t, 6) AS t, CAST(df AS BIGINT) AS df, round({_beta("(df / 2.0)", "0.5", "(df / (df + t * t))")}, 6) AS p FROM t, n GROUP BY dim, label, t, df""")
 def ttest_p(spark, sf):
     """Two-sided p of the one-sample t test by dimension and class."""
     t = stats.t_test(vectors(spark, sf), ["dim", "label"], "x")
     p = F.pandas_udf(lambda t, df: t.combine(df, numeric.t_p_value), "double")
-    return t.select("dim", "label", "t", "df", p(F.col("t"), F.col("df").cast("double")).alias("p"))
+    return t.select("dim", "label", F.round("t", 6).alias("t"), "df", F.round(p(F.col("t"), F.col("df").cast("double")), 6).alias("p"))
 
 
-@query()
+@query(f"""{_N}, g AS (SELECT dim, label, count(*) AS n, avg(x) AS m, var_pop(x) * count(*) AS w FROM v GROUP BY 1, 2), o AS (SELECT dim, avg(x) AS m FROM v GROUP BY 1),
+f AS (SELECT dim, (sum(n * (g.m - o.m) * (g.m - o.m)) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))) AS f, CAST(count(*) - 1 AS DOUBLE) AS a, CAST(sum(n) - count(*) AS DOUBLE) AS b FROM g JOIN o USING (dim) GROUP BY dim)
+SELECT dim, round(f, 6) AS f, round({_beta("(b / 2)", "(a / 2)", "(b / (b + a * f))")}, 6) AS p FROM f, n GROUP BY dim, f, a, b""")
 def anova_p(spark, sf):
     f = stats.anova(vectors(spark, sf), "label", ["dim"], "x")
 
@@ -87,7 +98,7 @@ def anova_p(spark, sf):
 
         return pd.Series([numeric.f_p_value(*x) for x in zip(f, a, b, strict=True)])
 
-    return f.select("dim", "f", p("f", F.col("df1").cast("double"), F.col("df2").cast("double")).alias("p"))
+    return f.select("dim", F.round("f", 6).alias("f"), F.round(p("f", F.col("df1").cast("double"), F.col("df2").cast("double")), 6).alias("p"))
 
 
 def _hourly(spark, sf):

@@ -84,11 +84,26 @@ def gaze_medians(spark, sf):
     return e.groupBy("dot").agg(F.round(F.median("gx"), 9).alias("gx"), F.round(F.median("gy"), 9).alias("gy"), F.count(F.lit(1)).alias("w"))
 
 
-@query()
+_DOTS = [(0, 0.5, 0.5), (1, 0.1, 0.1), (2, 0.9, 0.1), (3, 0.1, 0.9), (4, 0.9, 0.9)]
+_VALUES = ", ".join(map(str, _DOTS))
+_DET = "(w * (xx * yy - xy * xy) - sx * (sx * yy - xy * sy) + sy * (sx * xy - xx * sy))"
+
+
+def _solved(c: str) -> str:
+    a = f"(z{c} * (xx * yy - xy * xy) - sx * (x{c} * yy - xy * y{c}) + sy * (x{c} * xy - xx * y{c})) / {_DET} AS {c}0"
+    b = f"(w * (x{c} * yy - xy * y{c}) - z{c} * (sx * yy - xy * sy) + sy * (sx * y{c} - x{c} * sy)) / {_DET} AS {c}1"
+    d = f"(w * (xx * y{c} - x{c} * xy) - sx * (sx * y{c} - x{c} * sy) + z{c} * (sx * xy - xx * sy)) / {_DET} AS {c}2"
+    return f"{a}, {b}, {d}"
+
+
+@query(f"""WITH g AS (SELECT vec_id, vec_id % 5 AS dot, CAST(embedding[1] AS DOUBLE) AS gx, CAST(embedding[2] AS DOUBLE) AS gy FROM embeddings), m AS (SELECT dot, median(gx) AS gx, median(gy) AS gy, count(*) AS w FROM g GROUP BY 1),
+d AS (SELECT * FROM (VALUES {_VALUES}) v(dot, p, q)), s AS (SELECT sum(w) AS w, sum(w * gx) AS sx, sum(w * gy) AS sy, sum(w * gx * gx) AS xx, sum(w * gx * gy) AS xy, sum(w * gy * gy) AS yy, sum(w * p) AS zp, sum(w * gx * p) AS xp, sum(w * gy * p) AS yp, sum(w * q) AS zq, sum(w * gx * q) AS xq, sum(w * gy * q) AS yq FROM m JOIN d USING (dot)),
+k AS (SELECT {_solved("p")}, {_solved("q")} FROM s) SELECT vec_id, dot, round(gx, 9) AS gx, round(gy, 9) AS gy, round(p0 + p1 * gx + p2 * gy, 6) AS x, round(q0 + q1 * gx + q2 * gy, 6) AS y FROM g, k""")
 def gaze_calibration(spark, sf):
+    """Gaze mapped to the screen by a weighted plane through five dots."""
     e = table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 5).alias("dot"), F.col("embedding")[0].cast("double").alias("gx"), F.col("embedding")[1].cast("double").alias("gy"))
-    dots = spark.createDataFrame([(0, 0.5, 0.5), (1, 0.1, 0.1), (2, 0.9, 0.1), (3, 0.1, 0.9), (4, 0.9, 0.9)], "dot long, x double, y double")
-    return R.calibrate(e, dots)
+    out = R.calibrate(e, spark.createDataFrame(_DOTS, "dot long, x double, y double"))
+    return out.select("vec_id", "dot", *[F.round(k, n).alias(k) for k, n in (("gx", 9), ("gy", 9), ("x", 6), ("y", 6))])
 
 
 @query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[])[1:3] AS g FROM embeddings), t AS (SELECT * FROM (VALUES ('x', [1.0, 0.0, 0.0]), ('y', [0.0, 1.0, 0.0]), ('z', [0.0, 0.0, 1.0])) v(name, t)),

@@ -317,10 +317,21 @@ def sync_linear(spark, sf):
     return spark.createDataFrame([(round(f["scale"], 9), round(f["offset"], 4), round(f["r2"], 9))], "scale double, off double, r2 double")
 
 
-@query()
+def _robust(rounds: int) -> str:
+    """The weighted line again and again, each fit a table of one row."""
+    line = "SELECT sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) * (x - mx)) AS k, any_value(my) - any_value(mx) * sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) * (x - mx)) AS o, power(sum(w * (x - mx) * (y - my)), 2) / (sum(w * (x - mx) * (x - mx)) * sum(w * (y - my) * (y - my))) AS r"
+    steps = [f"f0 AS MATERIALIZED ({line} FROM (SELECT x, y, 1.0 AS w, avg(x) OVER () AS mx, avg(y) OVER () AS my FROM p))"]
+    for i in range(rounds):
+        steps.append(f"m{i} AS MATERIALIZED (SELECT 4.685 * quantile_disc(abs(y - k * x - o), 0.5) / 0.6745 AS c FROM p, f{i})")
+        steps.append(f"w{i} AS MATERIALIZED (SELECT x, y, CASE WHEN abs(y - k * x - o) < c THEN power(1 - power((y - k * x - o) / c, 2), 2) ELSE 0 END AS w FROM p, f{i}, m{i})")
+        steps.append(f"f{i + 1} AS MATERIALIZED ({line} FROM (SELECT x, y, w, sum(w * x) OVER () / sum(w) OVER () AS mx, sum(w * y) OVER () / sum(w) OVER () AS my FROM w{i}))")
+    return ", ".join(steps)
+
+
+@query(f"{_PAIRS}, {_robust(20)} SELECT round(k, 9) AS scale, round(o, 4) AS off, round(r, 9) AS r2 FROM f20")
 def sync_robust(spark, sf):
     f = sync.robust(_pairs(spark, sf))
-    return spark.createDataFrame([(f["scale"], f["offset"], f["r2"])], "scale double, off double, r2 double")
+    return spark.createDataFrame([(round(f["scale"], 9), round(f["offset"], 4), round(f["r2"], 9))], "scale double, off double, r2 double")
 
 
 @query(f"""{_E}, a AS (SELECT t, row_number() OVER (ORDER BY t) AS i FROM ev WHERE event_type = 'purchase'), b AS (SELECT t + 3000 AS t, row_number() OVER (ORDER BY t) AS i FROM (SELECT t FROM ev WHERE event_type = 'purchase' ORDER BY t OFFSET 2)),
