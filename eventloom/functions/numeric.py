@@ -170,44 +170,50 @@ def glm(x: np.ndarray, y: np.ndarray, family: str = "poisson", alpha: float = 0.
     return beta, float(b0), float(dev)
 
 
+def _likelihoods(counts: np.ndarray, rates: np.ndarray) -> tuple[list[list[float]], float]:
+    """Each bin's likelihood of each state over the bin's greatest, and the sum of the greatest's logarithms."""
+    log_b = counts[:, None] * np.log(np.maximum(rates, 1e-12)) - rates
+    top = log_b.max(axis=1)
+    return np.exp(log_b - top[:, None]).tolist(), float(top.sum())
+
+
+def _forward(b: list[list[float]], k: int, stay: float) -> tuple[list[list[float]], list[float]]:
+    """Filtered chances and scales; plain numbers, since states are few and bins follow one another."""
+    off = (1 - stay) / max(k - 1, 1)
+    p, out, scale = [1 / k] * k, [], []
+    for t, own in enumerate(b):
+        w = [x * (off + (stay - off) * y) for x, y in zip(own, p, strict=True)] if t or k == 1 else [x * y for x, y in zip(own, p, strict=True)]
+        c = sum(w)
+        p = [x / c for x in w]
+        out.append(p)
+        scale.append(c)
+    return out, scale
+
+
 def hmm_filter(counts: np.ndarray, rates: np.ndarray, stay: float) -> np.ndarray:
     """Forward probabilities of Poisson states with one staying probability."""
-    k = len(rates)
-    move = np.full((k, k), (1 - stay) / max(k - 1, 1))
-    np.fill_diagonal(move, stay)
-    p, out = np.full(k, 1 / k), np.empty((len(counts), k))
-    for t, c in enumerate(counts):
-        like = c * np.log(np.maximum(rates, 1e-12)) - rates
-        p = (p @ move) * np.exp(like - like.max())
-        p /= p.sum()
-        out[t] = p
-    return out
+    return np.array(_forward(_likelihoods(counts, rates)[0], len(rates), stay)[0]).reshape(len(counts), len(rates))
 
 
 def hmm_fit(counts: np.ndarray, states: int = 2, rounds: int = 100) -> tuple[np.ndarray, float, float]:
     """Rates, staying probability and log-likelihood of a Poisson HMM by scaled forward and backward passes."""
     rates = np.quantile(counts, (np.arange(states) + 0.5) / states) + np.arange(states) * 0.5 + 0.1
-    stay, last = 0.9, -np.inf
+    stay, last, n = 0.9, -np.inf, len(counts)
     for _ in range(rounds):
-        move = np.full((states, states), (1 - stay) / max(states - 1, 1))
-        np.fill_diagonal(move, stay)
-        log_b = counts[:, None] * np.log(rates) - rates
-        top = log_b.max(axis=1)
-        b = np.exp(log_b - top[:, None])
-        n = len(counts)
-        a, c, back = np.empty((n, states)), np.empty(n), np.ones((n, states))
-        for t in range(n):
-            a[t] = (a[t - 1] @ move if t else np.full(states, 1 / states)) * b[t]
-            c[t] = a[t].sum()
-            a[t] /= c[t]
+        b, top = _likelihoods(counts, rates)
+        a, c = _forward(b, states, stay)
+        off = (1 - stay) / max(states - 1, 1)
+        back, same = [[1.0] * states], 0.0
         for t in range(n - 2, -1, -1):
-            back[t] = move @ (b[t + 1] * back[t + 1]) / c[t + 1]
-        gamma = a * back
+            x = [u * v / c[t + 1] for u, v in zip(b[t + 1], back[-1], strict=True)]
+            same += stay * sum(u * v for u, v in zip(a[t], x, strict=True))
+            total = off * sum(x)
+            back.append([total + (stay - off) * v for v in x])
+        gamma = np.array(a) * np.array(back[::-1])
         gamma /= gamma.sum(axis=1, keepdims=True)
-        same = sum((a[t][:, None] * move * (b[t + 1] * back[t + 1])[None, :] / c[t + 1]).diagonal().sum() for t in range(n - 1))
         rates = np.maximum((gamma * counts[:, None]).sum(axis=0) / gamma.sum(axis=0), 1e-6)
         stay = float(np.clip(same / max(n - 1, 1), 0.01, 0.999))
-        ll = float(np.log(c).sum() + top.sum())
+        ll = float(np.log(c).sum() + top)
         if abs(ll - last) < 1e-8 * abs(ll):
             break
         last = ll
