@@ -7,14 +7,14 @@ repeated window covers go; overlapping and touching windows merge into maximal i
 
 Flow: (1) a map task hashes the windows of a batch, keeps each hash's earliest window and
 marks the others, so a passage that every document holds is sent once a batch; (2) the
-kept hashes are dealt by value into partitions, as byte planes of about 14 bytes a window;
+kept hashes are dealt by value into partitions, as byte planes of about 12 bytes a window;
 (3) each partition marks all but the earliest window of each hash; (4) marks, packed for
 many documents a row, are dealt by document and joined with those texts that a Bloom filter
 over marked documents lets pass, which are cut; all other texts are never shuffled.
 
-Two hashes of different bases tell windows apart, 96 bits of them and the partition's
-number besides: with n windows about n * n / 2**97 are taken for repeated by chance in one
-partition and fewer in more, 1e-5 for 10**12 windows. Words are not compared again.
+Two hashes of different bases tell windows apart, 80 bits of them and the partition's
+number besides: of n windows in p partitions about n * n / 2**81 / p are taken for repeated
+by chance, 4e-5 for 10**12 windows in 10**4 partitions. Words are not compared again.
 
 Defined cases: null and empty texts have no words; an empty table gives an empty one; a
 text of any length is hashed whole, piece by piece of a batch; a null document id sorts
@@ -39,7 +39,7 @@ from .textops import SPACED, chunked, mix, planes, unplanes, utf8, words
 #: Bytes of text whose windows are grouped before the shuffle.
 BATCH = 8 << 20
 #: Bytes kept of either hash.
-_WIDTH, _WIDTH2 = 7, 5
+_WIDTH, _WIDTH2 = 7, 3
 _LEAST = np.iinfo(np.int64).min
 
 
