@@ -56,18 +56,16 @@ def pieces(text: str) -> Iterator[tuple[str, bool]]:
         yield part[at:], False
 
 
-def encode_pieces(text: str | None, path: str, pattern: str) -> Iterator[np.ndarray]:
-    """The ids of a text, in order, in arrays of bounded length."""
+def encode_pieces(text: str | None, path: str, pattern: str) -> Iterator[list[int]]:
+    """The ids of a text, in order, in lists of bounded length."""
     enc = encoding(path, pattern)
     for piece, whole in pieces(text or ""):
-        if whole:
-            yield np.array(enc._encode_single_piece(piece), np.uint32)
-        elif piece:
-            yield enc.encode_to_numpy(piece, disallowed_special=())
+        if piece:
+            yield enc._encode_single_piece(piece) if whole else enc.encode_ordinary(piece)
 
 
 def encode(text: str | None, path: str, pattern: str) -> list[int]:
-    return [i for ids in encode_pieces(text, path, pattern) for i in ids.tolist()]
+    return [i for ids in encode_pieces(text, path, pattern) for i in ids]
 
 
 def decode(ids: list[int], path: str, pattern: str) -> bytes:
@@ -86,10 +84,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
                 n, id_digest, byte_digest, own = 0, sha256(), sha256(), []
                 for ids in encode_pieces(t, path, pattern):
                     n += len(ids)
-                    id_digest.update(ids.astype("<u4", copy=False))
-                    byte_digest.update(decode(ids.tolist(), path, pattern))
+                    raw = np.array(ids, "<u4")
+                    id_digest.update(raw)
+                    byte_digest.update(decode(ids, path, pattern))
                     if with_ids:
-                        own.append(ids.astype(np.int32))
+                        own.append(raw.astype(np.int32))
                 count.append(n)
                 of_ids.append(id_digest.hexdigest())
                 of_bytes.append(byte_digest.hexdigest())
