@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 #: Bytes of text handled at once.
 CHUNK = 2 << 20
 
+#: Windows hashed at once.
+WINDOWS = 1 << 15
 #: Key of the words' hash.
 WORD_KEY = "eventloom words."
 PRIME = (1 << 61) - 1
@@ -118,14 +120,17 @@ def _times(x: np.ndarray, c: int) -> np.ndarray:
 
 
 def rolling(h: np.ndarray, k: int, base: int = 0) -> np.ndarray:
-    """sum(h[i + j] * B ** j for j < k) modulo 2**61 - 1, mixed; 0 where it doesn't fit.
-
-    By doubling: two halves make a window of twice the length.
-    """
+    """sum(h[i + j] * B ** j for j < k) modulo 2**61 - 1, mixed; 0 where it doesn't fit."""
     n = len(h)
     out = np.zeros(n, np.uint64)
-    if n < k:
-        return out
+    for lo in range(0, n - k + 1, WINDOWS):  # stretches that stay in a processor's cache
+        own = _polynomials(h[lo : lo + WINDOWS + k - 1], k, base)
+        out[lo : lo + len(own)] = own
+    return out
+
+
+def _polynomials(h: np.ndarray, k: int, base: int) -> np.ndarray:
+    """One value for each window that fits. By doubling: two halves make a window of twice the length."""
     part, size, acc, got = _reduced(h), 1, None, 0
     want = k
     while True:
@@ -142,9 +147,8 @@ def rolling(h: np.ndarray, k: int, base: int = 0) -> np.ndarray:
         m = len(part) - size
         part = _reduced(part[:m] + _times(part[size:], pow(BASES[base], size, PRIME)))
         size *= 2
-    acc = acc[: n - k + 1]
-    out[: n - k + 1] = mix(np.where(acc >= _P, acc - _P, acc) ^ np.uint64(k))
-    return out
+    acc = acc[: len(h) - k + 1]
+    return mix(np.where(acc >= _P, acc - _P, acc) ^ np.uint64(k))
 
 
 def distinct(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
