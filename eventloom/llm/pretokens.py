@@ -9,7 +9,7 @@ from __future__ import annotations
 from bisect import bisect
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from .textops import CHUNK, chunked, distinct, utf8
 #: Fixed value: the split of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pre-tokens whose values a worker keeps, their bytes, and the values.
-KEPT, KEPT_BYTES, KEPT_VALUES = 400_000, 32 << 20, 16 << 20
+KEPT, KEPT_BYTES, KEPT_VALUES = 800_000, 32 << 20, 16 << 20
 #: Characters after which a long text is cut at the next safe place.
 PIECE = 1 << 18
 _OTHER, _LETTER, _NUMBER, _SPACE, _EDGE = range(5)
@@ -187,11 +187,12 @@ class Pretokens:
         number, own = distinct(raw, np.diff(np.r_[edge[start], len(raw)]))
         if len(self.number) > KEPT or self.bytes > KEPT_BYTES or self.used > KEPT_VALUES:
             self.forget()
-        own = own.tolist()
-        new = [t for t in own if t not in self.number]
-        if new:
-            self._keep(new)
-        place = np.fromiter(map(self.number.__getitem__, own), np.int64, len(own))[number]
+        place = np.fromiter(map(self.number.get, own, repeat(-1)), np.int64, len(own))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = np.arange(len(self.number), len(self.number) + len(new))
+            self._keep(own[new].tolist())
+        place = place[number]
         size, place = self.size[place], self.at[place]
         if spans:  # a special string's bytes may be those of the same ordinary text
             x = np.searchsorted(start, [a for a, _ in spans])

@@ -115,7 +115,7 @@ class MergeTable:
             keep[hit + 1] = False
             moved = hit - np.arange(len(hit))  # one symbol less for each merge before
             sym, row, rank = sym[keep], row[keep], rank[keep]
-            near = np.unique(np.r_[moved, moved[moved > 0] - 1])
+            near = np.r_[moved, moved[moved > 0] - 1]
             rank[near] = _NONE
             near = near[near + 1 < len(row)]
             near = near[row[near] == row[near + 1]]
