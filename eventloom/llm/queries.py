@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontaminate, embedding_dedup, language_id, secret_scan, set_sketch, substring_dedup, token_counts, token_files, toxicity
+from . import bpe_codec, centroid_clusters, decontaminate, embedding_dedup, language_id, secret_scan, set_sketch, substring_dedup, token_counts, token_files, toxicity, vector_codes
 from .frames import fresh_path, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -58,6 +58,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_shards(manifest, folder)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(*vector_codes.compress(table(spark, sf_dir, "embeddings")))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.digest(*centroid_clusters.cluster(table(spark, sf_dir, "embeddings")))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -141,9 +149,66 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+#: Usable vectors as floored integers: rows numbered, components as a list.
+_INTEGERS = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor({scale} * x) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) {length} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)"""
+#: Floored mean of integers s over n of them.
+_FLOORED = "CAST((sum({0}) - ((sum({0}) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)"
+
+
+def _op11_sql(rounds: int = 2) -> str:
+    """Rounds written out: b0, b1, ... are the codebooks, a0, a1, ... the assignments by them."""
+    out = [_INTEGERS.format(scale=256, length="> 0 AND len(embedding) % 16 = 0")]
+    out.append("p AS MATERIALIZED (SELECT rid, g, x[g * (len(x) // 16) + 1 : (g + 1) * (len(x) // 16)] AS y FROM v, (SELECT unnest(range(16)) AS g))")
+    out.append("b0 AS MATERIALIZED (SELECT g, rid - 1 AS e, y AS c FROM p WHERE rid <= 64)")
+    for r in range(rounds + 1):
+        out.append(f"""a{r} AS MATERIALIZED (
+  SELECT rid, g, min_by(e, (d, e)) AS e, min(d) AS d FROM (
+    SELECT rid, g, e, CAST(list_sum(list_transform(range(1, len(y) + 1), lambda i: (y[i] - c[i]) * (y[i] - c[i]))) AS BIGINT) AS d FROM p JOIN b{r} USING (g)) GROUP BY rid, g
+)""")
+        if r < rounds:
+            out.append(f"""b{r + 1} AS MATERIALIZED (
+  SELECT g, e, coalesce(m, c) AS c FROM b{r} LEFT JOIN (
+    SELECT g, e, list(m ORDER BY i) AS m FROM (SELECT g, e, i, {_FLOORED.format("z")} AS m FROM (SELECT g, e, unnest(y) AS z, unnest(range(len(y))) AS i FROM p JOIN a{r} USING (rid, g)) GROUP BY g, e, i) GROUP BY g, e
+  ) USING (g, e)
+)""")
+    return ",\n".join(out) + f"""
+, coded AS (
+  SELECT rid, string_agg(lower(lpad(to_hex(e), 2, '0')), '' ORDER BY g) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY rid
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY g, e)) FROM b{rounds}) AS codebooks_sha256
+FROM v JOIN coded USING (rid)
+"""
+
+
+def _op13_sql(rounds: int = 10) -> str:
+    """Rounds written out: c0, c1, ... are the centroids, a0, a1, ... the assignments by them."""
+    out = [_INTEGERS.format(scale=1024, length="= 64")]
+    out.append("c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, x) - 1 AS k, x AS c FROM v QUALIFY k < 8)")
+    for r in range(rounds + 1):
+        out.append(f"""a{r} AS MATERIALIZED (
+  SELECT rid, min_by(k, (d, k)) AS k, min(d) AS d FROM (
+    SELECT rid, k, CAST(list_sum(list_transform(range(1, 65), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS BIGINT) AS d FROM v, c{r}) GROUP BY rid
+)""")
+        if r < rounds:
+            out.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT k, coalesce(m, c) AS c FROM c{r} LEFT JOIN (
+    SELECT k, list(m ORDER BY i) AS m FROM (SELECT k, i, {_FLOORED.format("z")} AS m FROM (SELECT k, unnest(x) AS z, unnest(range(64)) AS i FROM v JOIN a{r} USING (rid)) GROUP BY k, i) GROUP BY k
+  ) USING (k)
+)""")
+    return ",\n".join(out) + f"""
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} USING (rid) JOIN c{rounds} USING (k)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_embedding_dedup, op4_language_id, op5_set_sketch, op6_toxicity, op7_token_counts, op8_bpe_codec, op9_secret_scan, op10_token_files)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_embedding_dedup, op4_language_id, op5_set_sketch, op6_toxicity, op7_token_counts, op8_bpe_codec, op9_secret_scan, op10_token_files, op11_vector_codes, op13_centroid_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op5_set_sketch": OP5_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op5_set_sketch": OP5_SQL, "op11_vector_codes": _op11_sql(), "op13_centroid_clusters": _op13_sql()}
