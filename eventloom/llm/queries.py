@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, centroid_clusters, decontaminate, embedding_dedup, language_id, secret_scan, set_sketch, substring_dedup, token_counts, token_files, toxicity, vector_codes
+from . import bpe_codec, centroid_clusters, decontaminate, embedding_dedup, language_id, personal_data, secret_scan, set_sketch, substring_dedup, token_counts, token_files, toxicity, vector_codes
 from .frames import fresh_path, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -62,6 +62,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.digest(*vector_codes.compress(table(spark, sf_dir, "embeddings")))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(personal_data.find(table(spark, sf_dir, "documents")))
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters.digest(*centroid_clusters.cluster(table(spark, sf_dir, "embeddings")))
 
@@ -207,7 +211,7 @@ FROM v JOIN a{rounds} USING (rid) JOIN c{rounds} USING (k)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_embedding_dedup, op4_language_id, op5_set_sketch, op6_toxicity, op7_token_counts, op8_bpe_codec, op9_secret_scan, op10_token_files, op11_vector_codes, op13_centroid_clusters)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_embedding_dedup, op4_language_id, op5_set_sketch, op6_toxicity, op7_token_counts, op8_bpe_codec, op9_secret_scan, op10_token_files, op11_vector_codes, op12_personal_data, op13_centroid_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:
