@@ -4,6 +4,7 @@ bounded by the number of dimensions, or by one group's own size, and say so.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -13,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.functions import numeric
-from eventloom.operators import peri
+from eventloom.functions import filters, numeric
+from eventloom.operators import peri, scans
 
 
 def gram(df: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
@@ -208,14 +209,15 @@ def hmm_states(df: DataFrame, key: str, order: str, count: str, states: int = 2)
     return by_group(df.select(key, order, count), [key], fit, f"{key} {kind}, {order} long, p_high double, rate_low double, rate_high double, stay double")
 
 
-def hmm_given(df: DataFrame, key: str, order: str, count: str, rates: list[float], stay: float) -> DataFrame:
-    """Filters each key's counts through Poisson states of given rates, in rising order: bin and probability of the highest state."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pd.DataFrame({order: pdf[order], "p_high": numeric.hmm_filter(pdf[count].to_numpy(float), np.array(rates), stay)[:, -1]})
-
-    kind = df.schema[key].dataType.simpleString()
-    return by_group(df.select(key, order, count), [key], run, f"{key} {kind}, {order} long, p_high double")
+def hmm_given(df: DataFrame, key: str, order: str, count: str, rates: list[float], stay: float, width: int | None = None) -> DataFrame:
+    """Filters each key's counts through Poisson states of given rates, in rising order, by a scan over blocks of ``width`` bins: bin and probability of the highest state."""
+    n = len(rates)
+    off = (1 - stay) / max(n - 1, 1)
+    y = F.col(count).cast("double")
+    e = F.array(*[y * F.lit(math.log(max(r, 1e-12))) - F.lit(float(r)) for r in rates])
+    a = F.array(*[F.lit(1.0 if n == 1 else stay if i == j else off) for i in range(n) for j in range(n)])
+    rows = df.select(key, order, e.alias("e"), a.alias("a"), F.array_repeat(F.lit(1 / n), n).alias("start"))
+    return scans.hidden_states(rows, (key,), order, n, width).select(key, order, F.col("p")[n - 1].alias("p_high"))
 
 
 def find_ripples(df: DataFrame, key: str, order: str, value: str, fs: float, piece: int | None = None, overlap: int = 0, lo: float = 70.0, hi: float = 180.0, **options) -> DataFrame:
@@ -261,13 +263,9 @@ def find_ripples(df: DataFrame, key: str, order: str, value: str, fs: float, pie
     return pieces.join(level, key).groupBy(key, "piece").applyInPandas(find, out)
 
 
-def filtered(df: DataFrame, key: str, order: str, value: str, fs: float, lo: float | None, hi: float | None) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pd.DataFrame({order: pdf[order], value: numeric.band_pass(pdf[value].to_numpy(float), fs, lo, hi)})
-
-    kind = df.schema[key].dataType.simpleString()
-    return by_group(df.select(key, order, value), [key], run, f"{key} {kind}, {order} long, {value} double")
+def filtered(df: DataFrame, key: str, order: str, value: str, fs: float, band: tuple[float, float], kind: str = "butter", poles: int = 6, ripple: float = 20.0) -> DataFrame:
+    """Channels through a Butterworth or Chebyshev (``cheby2``) filter forwards and backwards; bands as in filters.sections()."""
+    return scans.filtered(df, (key,), order, value, filters.sections(kind, poles, band, fs, ripple))
 
 
 #: Pieces of a window in which ranks are first bounded.

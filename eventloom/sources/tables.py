@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,9 +39,11 @@ def spans(spark: SparkSession, sf_dir: str, kind: str, length: int) -> DataFrame
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path in spark.checkpoint.dir, which all executors share; in a temporary one only where it is unset."""
+    """A new folder's path in spark.checkpoint.dir, which all executors share; where it is unset, in a temporary one for local sessions and an error for others."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="eventloom-")
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
