@@ -101,10 +101,11 @@ def natural_key(s: Column, digits: int = 12) -> Column:
 
 
 def clock_text(micros: Column) -> Column:
-    """HH:MM:SS,mmm of a time in microseconds."""
+    """HH:MM:SS,mmm of a time in microseconds; hours take as many digits as they need."""
     total = F.floor(micros / F.lit(1000)).cast("long")
     two = lambda c: F.lpad(c.cast("long").cast("string"), 2, "0")
-    return F.concat(two(F.floor(total / 3600000)), F.lit(":"), two(F.floor(total / 60000) % 60), F.lit(":"), two(F.floor(total / 1000) % 60), F.lit(","), F.lpad((total % 1000).cast("string"), 3, "0"))
+    hours = F.floor(total / 3600000).cast("long")
+    return F.concat(F.when(hours < 100, two(hours)).otherwise(hours.cast("string")), F.lit(":"), two(F.floor(total / 60000) % 60), F.lit(":"), two(F.floor(total / 1000) % 60), F.lit(","), F.lpad((total % 1000).cast("string"), 3, "0"))
 
 
 def raised_cosine(t: Column, centre: Column, width: float) -> Column:

@@ -12,13 +12,13 @@ from eventloom.plans.registry import query
 from eventloom.sources.tables import events, table
 
 _E = f"WITH {EV}"
-_SIG = f"""{_E}, h AS (SELECT user_id % 4 AS channel, t // {HOUR} AS sample, count(*) AS n FROM ev GROUP BY 1, 2), s AS (SELECT channel, sample, CAST(coalesce(n, 0) AS DOUBLE) AS value FROM (SELECT channel, sample FROM (SELECT unnest(range(0, 4)) AS channel), (SELECT unnest(range(0, 720)) AS sample)) LEFT JOIN h USING (channel, sample))"""
+_SIG = f"""{_E}, h AS (SELECT user_id % 4 AS channel, t // {HOUR} AS sample, count(*) AS n FROM ev GROUP BY 1, 2), s AS (SELECT channel, sample, CAST(coalesce(n, 0) AS DOUBLE) AS value FROM (SELECT channel, sample FROM (SELECT unnest(range(0, 4)) AS channel), (SELECT unnest(range(0, (SELECT max(sample) + 1 FROM h))) AS sample)) LEFT JOIN h USING (channel, sample))"""
 
 
 def _signal(spark, sf):
     h = events(spark, sf).groupBy((F.col("user_id") % 4).alias("channel"), F.expr(f"t div {HOUR}L").alias("sample")).agg(F.count(F.lit(1)).cast("double").alias("value"))
-    seq = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    grid = spark.range(1).select(seq(4).alias("channel")).withColumn("sample", seq(720))
+    last = h.agg(F.max("sample").alias("last"))  # one row
+    grid = spark.range(4).select(F.col("id").alias("channel")).crossJoin(F.broadcast(last)).select("channel", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("sample"))
     return grid.join(h, ["channel", "sample"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
@@ -28,10 +28,10 @@ def load_samples(spark, sf):
     return R.samples(R.blocks(_signal(spark, sf), 64), [1, 3], 100, 300, 0.5)
 
 
-@query(f"{_SIG}, g AS (SELECT CAST(unnest(range(0, 1438)) AS BIGINT) AS k), p AS (SELECT channel, k, k / 2.0 AS u FROM g, (SELECT DISTINCT channel FROM s)) SELECT CAST(p.channel AS BIGINT) AS channel, p.k AS sample, round(a.value + (coalesce(b.value, a.value) - a.value) * (u - floor(u)), 6) AS value FROM p JOIN s a ON a.channel = p.channel AND a.sample = CAST(floor(u) AS BIGINT) LEFT JOIN s b ON b.channel = p.channel AND b.sample = CAST(floor(u) AS BIGINT) + 1 WHERE u <= 718.5")
+@query(f"{_SIG}, g AS (SELECT CAST(unnest(range(0, (SELECT 2 * max(sample) + 1 FROM s))) AS BIGINT) AS k), p AS (SELECT channel, k, k / 2.0 AS u FROM g, (SELECT DISTINCT channel FROM s)) SELECT CAST(p.channel AS BIGINT) AS channel, p.k AS sample, round(a.value + (coalesce(b.value, a.value) - a.value) * (u - floor(u)), 6) AS value FROM p JOIN s a ON a.channel = p.channel AND a.sample = CAST(floor(u) AS BIGINT) LEFT JOIN s b ON b.channel = p.channel AND b.sample = CAST(floor(u) AS BIGINT) + 1")
 def resample_linear(spark, sf):
     """Twice the rate by linear interpolation."""
-    return R.resample(_signal(spark, sf), 1.0, 2.0).where("sample <= 1437").withColumn("value", F.round("value", 6))
+    return R.resample(_signal(spark, sf), 1.0, 2.0).withColumn("value", F.round("value", 6))
 
 
 @query(f"{_SIG} SELECT CAST(channel AS BIGINT) AS channel, CAST(sample AS BIGINT) AS sample, median(value) OVER (PARTITION BY channel ORDER BY sample ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS value FROM s")

@@ -132,11 +132,11 @@ def enum_decode(spark, sf):
 
 
 @query(f"""{_E}, s AS (SELECT user_id, event_type, t, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS nxt FROM ev), c AS (SELECT user_id, t, greatest(coalesce(nxt - {SECOND}, t + {2 * SECOND}), t + {SECOND // 2}) // 1000 AS ms FROM s)
-SELECT user_id, t, concat(lpad(CAST(ms // 3600000 AS VARCHAR), CAST(greatest(2, length(CAST(ms // 3600000 AS VARCHAR))) AS INT), '0'), ':', lpad(CAST(ms // 60000 % 60 AS VARCHAR), 2, '0'), ':', lpad(CAST(ms // 1000 % 60 AS VARCHAR), 2, '0'), ',', lpad(CAST(ms % 1000 AS VARCHAR), 3, '0')) AS until FROM c WHERE ms < 360000000""")
+SELECT user_id, t, concat(lpad(CAST(ms // 3600000 AS VARCHAR), CAST(greatest(2, length(CAST(ms // 3600000 AS VARCHAR))) AS INT), '0'), ':', lpad(CAST(ms // 60000 % 60 AS VARCHAR), 2, '0'), ':', lpad(CAST(ms // 1000 % 60 AS VARCHAR), 2, '0'), ',', lpad(CAST(ms % 1000 AS VARCHAR), 3, '0')) AS until FROM c""")
 def subtitle_times(spark, sf):
     w = Window.partitionBy("user_id").orderBy("t")
     end = F.greatest(F.coalesce(F.lead("t").over(w) - SECOND, F.col("t") + 2 * SECOND), F.col("t") + SECOND // 2)
-    return events(spark, sf).select("user_id", "t", end.alias("e")).where("e div 1000 < 360000000").select("user_id", "t", scalar.clock_text(F.col("e")).alias("until"))
+    return events(spark, sf).select("user_id", "t", end.alias("e")).select("user_id", "t", scalar.clock_text(F.col("e")).alias("until"))
 
 
 # scene tables and neighbours
