@@ -95,41 +95,6 @@ def envelope(x: np.ndarray) -> np.ndarray:
     return np.abs(np.fft.ifft(np.fft.fft(x) * h))
 
 
-def gaussian_smooth(x: np.ndarray, sd: float) -> np.ndarray:
-    r = max(1, int(4 * sd))
-    k = np.exp(-0.5 * (np.arange(-r, r + 1) / sd) ** 2)
-    return np.convolve(x, k, "same") / np.convolve(np.ones(len(x)), k, "same")
-
-
-def ripple_band(x: np.ndarray, fs: float, lo: float = 70.0, hi: float = 180.0) -> tuple[np.ndarray, np.ndarray]:
-    """The band of a signal and its smoothed envelope."""
-    band = band_pass(x - x.mean(), fs, lo, hi)
-    return band, gaussian_smooth(envelope(band), 0.1 * fs / 6)
-
-
-def ripples(x: np.ndarray, fs: float, lo: float = 70.0, hi: float = 180.0, peak_sd: float = 5.0, edge_sd: float = 3.0, least_cycles: int = 3, level: tuple[float, float] | None = None) -> list[dict]:
-    """Bursts of a band: peaks of the smoothed envelope over mean + peak_sd SD, edges at mean + edge_sd SD.
-
-    ``level`` is the envelope's mean and SD where the signal is a piece of a longer one.
-    """
-    band, env = ripple_band(x, fs, lo, hi)
-    mean, sd = level or (env.mean(), env.std(ddof=1))
-    over = np.flatnonzero(np.diff(np.r_[0, (env > mean + edge_sd * sd).astype(int), 0]))
-    out, last = [], -1.0
-    for a, b in zip(over[::2], over[1::2], strict=True):
-        p = a + int(env[a:b].argmax())
-        if env[p] <= mean + peak_sd * sd:
-            continue
-        a, b = max(a, p - int(0.25 * fs)), min(b, p + int(0.25 * fs))
-        piece = band[a:b]
-        trough = a + 1 + np.flatnonzero((piece[1:-1] < piece[:-2]) & (piece[1:-1] <= piece[2:]) & (piece[1:-1] < 0))
-        if len(trough) < least_cycles or a / fs < last:
-            continue
-        last = b / fs
-        out.append({"peak": p / fs, "onset": a / fs, "offset": b / fs, "n_cycles": len(trough), "freq": float(fs / np.diff(trough).mean()) if len(trough) > 1 else 0.0, "amplitude": float(env[p]), "amplitude_norm": float((env[p] - mean) / sd)})
-    return out
-
-
 def glm(x: np.ndarray, y: np.ndarray, family: str = "poisson", alpha: float = 0.0, l1: float = 1.0, rounds: int = 100) -> tuple[np.ndarray, float, float]:
     """Coefficients, intercept and deviance of an elastic-net GLM by reweighted coordinate descent."""
     n, p = x.shape

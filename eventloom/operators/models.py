@@ -220,49 +220,6 @@ def hmm_given(df: DataFrame, key: str, order: str, count: str, rates: list[float
     return scans.hidden_states(rows, (key,), order, n, width).select(key, order, F.col("p")[n - 1].alias("p_high"))
 
 
-def find_ripples(df: DataFrame, key: str, order: str, value: str, fs: float, piece: int | None = None, overlap: int = 0, lo: float = 70.0, hi: float = 180.0, **options) -> DataFrame:
-    """Bursts of each channel's signal, at times of sample / fs.
-
-    With ``piece``, signals of any length are cut to pieces of so many samples that reach over
-    each other by ``overlap`` on either side; the envelope's mean and SD come from sums over
-    the pieces, and a burst belongs to the piece that holds its peak.
-    """
-    columns = ["peak", "onset", "offset", "n_cycles", "freq", "amplitude", "amplitude_norm"]
-    kind = df.schema[key].dataType.simpleString()
-    out = f"{key} {kind}, peak double, onset double, offset double, n_cycles long, freq double, amplitude double, amplitude_norm double"
-    if piece is None:
-        pieces = df.select(key, F.lit(0).cast("long").alias("piece"), order, value)
-        core = lambda n, first, p: slice(0, n)
-    else:
-        at = F.expr(f"{order} div {piece}L")
-        near = F.filter(F.array(at - 1, at, at + 1), lambda q: (q >= 0) & (F.col(order) >= q * piece - overlap) & (F.col(order) < (q + 1) * piece + overlap))
-        pieces = df.select(key, F.explode(near).alias("piece"), order, value)
-        core = lambda n, first, p: slice(max(p * piece - first, 0), min((p + 1) * piece - first, n))
-
-    def spread(key_, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x, first = pdf[value].to_numpy(float), int(pdf[order].iloc[0])
-        env = numeric.ripple_band(x, fs, lo, hi)[1][core(len(x), first, key_[1])]
-        return pd.DataFrame({key: [key_[0]], "n": [len(env)], "s": [env.sum()], "q": [(env**2).sum()]})
-
-    sums = pieces.groupBy(key, "piece").applyInPandas(spread, f"{key} {kind}, n long, s double, q double").groupBy(key).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    level = sums.where("n > 1").select(key, (F.col("s") / F.col("n")).alias("mean"), F.sqrt(F.greatest((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1), F.lit(0.0))).alias("sd"))
-
-    def find(key_, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x, first = pdf[value].to_numpy(float), int(pdf[order].iloc[0])
-        own = core(len(x), first, key_[1])
-        found = [r for r in numeric.ripples(x, fs, lo, hi, level=(pdf["mean"].iloc[0], pdf["sd"].iloc[0]), **options) if own.start <= round(r["peak"] * fs) < own.stop]
-        for r in found:
-            for c in columns[:3]:
-                r[c] += first / fs
-        got = pd.DataFrame(found, columns=columns).astype({"n_cycles": "int64"})
-        got.insert(0, key, key_[0])
-        return got
-
-    return pieces.join(level, key).groupBy(key, "piece").applyInPandas(find, out)
-
-
 def filtered(df: DataFrame, key: str, order: str, value: str, fs: float, band: tuple[float, float], kind: str = "butter", poles: int = 6, ripple: float = 20.0) -> DataFrame:
     """Channels through a Butterworth or Chebyshev (``cheby2``) filter forwards and backwards; bands as in filters.sections()."""
     return scans.filtered(df, (key,), order, value, filters.sections(kind, poles, band, fs, ripple))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eventloom.functions import numeric
 from eventloom.functions.timing import HOUR, MINUTE
 from eventloom.operators import demixing, models, stats
+from eventloom.operators.ripples import find_ripples
 from eventloom.plans.interval_queries import EV
 from eventloom.plans.registry import query
 from eventloom.plans.stats_queries import V, vectors
@@ -129,12 +130,13 @@ def hmm_filter(spark, sf):
 
 @query()
 def ripples(spark, sf):
-    """Bursts of 8 to 20 minutes' period in the counts by minute of four channels, days standing for seconds; cut into pieces of ten days."""
+    """Bursts of 8 to 20 minutes' period in the counts by minute of four channels around their means, days standing for seconds."""
     n = events(spark, sf).groupBy((F.col("user_id") % 4).alias("channel"), F.expr(f"t div {MINUTE}L").alias("sample")).agg(F.count(F.lit(1)).cast("double").alias("value"))
     last = n.agg(F.max("sample").alias("last"))  # one row
     grid = n.select("channel").distinct().crossJoin(F.broadcast(last)).select("channel", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("sample"))
-    signal = grid.join(n, ["channel", "sample"], "left").na.fill(0.0, ["value"])
-    return models.find_ripples(signal, "channel", "sample", "value", 1440.0, piece=14400, overlap=2880, peak_sd=3.0, edge_sd=2.0)
+    whole = n.groupBy("channel").agg(F.sum("value").alias("sum")).crossJoin(F.broadcast(last)).select("channel", (F.col("sum") / (F.col("last") + 1)).alias("mean"))  # one row a channel
+    signal = grid.join(n, ["channel", "sample"], "left").na.fill(0.0, ["value"]).join(whole, "channel").select("channel", "sample", (F.col("value") - F.col("mean")).alias("value"))
+    return find_ripples(signal, "channel", "sample", "value", 1440.0, threshold=3.0, least=2.0)
 
 
 @query()

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from eventloom.functions import filters
-from eventloom.operators import models, scans
+from eventloom.operators import models, peaks, scans
 from eventloom.plans.closed_form_queries import _HOURS
 from eventloom.plans.model_queries import _hourly
 from eventloom.plans.registry import query
@@ -83,3 +83,17 @@ def filtered_zero_phase(spark, sf):
     """Their daily rhythm: a Butterworth band pass, forwards and backwards."""
     out = scans.filtered(_hourly(spark, sf), ("cell",), "bin", "n", _BAND, width=50)
     return out.select("cell", "bin", F.round("n", 6).alias("n"))
+
+
+_PEAKS = f"""{_SERIES}, a AS (SELECT cell, o, x, lag(x) OVER w AS p FROM s WINDOW w AS (PARTITION BY cell ORDER BY o)), r AS (SELECT *, lead(x) OVER (PARTITION BY cell ORDER BY o) AS f FROM a WHERE p IS NULL OR p <> x),
+k AS (SELECT cell, o, x FROM r WHERE x > p AND x > f AND x > 1), d AS (SELECT k.*, (SELECT max(s.o) FROM s WHERE s.cell = k.cell AND s.o < k.o AND s.x > k.x) AS lo, (SELECT min(s.o) FROM s WHERE s.cell = k.cell AND s.o > k.o AND s.x > k.x) AS hi FROM k),
+m AS (SELECT d.cell, d.o, d.x, d.x - greatest(min(s.x) FILTER (WHERE s.o < d.o), min(s.x) FILTER (WHERE s.o > d.o)) AS prominence FROM d JOIN s ON s.cell = d.cell AND s.o >= coalesce(d.lo, 0) AND s.o <= coalesce(d.hi, 1e9) GROUP BY 1, 2, 3)"""
+
+
+@query(f"""{_PEAKS}, q AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY x DESC, o) AS place FROM m WHERE prominence >= 2),
+g AS (SELECT cell, place, [o] AS kept FROM q WHERE place = 1 UNION ALL SELECT q.cell, q.place, CASE WHEN len(list_filter(kept, lambda z: abs(z - q.o) <= 5)) = 0 THEN list_append(kept, q.o) ELSE kept END FROM g JOIN q ON q.cell = g.cell AND q.place = g.place + 1),
+e AS (SELECT cell, unnest(arg_max(kept, place)) AS o FROM g GROUP BY 1)
+SELECT m.cell, m.o AS bin, m.x AS n, m.prominence FROM m JOIN e USING (cell, o)""")
+def count_peaks(spark, sf):
+    """Hours of many events: above one, two above their surroundings, none within five hours of a higher one."""
+    return peaks.find_peaks(_hourly(spark, sf), ("cell",), "bin", "n", height=1.0, prominence=2.0, distance=5, width=40, fan=3)

@@ -83,25 +83,10 @@ def test_hmm_and_signals():
     t = np.arange(4000) / 1000
     y = numeric.band_pass(np.sin(2 * np.pi * 10 * t) + np.sin(2 * np.pi * 200 * t), 1000, 100, 300)
     assert np.corrcoef(y[200:-200], np.sin(2 * np.pi * 200 * t)[200:-200])[0, 1] > 0.99
-    found = numeric.ripples(rng.standard_normal(4000) * 0.3 + np.exp(-(((t - 2) / 0.04) ** 2)) * np.sin(2 * np.pi * 120 * t) * 5, 1000)
-    assert len(found) == 1 and abs(found[0]["peak"] - 2) < 0.02 and abs(found[0]["freq"] - 120) < 5
     v = numeric.dpss(64, 2.5, 4)
     assert np.allclose(v.T @ v, np.eye(4), atol=1e-8)
 
 
-def test_ripples_by_pieces_equal_those_of_the_whole(spark):
-    """Bursts lie inside pieces and on their borders; times within a sample, levels by sums."""
-    rng = np.random.default_rng(12)
-    t = np.arange(40_000) / 1000
-    x = rng.standard_normal(len(t)) * 0.3
-    for c in (2.0, 7.99, 8.2, 16.0, 24.01, 31.5, 39.0):
-        x += np.exp(-(((t - c) / 0.04) ** 2)) * np.sin(2 * np.pi * 120 * t) * 5
-    df = spark.createDataFrame([(k, i, float(v) * (1 + k)) for k in (0, 1) for i, v in enumerate(x)], "channel long, sample long, value double")
-    whole = sorted((r.channel, r.peak) for r in models.find_ripples(df, "channel", "sample", "value", 1000.0).collect())
-    parts = sorted((r.channel, r.peak) for r in models.find_ripples(df, "channel", "sample", "value", 1000.0, piece=8000, overlap=1500).collect())
-    assert len(whole) == len(parts) == 14 and all(a[0] == b[0] and abs(a[1] - b[1]) < 0.003 for a, b in zip(whole, parts, strict=True))
-
-
 def test_zeta_tells_locked_from_free():
     rng = np.random.default_rng(5)
     events = np.arange(100) * 2.0
