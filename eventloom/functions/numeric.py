@@ -61,6 +61,63 @@ def rotation_amount(m: np.ndarray) -> float:
     return float(np.sqrt((angles**2).sum()) / (math.pi * math.sqrt(2 * (len(m) // 2)))) if len(m) > 1 else 0.0
 
 
+def log_det_low_rank(x: np.ndarray, eps: float) -> float:
+    """Logarithm of the determinant of eps * I + x x' by the smaller of the two Gram matrices."""
+    p, n = x.shape
+    small = x.T @ x if n <= p else x @ x.T
+    return float(p * math.log(eps) + np.linalg.slogdet(np.eye(len(small)) + small / eps)[1])
+
+
+def shares(n: np.ndarray, means: np.ndarray, outer: np.ndarray, ridge: float | None = None, fraction: float = 0.0) -> tuple[float, float, float, float, float | None]:
+    """What classes explain of several dimensions together, from their counts, means and all rows' outer products: trace, largest root, Pillai's mean root, 1 - Wilks' lambda, and the log determinant of ridge + between-class products (None without a ridge).
+
+    ``ridge`` is added to the total products' diagonal, by default ``fraction`` of their mean; without one, dimensions of no variance don't count.
+    """
+    mean = n @ means / n.sum()
+    total = outer - n.sum() * np.outer(mean, mean)
+    all_ = float(np.trace(total))
+    b = ((means - mean) * np.sqrt(n)[:, None]).T
+    if len(n) < 2 or all_ <= 0:
+        return 0.0, 0.0, 0.0, 0.0, None
+    eps = fraction * all_ / len(total) if ridge is None else ridge
+    value, vector = np.linalg.eigh((total + total.T) / 2)
+    value = np.maximum(value, 0.0) + eps
+    keep = value > max(len(total), n.sum()) * np.finfo(float).eps * value[-1]
+    c = (vector[:, keep].T @ b) / np.sqrt(value[keep])[:, None]
+    roots = np.sort(np.clip(np.linalg.eigvalsh(c.T @ c), 0.0, 1.0))[::-1][: len(n) - 1]
+    wilks = 1 - math.exp(np.log(np.maximum(1 - roots, np.finfo(float).tiny)).sum())
+    return float((b**2).sum() / all_), float(roots[0]), float(roots.sum() / len(roots)), wilks, log_det_low_rank(b, eps) if eps > 0 else None
+
+
+def shuffled_tables(table: np.ndarray, shuffles: int, seed: int) -> np.ndarray:
+    """Tables (shuffles, rows, columns) with the sums of a table of counts, as permuting one label against the other makes them."""
+    rng = np.random.default_rng(seed)
+    rows, columns = table.sum(axis=1), table.sum(axis=0)
+    out = np.zeros((shuffles, *table.shape), np.int64)
+    for s in range(shuffles):
+        left = columns.copy()
+        for i, k in enumerate(rows[:-1]):
+            out[s, i] = rng.multivariate_hypergeometric(left, k, method="marginals")
+            left = left - out[s, i]
+        out[s, -1] = left
+    return out
+
+
+def information(tables: np.ndarray) -> np.ndarray:
+    """Bits that rows tell of columns, of tables of counts (..., rows, columns)."""
+    p = tables / np.maximum(tables.sum(axis=(-2, -1), keepdims=True), 1)
+    apart = p.sum(axis=-1, keepdims=True) * p.sum(axis=-2, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(p > 0, p * np.log2(p / apart), 0.0).sum(axis=(-2, -1))
+
+
+def map_information(p: np.ndarray, occupancy: np.ndarray, level: float) -> np.ndarray:
+    """Bits of maps (..., bins) of shares against one level; empty and zero bins count nothing."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        term = p * occupancy * np.log2(p / level)
+    return np.where((p > 0) & (level > 0), term, 0.0).sum(axis=-1)
+
+
 def dpss(n: int, nw: float, k: int) -> np.ndarray:
     """The first k Slepian sequences, from the symmetric tridiagonal problem."""
     i = np.arange(n)

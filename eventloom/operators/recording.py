@@ -124,12 +124,8 @@ def assets(meta: DataFrame) -> DataFrame:
     return meta.select(F.element_at(F.split(path, "/"), -1).alias("name"), path.alias("path"), guid.alias("guid"), F.col("value").rlike(r"(?m)^folderAsset:\s*yes").alias("is_dir"))
 
 
-def discriminant_subspace(df: DataFrame, keys: list[str], label: str, column: str, axes: int, ridge: float = 1e-3) -> DataFrame:
-    """Orthonormal axes of greatest between-class against within-class variance, for each group of keys.
-
-    Tasks add up counts, sums and outer products; a group's fit sees those sums only, of
-    (classes + dims) * dims numbers.
-    """
+def scatter(df: DataFrame, keys: list[str], label: str, column: str) -> DataFrame:
+    """keys, label, i and v: sums by tasks over vectors of each group of keys. Under a null label a count and the outer products, under each label its count and sums."""
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     label_kind = df.schema[label].dataType.simpleString()
 
@@ -152,24 +148,39 @@ def discriminant_subspace(df: DataFrame, keys: list[str], label: str, column: st
 
     arrow = to_arrow_schema(T.StructType([*[df.schema[k] for k in keys], T.StructField(label, df.schema[label].dataType), T.StructField("i", T.LongType()), T.StructField("v", T.DoubleType())]))
     sums = df.where(F.col(label).isNotNull() & F.col(column).isNotNull()).select(*keys, label, column).mapInArrow(part, f"{kinds}, {label} {label_kind}, i long, v double")
-    sums = sums.groupBy(*keys, label, "i").agg(F.sum("v").alias("v"))
+    return sums.groupBy(*keys, label, "i").agg(F.sum("v").alias("v"))
+
+
+def parted(pdf: pd.DataFrame, label: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts and means of the classes, and the outer products of all, from one group's sums."""
+    pdf = pdf.sort_values("i")
+    whole = pdf[pdf[label].isna()]["v"].to_numpy()
+    d = int(np.sqrt(len(whole) - 1))
+    classes = np.stack([g["v"].to_numpy() for _, g in pdf[pdf[label].notna()].groupby(label)])
+    return classes[:, 0], classes[:, 1:] / classes[:, :1], whole[1:].reshape(d, d)
+
+
+def discriminant_subspace(df: DataFrame, keys: list[str], label: str, column: str, axes: int, ridge: float = 1e-3) -> DataFrame:
+    """Orthonormal axes of greatest between-class against within-class variance, for each group of keys.
+
+    Tasks add up counts, sums and outer products; a group's fit sees those sums only, of
+    (classes + dims) * dims numbers.
+    """
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
     def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        whole = pdf[pdf[label].isna()]["v"].to_numpy()
-        d = int(np.sqrt(len(whole) - 1))
-        classes = np.stack([g["v"].to_numpy() for _, g in pdf[pdf[label].notna()].groupby(label)])
-        n, means = classes[:, 0], classes[:, 1:] / classes[:, :1]
+        n, means, outer = parted(pdf, label)
+        d = len(outer)
         mean = n @ means / n.sum()
         between = (means - mean).T @ ((means - mean) * n[:, None])
-        within = whole[1:].reshape(d, d) - means.T @ (means * n[:, None])
+        within = outer - means.T @ (means * n[:, None])
         half = np.linalg.cholesky(np.linalg.inv(within + ridge * np.trace(within) / d * np.eye(d)))
         v = np.linalg.eigh(half.T @ between @ half)[1][:, ::-1][:, :axes]
         q = np.linalg.qr(half @ v)[0]
         q = q * np.sign(q[np.abs(q).argmax(axis=0), np.arange(q.shape[1])])
         return pd.DataFrame([(*key, k, q[:, k].tolist()) for k in range(q.shape[1])], columns=[*keys, "axis", "weights"])
 
-    return sums.groupBy(*keys).applyInPandas(fit, f"{kinds}, axis long, weights array<double>")
+    return scatter(df, keys, label, column).groupBy(*keys).applyInPandas(fit, f"{kinds}, axis long, weights array<double>")
 
 
 def event_samples(times: DataFrame, events: DataFrame, reach: int, exclude: int, share: float, folds: int, block: int) -> DataFrame:

@@ -5,12 +5,17 @@ Everything reduces to sums by key before any join, so joins are between group ta
 
 from __future__ import annotations
 
+import zlib
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.functions import numeric
 from eventloom.operators.ordered import numbered
+from eventloom.operators.recording import parted, scatter
 
 
 def moments(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -126,6 +131,74 @@ def mutual_information(maps: DataFrame, by: list[str]) -> DataFrame:
     return p.join(r, by).groupBy(*by).agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("bits"))
 
 
+def _seed(seed: int, key: tuple) -> int:
+    """A seed of a group's own, the same wherever the group is handled."""
+    return zlib.crc32(repr((seed, *key)).encode())
+
+
+def map_information_test(maps: DataFrame, by: list[str], shuffles: int = 1000, seed: int = 0) -> DataFrame:
+    """by, bits and p: the share of shuffles of a unit's bins whose bits reach its own, with the level of the map as it is.
+
+    Only the maps meet, of bins a unit; empty bins are shuffled with the others.
+    """
+
+    def test(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["bx", "by"])
+        mean, occupancy = pdf["mean"].to_numpy(float), np.nan_to_num(pdf["occupancy"].to_numpy(float))
+        total = np.nansum(mean)
+        p = mean / total if total else np.zeros(len(mean))
+        level = np.nansum(p * occupancy)
+        bits = numeric.map_information(p, occupancy, level)
+        order = np.random.default_rng(_seed(seed, key)).permuted(np.tile(np.arange(len(p)), (shuffles, 1)), axis=1)
+        null = numeric.map_information(p[order], occupancy, level)
+        out = pd.DataFrame([key], columns=by)
+        out["bits"], out["p"] = bits, float((null >= bits - 1e-12).mean())
+        return out
+
+    kind = ", ".join(f"`{k}` {maps.schema[k].dataType.simpleString()}" for k in by)
+    names = [c for c in (*by, "bx", "by", "mean", "occupancy") if c not in by] + list(by)
+    return maps.select(*names).groupBy(*by).applyInPandas(test, f"{kind}, bits double, p double")
+
+
+def label_shuffle(pairs: DataFrame, by: list[str], label: str, guess: str, shuffles: int = 1000, seed: int = 0) -> DataFrame:
+    """by, n, accuracy, expected, sd, p and bits, p_bits: how often guesses are right, what shuffled labels would give, and the share of shuffles that reach it; the same for the bits that labels and guesses share.
+
+    Shuffling labels changes a table of counts alone, so shuffles are drawn from the table's sums (multivariate
+    hypergeometric): no row is copied. The table of a group is of labels by guesses.
+    """
+    counts = pairs.where(F.col(label).isNotNull() & F.col(guess).isNotNull()).groupBy(*by, F.col(label).alias("__l"), F.col(guess).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
+
+    def test(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf["__l"]) | set(pdf["__g"]))
+        place = {c: i for i, c in enumerate(names)}
+        table = np.zeros((len(names), len(names)), np.int64)
+        table[[place[c] for c in pdf["__l"]], [place[c] for c in pdf["__g"]]] = pdf["__n"]
+        n, r, c = int(table.sum()), table.sum(axis=1).astype(float), table.sum(axis=0).astype(float)
+        expected = float((r * c).sum() / n**2)
+        both = (r * c).sum() ** 2 - (r * r * c * c).sum()
+        variance = ((r * c * (n - r) * (n - c)).sum() + both) / (n * n * (n - 1)) if n > 1 else 0.0
+        null = numeric.shuffled_tables(table, shuffles, _seed(seed, key))
+        own, bits = float(np.trace(table)) / n, float(numeric.information(table))
+        right = np.trace(null, axis1=1, axis2=2) / n
+        out = pd.DataFrame([key], columns=by)
+        out["n"], out["accuracy"], out["expected"], out["sd"], out["p"] = n, own, expected, float(np.sqrt(max(variance, 0.0)) / n), float((right >= own - 1e-12).mean())
+        out["bits"], out["p_bits"] = bits, float((numeric.information(null) >= bits - 1e-12).mean())
+        return out
+
+    kind = "".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}, " for k in by)
+    return counts.groupBy(*by).applyInPandas(test, f"{kind}n long, accuracy double, expected double, sd double, p double, bits double, p_bits double")
+
+
+def multivariate_shares(df: DataFrame, keys: list[str], label: str, column: str, ridge: float | None = None, fraction: float = 0.0) -> DataFrame:
+    """keys, trace, largest, pillai, wilks and log_det: what the classes explain of a vector's dimensions together (see numeric.shares), from sums that tasks make."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *numeric.shares(*parted(pdf, label), ridge, fraction))], columns=[*keys, "trace", "largest", "pillai", "wilks", "log_det"])
+
+    kind = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    return scatter(df, keys, label, column).groupBy(*keys).applyInPandas(run, f"{kind}trace double, largest double, pillai double, wilks double, log_det double")
+
+
 def bayes_decode(counts: DataFrame, rates: DataFrame, occupancy: DataFrame) -> DataFrame:
     """Most likely bin of each sample: counts (sample, unit, r), rates (unit, bin, l > 0), occupancy (bin, occ).
 

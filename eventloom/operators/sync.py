@@ -82,6 +82,41 @@ def best_shift(found: DataFrame) -> DataFrame:
     return found.agg(F.min_by("shift", F.struct("worst", "shift")).alias("shift"), F.min("worst").alias("worst"))
 
 
+def matched_with_gaps(first: DataFrame, second: DataFrame, tolerance: float, width: int | None = None) -> DataFrame:
+    """Pairs (x, y) of two clocks' pulses (t) either of which may lack some: neighbours of the two series whose distance is within ``tolerance`` of the usual one.
+
+    Both series are ordered as one. Steps from a pulse of the first to one of the second, or the other way round where those
+    vary less, are compared with their median (an approximate one beyond 10,000 pulses). Times are whole numbers, distinct within a series.
+    """
+    both = first.select((F.col("t") * 2).alias("o"), "t", F.lit(1).alias("who")).unionByName(second.select((F.col("t") * 2 + 1).alias("o"), "t", F.lit(2).alias("who")))
+    both = both.withColumn("__s", F.struct("t", "who"))
+    steps = before(both, "__p", "__s", "o", (), None if width is None else 2 * width).where("__p is not null and __p.who <> who")
+    steps = steps.select(F.col("__p.who").alias("leads"), F.col("__p.t").alias("a"), F.col("t").alias("b"), (F.col("t") - F.col("__p.t")).alias("d"))
+    usual = {r.leads: r for r in steps.groupBy("leads").agg(F.coalesce(F.stddev_samp("d"), F.lit(0.0)).alias("sd"), F.percentile_approx("d", 0.5, 10000).alias("m")).collect()}
+    if len(usual) < 2:
+        raise ValueError("the series don't alternate")
+    lead = 1 if usual[1].sd < usual[2].sd else 2
+    near = steps.where((F.col("leads") == lead) & (F.abs(F.col("d") - F.lit(usual[lead].m)) <= tolerance))
+    return near.select(F.col("a" if lead == 1 else "b").alias("x"), F.col("b" if lead == 1 else "a").alias("y"))
+
+
+def sync_with(first: DataFrame, second: DataFrame, tolerance: float, most: int = 6, allow_missing: bool = False, allow_step: bool = False, width: int | None = None) -> tuple[dict[str, float], DataFrame]:
+    """The map between two clocks' pulses and the pairs (x, y) it was fitted to.
+
+    Series are moved against each other by up to ``most`` pulses; where the best move leaves gaps that differ by more than
+    ``tolerance``, pulses are missing: pairs then come from matched_with_gaps(), or it is an error.
+    """
+    best = best_shift(shift_search(first, second, most, width)).first()
+    if best.worst is not None and best.worst <= tolerance:
+        a, b = numbered(first.select("t"), "i", "t", (), width), numbered(second.select("t"), "i", "t", (), width)
+        pairs = a.select(F.col("t").alias("x"), (F.col("i") - F.lit(best["shift"])).alias("i")).join(b.select(F.col("t").alias("y"), "i"), "i").select("x", "y")
+    elif allow_missing:
+        pairs = matched_with_gaps(first, second, tolerance, width)
+    else:
+        raise ValueError(f"the greatest jitter {best.worst} is larger than the tolerance {tolerance}")
+    return (with_step(pairs, width=width) if allow_step else {**robust(pairs), "step": 0.0, "at": float("nan")}), pairs
+
+
 def debounce(df: DataFrame, on: tuple[str, ...], least: int) -> DataFrame:
     """Rows less those that follow the row before within ``least``."""
     w = Window.partitionBy(*on).orderBy("t")
