@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions import filters, numeric
-from eventloom.operators import peri, scans
+from eventloom.operators import output_codes, peri, scans
 
 
 def gram(df: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
@@ -158,13 +158,10 @@ def svm_one_vs_rest(df: DataFrame, label: str, column: str, train, rounds: int =
     return model.transform(rows).withColumn("guess", F.col("prediction").cast("long")).drop("features", "prediction", "rawPrediction")
 
 
-def svm_decoder(df: DataFrame, unit: str, label: str, fold: str, column: str) -> DataFrame:
-    """Class by linear machines learned without each row's own fold; folds are few."""
-    out = None
-    for k in sorted(r[0] for r in df.select(fold).distinct().collect()):
-        got = svm_one_vs_rest(df, label, column, F.col(fold) != k).where(F.col(fold) == k).select(unit, F.col(label).cast(df.schema[label].dataType).alias(label), "guess")
-        out = got if out is None else out.unionByName(got)
-    return out
+def svm_decoder(df: DataFrame, unit: str, label: str, fold: str, column: str, kind: str = "onevsall") -> DataFrame:
+    """Class by linear machines learned without each row's own fold, all machines of all folds together (see output_codes.py)."""
+    model = output_codes.learn(df, label, column, fold, kind)
+    return output_codes.decode(df, model, column, fold).where(F.col(label).isNotNull()).select(unit, label, "guess")
 
 
 def glm_poisson(df: DataFrame, predictors: list[str], response: str, family: str = "poisson") -> dict[str, float]:

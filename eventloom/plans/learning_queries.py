@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from eventloom.operators import stats, subspaces, sync
+from eventloom.operators import output_codes, stats, subspaces, sync
 from eventloom.plans.interval_queries import EV
 from eventloom.plans.registry import query
 from eventloom.plans.stats_queries import _NM, _guessed, _map
@@ -113,3 +114,43 @@ def shares_two_dims(spark, sf):
 def shares_all_dims(spark, sf):
     """The same of all dimensions, with a ridge of a hundredth of their mean variance."""
     return stats.multivariate_shares(_timed(spark, sf), ["half"], "label", "embedding", fraction=0.01)
+
+
+# output codes
+
+
+def _folded(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), "embedding", (F.col("vec_id") % 5).alias("fold"))
+
+
+@query()
+def output_codes_one_vs_one(spark, sf):
+    """Balanced accuracy of the 45 machines that tell pairs of classes apart, each row read by those that haven't seen its fold."""
+    m = output_codes.learn(_folded(spark, sf), "label", "embedding", "fold")
+    return stats.balanced_accuracy(output_codes.decode(_folded(spark, sf), m, "embedding", "fold").select("vec_id", "label", "guess"), "label")
+
+
+@query()
+def output_codes_posteriors(spark, sf):
+    """Accuracy, and mean chance of the right class, of logistic learners of each class against the others."""
+    m = output_codes.learn(_folded(spark, sf), "label", "embedding", "fold", "onevsall", "logistic")
+    out = output_codes.decode(_folded(spark, sf), m, "embedding", "fold").where("label is not null")
+    place = F.array_position(F.array(*[F.lit(c) for c in m["classes"]]), F.col("label")).cast("int")
+    return out.groupBy("fold").agg(F.avg((F.col("guess") == F.col("label")).cast("double")).alias("accuracy"), F.avg(F.element_at("posterior", place)).alias("chance"))
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT a, b FROM (SELECT unnest(range(10)) AS a), (SELECT unnest(range(10)) AS b) WHERE a < b),
+s AS (SELECT vec_id, a, b, 4 * (e[a + 1] - e[b + 1]) + e[11] AS s FROM v, p), l AS (SELECT vec_id, a AS k, greatest(1 - s, 0) / 2 AS g FROM s UNION ALL SELECT vec_id, b, greatest(1 + s, 0) / 2 FROM s),
+m AS (SELECT vec_id, k, round(avg(g), 9) AS loss FROM l GROUP BY 1, 2) SELECT vec_id, CAST(arg_min(k, ROW(loss, k)) AS BIGINT) AS guess, min(loss) AS loss FROM m GROUP BY 1""")
+def loss_weighted_decoding(spark, sf):
+    """Class of the least mean loss over given scores of all pairs of ten classes."""
+    codes = output_codes.coding(10)
+
+    @F.pandas_udf("guess long, loss double")
+    def read(e: pd.Series) -> pd.DataFrame:
+        x = np.stack(e.to_numpy()).astype(float)
+        scores = 4 * (x[:, :10] @ codes) + x[:, 10:11]
+        loss = np.round(output_codes.losses(scores, codes), 9)
+        return pd.DataFrame({"guess": loss.argmin(axis=1), "loss": loss.min(axis=1)})
+
+    return table(spark, sf, "embeddings").select("vec_id", read("embedding").alias("r")).select("vec_id", "r.guess", "r.loss")
