@@ -231,13 +231,15 @@ def zeta_test(spikes: DataFrame, events: DataFrame, key: str, window: int, resam
 
     The null moves each event by up to two windows, drawn by hash. One interval join serves
     all draws. Counts, sums and bounds by piece of the window tell the few pieces in which the
-    greatest deviation may lie (a row for each unit, draw and such piece is broadcast); only
-    their spikes are ranked, so the result is exact and no group holds all spikes.
+    greatest deviation may lie; only their spikes are ranked, so the result is exact and no group holds
+    all spikes.
     """
     draw = F.explode(F.sequence(F.lit(0), F.lit(resamples)))
-    moved = F.pmod(F.xxhash64("trigger", "draw", F.lit(seed)), F.lit(4 * window)) - F.lit(2 * window)
-    at = events.select("trigger", "e", draw.alias("draw")).select("draw", (F.col("e") + F.when(F.col("draw") == 0, 0).otherwise(moved)).alias("e"))
-    found = peri.trig(spikes.select(F.col(key).alias("unit"), "t"), at, 0, window).select("unit", "draw", "rel", F.floor(F.col("rel") * F.lit(PIECES) / F.lit(window)).alias("piece"))
+    # draws share one join over all windows that moved events may have; each pair then goes to the draws whose window holds it
+    pairs = peri.trig(spikes.select(F.col(key).alias("unit"), "t"), events.select("trigger", "e"), -2 * window, 3 * window)
+    moved = F.when(F.col("draw") == 0, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("trigger", "draw", F.lit(seed)), F.lit(4 * window)) - F.lit(2 * window))
+    met = pairs.select("unit", "trigger", "rel", draw.alias("draw")).select("unit", "draw", (F.col("rel") - moved).alias("rel"))
+    found = met.where((F.col("rel") >= 0) & (F.col("rel") < window)).withColumn("piece", F.floor(F.col("rel") * F.lit(PIECES) / F.lit(window)))
 
     def deviation(rank, rel):
         return rank / F.col("total") - F.col(rel) / F.lit(float(window)) - F.col("mean")
@@ -252,7 +254,7 @@ def zeta_test(spikes: DataFrame, events: DataFrame, key: str, window: int, resam
     near = b.where((F.col("bound") >= F.col("best") - 1e-12) & (F.col("total") >= 3)).select("unit", "draw", "piece", "before", "total", "mean")
 
     rank = F.row_number().over(Window.partitionBy("unit", "draw", "piece").orderBy("rel")) + before
-    ranked = found.join(F.broadcast(near), ["unit", "draw", "piece"]).select("unit", "draw", "rel", F.abs(deviation(rank, "rel")).alias("d"))
+    ranked = found.join(near, ["unit", "draw", "piece"]).select("unit", "draw", "rel", F.abs(deviation(rank, "rel")).alias("d"))
     top = ranked.groupBy("unit", "draw").agg(F.max(F.struct("d", (-F.col("rel")).alias("back"))).alias("m")).select("unit", "draw", F.col("m.d").alias("d"), (-F.col("m.back") / F.lit(1e6)).alias("latency"))
     grid = spikes.select(F.col(key).alias("unit")).distinct().withColumn("draw", draw)
     each = grid.join(top, ["unit", "draw"], "left").fillna(0.0, ["d", "latency"])

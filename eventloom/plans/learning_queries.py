@@ -6,11 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from eventloom.operators import output_codes, stats, subspaces, sync
+from eventloom.functions.timing import HOUR
+from eventloom.operators import output_codes, response, stats, subspaces, sync
 from eventloom.plans.interval_queries import EV
 from eventloom.plans.registry import query
 from eventloom.plans.stats_queries import _NM, _guessed, _map
-from eventloom.sources.tables import events, table
+from eventloom.sources.tables import events, spikes, table, triggers
 
 
 def _timed(spark, sf):
@@ -154,3 +155,41 @@ def loss_weighted_decoding(spark, sf):
         return pd.DataFrame({"guess": loss.argmin(axis=1), "loss": loss.min(axis=1)})
 
     return table(spark, sf, "embeddings").select("vec_id", read("embedding").alias("r")).select("vec_id", "r.guess", "r.loss")
+
+
+# rates after events, bootstrap
+
+_BINS = 256
+_FRAMES = ", ".join(f"sum(n) OVER (PARTITION BY cell ORDER BY bin ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING) AS n{k}, count(*) OVER (PARTITION BY cell ORDER BY bin ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING) AS k{k}" for k in response.reaches(_BINS))
+_MEAN = " + ".join(f"n{k} / (k{k} * 3600.0 / {_BINS})" for k in response.reaches(_BINS))
+
+
+@query(f"""WITH {EV}, r AS (SELECT s.user_id % 4 AS cell, s.t - e.t AS rel FROM ev e JOIN ev s ON e.event_type = 'purchase' AND s.t >= e.t AND s.t < e.t + {HOUR}), c AS (SELECT cell, least(rel * {_BINS} // {HOUR}, {_BINS - 1}) AS bin, count(*) AS n FROM r GROUP BY 1, 2),
+g AS (SELECT cell, bin FROM (SELECT DISTINCT cell FROM c), (SELECT unnest(range({_BINS})) AS bin)), f AS (SELECT cell, bin, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (cell, bin)), w AS (SELECT cell, bin, sum(n) OVER (PARTITION BY cell) AS total, {_FRAMES} FROM f)
+SELECT cell, round((bin + 0.5) * 3600.0 / {_BINS}, 6) AS t, round(({_MEAN}) / {len(response.reaches(_BINS))} / total - 1 / 3600.0, 12) AS slope, round(({_MEAN}) / {len(response.reaches(_BINS))} / (SELECT count(*) FROM ev WHERE event_type = 'purchase'), 9) AS rate FROM w""")
+def response_slopes(spark, sf):
+    """Slopes at many scales of spike times after purchases, and the rates they tell."""
+    s = spikes(spark, sf).select((F.col("neuron") % 4).alias("cell"), "t")
+    out = response.rates(s, triggers(spark, sf), "cell", HOUR, _BINS)
+    return out.select("cell", F.round("t", 6).alias("t"), F.round("slope", 12).alias("slope"), F.round("rate", 9).alias("rate"))
+
+
+@query()
+def response_times(spark, sf):
+    """Onset, half peak, peak and offset of every user's response to purchases."""
+    return response.responses(spikes(spark, sf), triggers(spark, sf), "neuron", HOUR, _BINS)
+
+
+_M = (1 << 31) - 1
+_DRAWS = 20
+
+
+@query(f"""WITH v AS (SELECT vec_id % {_M} AS x, label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings), d AS (SELECT unnest(range(1, {_DRAWS + 1})) AS d),
+h1 AS (SELECT d, label, a, b, (x * (d * 48271 % {_M}) + d * 69621) % {_M} AS x FROM v, d), h2 AS (SELECT d, label, a, b, (x * x + d * 16807) % {_M} AS x FROM h1), h3 AS (SELECT d, label, a, b, (x * x + x * (d * 30269 % {_M})) % {_M} AS x FROM h2), h4 AS (SELECT d, label, a, b, (x * x + d * 39373) % {_M} AS x FROM h3),
+w AS (SELECT d, label, a, b, {" + ".join(f"CASE WHEN x >= {s} THEN 1 ELSE 0 END" for s in response._STEPS.tolist())} AS w FROM h4)
+SELECT label, CAST(d - 1 AS INTEGER) AS draw, CAST(sum(w) AS DOUBLE) AS n, round(sum(w * a) / sum(w), 9) AS first, round(sum(w * b) / sum(w), 9) AS second FROM w GROUP BY 1, 2""")
+def bootstrap_means(spark, sf):
+    """Class means of two dimensions in twenty draws of the rows with replacement, all from one pass."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 2).alias("e"))
+    out = response.bootstrap_means(e, ["label"], "vec_id", "e", _DRAWS)
+    return out.select("label", "draw", "n", F.round(F.col("mean")[0], 9).alias("first"), F.round(F.col("mean")[1], 9).alias("second"))
