@@ -270,9 +270,12 @@ def binary_search(spark, sf):
     return ordered.asof(probe, table, ["idx"], width=WIDE).select("probe", "idx")
 
 
-@query(f"WITH {EV} SELECT CAST(i AS BIGINT) AS i, CAST(1000 + i * 250 AS BIGINT) AS t FROM (SELECT unnest(range(0, 1000)) AS i)")
+@query(f"WITH {EV}, u AS (SELECT user_id, min(t) AS first, count(*) AS n, (max(t) - min(t)) // greatest(count(*) - 1, 1) AS step FROM ev GROUP BY 1) SELECT user_id, CAST(i AS BIGINT) AS i, CAST(first + i * step AS BIGINT) AS t FROM (SELECT *, unnest(range(n)) AS i FROM u)")
 def uniform_events(spark, sf):
-    return spark.range(1000).select(F.col("id").alias("i"), (F.lit(1000) + F.col("id") * 250).cast("long").alias("t"))
+    """As many events as each user has, spread evenly from the first: a start, a number and a step."""
+    u = events(spark, sf).groupBy("user_id").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count(F.lit(1)).alias("n"))
+    u = u.withColumn("step", F.expr("(last - first) div greatest(n - 1, 1L)"))
+    return u.select("user_id", "first", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).select("user_id", "i", (F.col("first") + F.col("i") * F.col("step")).alias("t"))
 
 
 @query(f"{BASE}, m AS (SELECT e.user_id, e.event_id, e.t FROM ev e WHERE EXISTS (SELECT 1 FROM a WHERE a.user_id = e.user_id AND e.t >= a.t0 AND e.t < a.t1) AND EXISTS (SELECT 1 FROM b WHERE b.user_id = e.user_id AND e.t >= b.t0 AND e.t < b.t1)) SELECT user_id, event_id FROM m")

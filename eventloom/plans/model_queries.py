@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from eventloom.functions import numeric
@@ -153,8 +154,12 @@ def dpca(spark, sf):
 
 @query()
 def dpss_basis(spark, sf):
-    v = numeric.dpss(64, 2.5, 4)
-    return spark.createDataFrame([(int(k), int(i), float(v[i, k])) for k in range(4) for i in range(64)], "basis long, off long, weight double")
+    """Hourly counts of each cell along four Slepian sequences as long as the data."""
+    h = _hourly(spark, sf)
+    n = h.agg(F.max("bin").alias("last")).first().last + 1
+    v = numeric.dpss(n, 2.5, 4)
+    tapers = spark.createDataFrame(pd.DataFrame({"basis": np.repeat(np.arange(4), n), "bin": np.tile(np.arange(n), 4), "weight": v.T.ravel()}), "basis long, bin long, weight double")
+    return h.join(tapers, "bin").groupBy("cell", "basis").agg(F.sum(F.col("n") * F.col("weight")).alias("coefficient"))
 
 
 @query(f"WITH {EV}, h AS (SELECT user_id % 8 AS cell, t // {HOUR} AS bin, count(*) AS n FROM ev GROUP BY 1, 2) SELECT cell, CAST(count(*) AS BIGINT) AS bins, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY 1")

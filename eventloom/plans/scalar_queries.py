@@ -73,16 +73,18 @@ def flags_decode(spark, sf):
     return _flags(spark, sf).select("o_orderkey", scalar.flags_decode(scalar.flags_encode(F.col("f"), _NAMES), _NAMES).alias("f"))
 
 
-@query("SELECT i, r AS row, i - r * (r + 1) // 2 AS col FROM (SELECT i, (SELECT max(k) FROM range(0, 60) t(k) WHERE k * (k + 1) // 2 <= i) AS r FROM range(0, 1500) s(i))")
+@query("SELECT i, r AS row, i - r * (r + 1) // 2 AS col FROM (SELECT o_orderkey AS i, CAST(floor((sqrt(8 * o_orderkey + 1) - 1) / 2) AS BIGINT) AS r FROM orders)")
 def triangle_index(spark, sf):
+    """Order keys as places in a packed triangle."""
     row, col = scalar.index_to_triangle(F.col("i"))
-    back = spark.range(1500).withColumnRenamed("id", "i").select("i", row.alias("row"), col.alias("col"))
+    back = table(spark, sf, "orders").select(F.col("o_orderkey").alias("i")).select("i", row.alias("row"), col.alias("col"))
     return back.where(scalar.triangle_to_index(F.col("row"), F.col("col")) == F.col("i"))
 
 
-@query("SELECT x, (SELECT min(n) FROM range(1, 201) t(n) WHERE n >= ceil(x / 7.0) AND x % n = 0) AS parts FROM range(1, 201) s(x)")
+@query("SELECT p_partkey, (SELECT min(n) FROM range(1, 201) t(n) WHERE n >= ceil(p_size / 7.0) AND p_size % n = 0) AS parts FROM part")
 def equal_division(spark, sf):
-    return spark.range(1, 201).withColumnRenamed("id", "x").select("x", scalar.equal_division(F.col("x"), 7).alias("parts"))
+    """Least number of equal parts of each size, of seven at most."""
+    return table(spark, sf, "part").select("p_partkey", scalar.equal_division(F.col("p_size").cast("long"), 7).alias("parts"))
 
 
 @query("SELECT p_partkey, concat(upper(p_name[1]), p_name[2:]) AS name, TRY_CAST(substr(p_brand, 7) AS BIGINT) AS brand, CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS size FROM part")

@@ -41,12 +41,14 @@ def record_file_summary(spark, sf):
     return _stored(spark, sf).groupBy("Kind").agg(F.count(F.lit(1)).alias("n"), F.min("Time").alias("first"), F.max("Time").alias("last"))
 
 
-@query(f"SELECT name, position AS place, kind, CAST(size AS BIGINT) AS size FROM (VALUES ('Time', 0, 'i8', 8), ('User', 8, 'i4', 4), ('Kind', 12, 'i1', 1), ('High', 13, 'b4', 4), ('Place', 17, 'f4', 8), ('Marks', 25, 'u1', 1), ('Label', 26, 'c1', 8), ('Value', 34, 'f8', 8)) v(name, position, kind, size)")
+@query(f"WITH {EV}, n AS (SELECT count(*) AS n FROM ev) SELECT name, position AS place, kind, CAST(size AS BIGINT) AS size, CAST(size * n AS BIGINT) AS stored FROM n, (VALUES ('Time', 0, 'i8', 8), ('User', 8, 'i4', 4), ('Kind', 12, 'i1', 1), ('High', 13, 'b4', 4), ('Place', 17, 'f4', 8), ('Marks', 25, 'u1', 1), ('Label', 26, 'c1', 8), ('Value', 34, 'f8', 8)) v(name, position, kind, size)")
 def record_layout(spark, sf):
-    """Columns of a type text with their places in a row."""
+    """Columns of a type text with their places in a row, and the bytes that the stored events take in each."""
     own = records.leaves(records.parse_type(_TYPE))
     dtype = records.layout(own)
-    return spark.createDataFrame([(t.name, int(dtype.fields[t.name][1]), t.kind, int(dtype.fields[t.name][0].itemsize)) for t in own], "name string, place int, kind string, size long")
+    n = _stored(spark, sf).agg(F.count(F.lit(1)).alias("n"))  # one row
+    columns = spark.createDataFrame([(t.name, int(dtype.fields[t.name][1]), t.kind, int(dtype.fields[t.name][0].itemsize)) for t in own], "name string, place int, kind string, size long")
+    return columns.crossJoin(F.broadcast(n)).select("name", "place", "kind", "size", (F.col("size") * F.col("n")).alias("stored"))
 
 
 @query("SELECT vec_id, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total, CAST(len(embedding) AS BIGINT) AS n FROM embeddings")
