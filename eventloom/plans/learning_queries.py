@@ -131,6 +131,13 @@ def output_codes_one_vs_one(spark, sf):
     return stats.balanced_accuracy(output_codes.decode(_folded(spark, sf), m, "embedding", "fold").select("vec_id", "label", "guess"), "label")
 
 
+@query()
+def cross_time_table(spark, sf):
+    """How machines learned at one time read the other one, over folds of whole sessions."""
+    rows = output_codes.grouped_folds(_timed(spark, sf).withColumn("session", F.expr("vec_id div 10")), "session", 5)
+    return output_codes.cross_table(rows, "label", "embedding", "half", "fold", kind="onevsall")
+
+
 @query()
 def output_codes_posteriors(spark, sf):
     """Accuracy, and mean chance of the right class, of logistic learners of each class against the others."""

@@ -93,3 +93,19 @@ def test_two_classes_one_class_and_no_rows(spark):
     assert O.decode(one.where("x is not null"), O.learn(one, "label", "x"), "x").where("guess <> 'a'").count() == 0
     with pytest.raises(ValueError):
         O.learn(df.where("id < 0"), "label", "x")
+
+
+def test_cross_table_reads_each_time_by_every_other(spark):
+    rng = np.random.default_rng(7)
+    y, t = rng.integers(0, 3, 300), rng.integers(0, 2, 300)
+    x = np.eye(3)[(y + t) % 3] * 4 + rng.standard_normal((300, 3)) * 0.5  # the code turns between the times
+    df = spark.createDataFrame([(i // 5, int(a), "abc"[b], v.tolist()) for i, (a, b, v) in enumerate(zip(t, y, x, strict=True))], "session int, time int, label string, x array<double>").repartition(4)
+    rows = O.grouped_folds(df, "session", 4).cache()
+    assert rows.select("session", "fold").distinct().count() == 60 and rows.select("fold").distinct().count() == 4
+    got = {(r.trained, r.tested): (r.accuracy, r.classes) for r in O.cross_table(rows, "label", "x", "time", "fold").collect()}
+    assert got[0, 0][0] > 0.95 and got[1, 1][0] > 0.95 and got[0, 1][0] < 0.05 and got[1, 0][0] < 0.05 and all(c == 3 for _, c in got.values())
+    one = O.learn(rows.where("time = 1"), "label", "x", "fold")
+    both = O.learn(rows, "label", "x", "fold", time="time")
+    assert np.allclose(one["weights"], both["weights"][4:], atol=1e-6)
+    part = O.held_out(df, "session", 0.3)
+    assert 0.1 < part.where("fold = 0").count() / 300 < 0.5 and part.groupBy("session").agg(F.countDistinct("fold").alias("n")).where("n > 1").count() == 0
