@@ -6,8 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from eventloom.functions.timing import HOUR
-from eventloom.operators import output_codes, response, stats, subspaces, sync
+from eventloom.functions.timing import DAY, HOUR, MINUTE
+from eventloom.operators import detector, output_codes, response, stats, subspaces, sync
 from eventloom.plans.interval_queries import EV
 from eventloom.plans.registry import query
 from eventloom.plans.stats_queries import _NM, _guessed, _map
@@ -200,3 +200,31 @@ def bootstrap_means(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 2).alias("e"))
     out = response.bootstrap_means(e, ["label"], "vec_id", "e", _DRAWS)
     return out.select("label", "draw", "n", F.round(F.col("mean")[0], 9).alias("first"), F.round(F.col("mean")[1], 9).alias("second"))
+
+
+# event detectors
+
+
+@query()
+def event_detector(spark, sf):
+    """Hours with purchases or errors told from hourly counts of eight cells, and how detections agree with the events within an hour."""
+    h = events(spark, sf).groupBy(F.expr(f"t div {HOUR}L").alias("hour"), (F.col("user_id") % 8).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    cells = F.array(*[F.coalesce(F.sum(F.when(F.col("cell") == c, F.col("n"))), F.lit(0)) for c in range(8)])
+    grid = h.groupBy("hour").agg(cells.alias("x")).select((F.col("hour") * F.lit(HOUR)).alias("t"), "x")
+    real = events(spark, sf).where("event_type in ('purchase', 'error')").select("t", F.col("event_type").alias("label"))
+    d = detector.train(detector.samples(grid, real, HOUR, HOUR // 2, HOUR // 2, 2.0))
+    found = detector.detections(detector.chances(grid, d), 0.5, 2 * HOUR, HOUR, span=24 * 7)
+    return detector.agreement(found, real.select("t"), HOUR)
+
+
+_NEAR = """SELECT count(*) AS n, count(*) FILTER (WHERE least(a.t - p.t, f.t - a.t) <= {tolerance}) AS k, avg(CASE WHEN f.t IS NULL OR a.t - p.t <= f.t - a.t THEN a.t - p.t ELSE a.t - f.t END) FILTER (WHERE least(a.t - p.t, f.t - a.t) <= {tolerance}) AS lag FROM {a} a ASOF LEFT JOIN {b} p ON a.t >= p.t ASOF LEFT JOIN {b} f ON a.t <= f.t"""
+
+
+@query(f"""WITH {EV}, v AS (SELECT t FROM ev WHERE event_type = 'view'), p AS (SELECT t FROM ev WHERE event_type = 'purchase'), x AS ({_NEAR.format(a="v", b="p", tolerance=5 * MINUTE)}), y AS ({_NEAR.format(a="p", b="v", tolerance=5 * MINUTE)}),
+z AS (SELECT CAST(x.n AS BIGINT) AS n_found, CAST(y.n AS BIGINT) AS n_events, CAST(x.k AS BIGINT) AS hits, CAST(y.k AS BIGINT) AS seen, x.k / x.n AS p, y.k / y.n AS r, x.lag / 1e6 AS lag FROM x, y)
+SELECT n_found, n_events, hits, seen, round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / (p + r), 9) AS f1, round(lag, 6) AS lag FROM z""")
+def detection_agreement(spark, sf):
+    """Views held against purchases as if they were detections of them, within five minutes."""
+    ev = events(spark, sf)
+    out = detector.agreement(ev.where("event_type = 'view'").select("t"), ev.where("event_type = 'purchase'").select("t"), 5 * MINUTE, DAY)
+    return out.select("n_found", "n_events", "hits", "seen", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], F.round("lag", 6).alias("lag"))
