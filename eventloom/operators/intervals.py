@@ -160,15 +160,24 @@ def combine_sequence(intervals: DataFrame, gap: int, on: tuple[str, ...]) -> Dat
     return s.groupBy(*on, "sequence").agg(F.min("t0").alias("t0"), F.max_by("t1", "position").alias("t1"), F.count(F.lit(1)).alias("n"))
 
 
+#: Labels whose depths are columns of one sweep.
+LABELS = 64
+
+
 def state_changes(intervals: DataFrame, label: str, on: tuple[str, ...] = (), width: int | None = None, sep: str = "|") -> DataFrame:
     """The labels that hold from each edge on, in order, joined by ``sep``.
 
-    Changes are summed by label and time; every edge of any label then gets each label's
-    state, so the table has (edges x labels) rows for a moment: labels are few by nature.
+    Changes are summed by time into one column a label, and one sweep turns them into depths. Labels are few by nature; where
+    there are more than ``LABELS``, every edge of any label gets each label's state instead, for a moment.
     """
     e = edges(intervals.select(*on, label, "t0", "t1"), (*on, label))
-    held = running_sum(e, {"depth": "d"}, "t", (*on, label), width)
-    times = held.select(*on, "t").distinct()
+    names = sorted(r[0] for r in e.select(label).where(F.col(label).isNotNull()).distinct().limit(LABELS + 1).collect())
+    if 0 < len(names) <= LABELS:
+        changes = e.groupBy(*on, "t").agg(*[F.coalesce(F.sum(F.when(F.col(label) == n, F.col("d"))), F.lit(0).cast("long")).alias(f"__d{i}") for i, n in enumerate(names)])
+        depths = running_sum(changes, {f"__n{i}": f"__d{i}" for i in range(len(names))}, "t", on, width)
+        return depths.select(*on, "t", F.concat_ws(sep, *[F.when(F.col(f"__n{i}") > 0, F.lit(n)) for i, n in enumerate(names)]).alias("state"))
+    held = running_sum(e.where(F.col(label).isNotNull()), {"depth": "d"}, "t", (*on, label), width)
+    times = e.select(*on, "t").distinct()
     if on:
         grid = times.join(held.select(*on, label).distinct(), list(on))
     else:

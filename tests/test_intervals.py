@@ -104,3 +104,15 @@ def test_running_sum_in_buckets(spark):
 def test_states(spark):
     i = spark.createDataFrame([("x", 0, 5), ("y", 3, 8), ("x", 5, 6)], "label string, t0 long, t1 long")
     assert [(r.t, r.state) for r in iv.state_changes(i, "label").orderBy("t").collect()] == [(0, "x"), (3, "x|y"), (5, "x|y"), (6, "y"), (8, "")]
+
+
+@pytest.mark.parametrize("width", [None, 4])
+def test_states_are_the_same_for_few_and_for_many_labels(spark, monkeypatch, width):
+    rng = random.Random(3)
+    rows = [(rng.randrange(3), rng.choice(["a", "b", "ç", "d", None]), t, t + rng.randrange(0, 9)) for t in (rng.randrange(60) for _ in range(80))]
+    i = spark.createDataFrame(rows, "key long, label string, t0 long, t1 long")
+    few = sorted(map(tuple, iv.state_changes(i, "label", ("key",), width).collect()))
+    monkeypatch.setattr(iv, "LABELS", 2)
+    assert few == sorted(map(tuple, iv.state_changes(i, "label", ("key",), width).collect()))
+    for k, t, state in few:
+        assert state == "|".join(sorted({x for q, x, a, b in rows if q == k and x is not None and a <= t < b}))
