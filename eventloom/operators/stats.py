@@ -77,6 +77,12 @@ def class_similarity(df: DataFrame, unit: str, label: str, dim: str, value: str)
     return a.join(b, dim).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("p")).crossJoin(F.broadcast(dims)).select("a", "b", (F.col("p") / F.col("d")).alias("r"))  # one row
 
 
+def fisher_z(df: DataFrame, value: str) -> DataFrame:
+    """Correlations as Fisher's z; those of 1 and -1 by the nearest lesser number, so none is infinite."""
+    most = 1 - 2.0**-52
+    return df.withColumn(value, F.atanh(F.greatest(F.least(F.col(value), F.lit(most)), F.lit(-most))))
+
+
 def ranked(df: DataFrame, unit: str, value: str) -> DataFrame:
     """Average ranks of each unit's values, for rank correlation."""
     w = Window.partitionBy(unit)

@@ -42,5 +42,5 @@ def load() -> None:
         import_module(f"eventloom.plans.{name}")
 
 
-MODULES = ["interval_queries", "peri_queries", "stats_queries", "scalar_queries", "model_queries", "recording_queries", "access_queries", "closed_form_queries", "source_queries", "paradigm_queries", "hermite_queries", "scan_queries", "learning_queries"]
+MODULES = ["interval_queries", "peri_queries", "stats_queries", "scalar_queries", "model_queries", "recording_queries", "access_queries", "closed_form_queries", "source_queries", "paradigm_queries", "hermite_queries", "scan_queries", "learning_queries", "neighbour_queries"]
 load()
