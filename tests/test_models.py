@@ -136,6 +136,31 @@ def test_demixing_chance_is_the_greatest_mean_of_shuffles(spark, sf):
     assert len(found) == 26 and all(r.reps == 10 for r in found)
 
 
+def test_blocks_of_trials_are_drawn_and_permuted_evenly(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(5, 1, 60)
+    cell = np.r_[np.zeros(15), np.ones(45)].astype(int)  # one unit, cells of 15 and 45
+    df = spark.createDataFrame([(i, 1, int(c), "z", float(x)) for i, (c, x) in enumerate(zip(cell, v, strict=True))] + [(99, 1, 0, "z", None), (98, None, 0, "z", 3.0)], "k long, u long, f long, g string, v double")
+    for block in (7, 1000):
+        held = demixing.held_out(df, "u", ("f", "g"), "v", "k", 600, block=block).toPandas()
+        for c in (0, 1):
+            own, want = held[held.a == c], v[cell == c]
+            assert sorted(own.rep) == list(range(600))
+            assert set(np.round(own.test, 9)) == set(np.round(want, 9))  # every trial is held out at times
+            assert np.allclose(own.train * (len(want) - 1) + own.test, want.sum()) and np.allclose(own.e, want.var(ddof=1) / len(want))
+            assert own.test.value_counts(bins=np.sort(want)[[0, len(want) // 2, -1]]).min() > 600 * 0.35
+        drawn = demixing.held_out(df, "u", ("f", "g"), "v", "k", 1, 800, block).toPandas()
+        assert drawn.groupby("a").size().tolist() == [800, 800]
+        total = drawn.assign(n=np.where(drawn.a == 0, 15, 45)).pipe(lambda d: d.assign(s=d.train * (d.n - 1) + d.test))
+        assert np.allclose(total.groupby("shuffle").s.sum(), v.sum())
+        sums = total[total.a == 0].s
+        if block == 1000:  # moments of sums of 15 drawn from 60 without putting back
+            assert abs(sums.mean() - 15 * v.mean()) < 4 * sums.std() / 800**0.5
+            assert abs(sums.var() / (15 * v.var(ddof=1) * 45 / 60) - 1) < 0.25
+        else:
+            assert sums.nunique() > 700
+
+
 def test_sync(spark):
     rows = [(float(x), 1.5 * x + 3 + (50.0 if x == 77 else 0.001 * (x % 3))) for x in range(200)]
     pairs = spark.createDataFrame(rows, "x double, y double")
