@@ -64,22 +64,21 @@ def carried(df: DataFrame, values: list[str], order: list[Column], on: tuple[str
     """
     pack = F.when(F.col(values[0]).isNotNull(), F.struct(*values))
     rows = df.withColumn("__v", pack)
-    pick = F.last if back else F.first
-    frame = (Window.unboundedPreceding, 0) if back else (0, Window.unboundedFollowing)
+    # both ways run from the far end on: a frame up to the last row is summed anew for each row
+    frame, sort = (Window.unboundedPreceding, 0), [c.asc() if back else c.desc() for c in order]
     width = _width(on, width)
     if width is None:
-        w = Window.partitionBy(*on).orderBy(*order).rowsBetween(*frame)
-        filled = rows.withColumn("__f", pick("__v", ignorenulls=True).over(w))
+        w = Window.partitionBy(*on).orderBy(*sort).rowsBetween(*frame)
+        filled = rows.withColumn("__f", F.last("__v", ignorenulls=True).over(w))
     else:
         rows = rows.withColumn(_B, bucket(time, width))
-        inner = Window.partitionBy(*on, _B).orderBy(*order).rowsBetween(*frame)
-        edge = Window.partitionBy(*on).orderBy(_B)
+        inner = Window.partitionBy(*on, _B).orderBy(*sort).rowsBetween(*frame)
         rank = F.struct(*[c for c in order]) if len(order) > 1 else order[0]
         ends = rows.where("__v is not null").groupBy(*on, _B).agg((F.max_by if back else F.min_by)("__v", rank).alias("__end"))
         every = rows.select(*on, _B).distinct().join(ends, [*on, _B], "left")
-        outer = edge.rowsBetween(Window.unboundedPreceding, -1) if back else edge.rowsBetween(1, Window.unboundedFollowing)
-        every = every.withColumn("__far", pick("__end", ignorenulls=True).over(outer)).drop("__end")
-        filled = rows.withColumn("__near", pick("__v", ignorenulls=True).over(inner)).join(every, [*on, _B]).withColumn("__f", F.coalesce("__near", "__far")).drop(_B, "__near", "__far")
+        outer = Window.partitionBy(*on).orderBy(F.col(_B).asc() if back else F.col(_B).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        every = every.withColumn("__far", F.last("__end", ignorenulls=True).over(outer)).drop("__end")
+        filled = rows.withColumn("__near", F.last("__v", ignorenulls=True).over(inner)).join(every, [*on, _B]).withColumn("__f", F.coalesce("__near", "__far")).drop(_B, "__near", "__far")
     for v in values:
         filled = filled.withColumn(v, F.col("__f")[v])
     return filled.drop("__v", "__f")
@@ -99,9 +98,8 @@ def asof(queries: DataFrame, table: DataFrame, values: list[str], mode: str = "p
     left = queries.withColumn("__q", F.lit(1)).select("*", *[F.lit(None).cast(table.schema[v].dataType).alias(v) for v in values])
     right = first.withColumn("__q", F.lit(0)).select(*keys, "__q", *values)
     rows = left.unionByName(right, allowMissingColumns=True)
-    tie = F.col("__q").asc() if back else F.col("__q").desc()
     order = [F.col(t), F.col("__q") if back else -F.col("__q")]
-    out = carried(rows, values, order if _width(on, width) is not None else [F.col(t), tie], on, t, width, back)
+    out = carried(rows, values, order, on, t, width, back)
     if ends:
         out = out.withColumn("__miss", F.col(values[0]).isNull() & (F.col("__q") == 1))
         far = first.groupBy(*on).agg((F.min_by if back else F.max_by)(F.struct(*values), F.col(t)).alias("__e"))
