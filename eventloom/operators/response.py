@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from eventloom.operators import peri
+from eventloom.operators import window_counts as wc
 
 BASE = 1.5
 
@@ -45,16 +45,15 @@ def slopes(counts: np.ndarray, window: float, base: float = BASE) -> np.ndarray:
     return np.mean(out, axis=0)
 
 
-def binned(spikes: DataFrame, events: DataFrame, key: str, window: int, bins: int) -> DataFrame:
-    """key, bin and n: spikes (key, t) after events (trigger, e) within the window, counted in bins; times in microseconds."""
-    found = peri.trig(spikes.select(F.col(key).alias("__unit"), "t"), events.select("trigger", "e"), 0, window)
-    at = F.least(F.floor(F.col("rel") * F.lit(bins) / F.lit(window)), F.lit(bins - 1)).cast("int")
-    return found.groupBy(F.col("__unit").alias(key), at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+def pooled(spikes: DataFrame, events: DataFrame, key: str, window: int, bins: int) -> DataFrame:
+    """key and counts: spikes (key, t) after events (e) within the window, in bins; any number of rows a key, which add up to the whole. Times in microseconds."""
+    edges = [-(-k * window // bins) for k in range(bins + 1)]
+    # a spike's own count: events at e with t - e in [a, b), so e - t in [1 - b, 1 - a)
+    return wc.pooled(spikes.select(F.col(key).alias("__unit"), F.col("t").alias("e")), events.select(F.col("e").alias("t")), [(1 - b, 1 - a) for a, b in zip(edges, edges[1:], strict=False)], ["__unit"]).select(F.col("__unit").alias(key), "counts")
 
 
 def _rates(pdf: pd.DataFrame, bins: int, window: float, events: int, base: float) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.zeros(bins)
-    counts[pdf["bin"].to_numpy()] = pdf["n"].to_numpy()
+    counts = np.sum(np.stack(pdf["counts"].to_numpy()), axis=0).astype(float)
     slope = slopes(counts, window, base)
     return slope, (slope + 1 / window) * counts.sum() / max(events, 1)
 
@@ -67,7 +66,7 @@ def rates(spikes: DataFrame, events: DataFrame, key: str, window: int, bins: int
         slope, rate = _rates(pdf, bins, length, n, base)
         return pd.DataFrame({key: unit[0], "t": (np.arange(bins) + 0.5) * length / bins, "slope": slope, "rate": rate})
 
-    return binned(spikes, events, key, window, bins).groupBy(key).applyInPandas(run, f"`{key}` {spikes.schema[key].dataType.simpleString()}, t double, slope double, rate double")
+    return pooled(spikes, events, key, window, bins).where(F.exists("counts", lambda n: n > 0)).groupBy(key).applyInPandas(run, f"`{key}` {spikes.schema[key].dataType.simpleString()}, t double, slope double, rate double")
 
 
 def located(rate: np.ndarray, step: float) -> tuple[float, float, float, float, float]:
@@ -91,7 +90,7 @@ def responses(spikes: DataFrame, events: DataFrame, key: str, window: int, bins:
     def run(unit, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(unit[0], *located(_rates(pdf, bins, length, n, base)[1], length / bins))], columns=[key, *names])
 
-    return binned(spikes, events, key, window, bins).groupBy(key).applyInPandas(run, f"`{key}` {spikes.schema[key].dataType.simpleString()}, " + ", ".join(f"{c} double" for c in names))
+    return pooled(spikes, events, key, window, bins).where(F.exists("counts", lambda n: n > 0)).groupBy(key).applyInPandas(run, f"`{key}` {spikes.schema[key].dataType.simpleString()}, " + ", ".join(f"{c} double" for c in names))
 
 
 #: The distribution function of a Poisson variable of mean 1, in 2 ** -31, up to 12.

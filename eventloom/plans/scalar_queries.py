@@ -9,6 +9,7 @@ from eventloom.functions import scalar
 from eventloom.functions.timing import DAY, HOUR, MINUTE, SECOND
 from eventloom.operators import intervals as iv
 from eventloom.operators import labels, scene, sync
+from eventloom.operators import window_counts as wc
 from eventloom.operators.ordered import asof
 from eventloom.plans.interval_queries import EV
 from eventloom.plans.registry import query
@@ -359,8 +360,9 @@ def stimulus_response(spark, sf):
     ev = events(spark, sf)
     g = ev.where("event_type = 'signup'").select(F.col("event_id").alias("trigger"), F.col("t").alias("e"), (F.col("user_id") % 8).alias("stimulus"))
     s = ev.select("t")
-    on = peri.window_rate(s, g, 0, HOUR).join(g, "trigger").groupBy("stimulus").agg(F.avg("rate").alias("on"))
-    off = peri.window_rate(s, g, -HOUR, 0).agg(F.avg("rate").alias("off"))
+    n = peri.binned(s, g, [(-HOUR, 0), (0, HOUR)], -1, ["trigger", "stimulus"]).withColumn("rate", F.col("n") / F.lit(HOUR / 1e6))
+    on = n.where("bin = 0").groupBy("stimulus").agg(F.avg("rate").alias("on"))
+    off = n.where("bin = -1").agg(F.avg("rate").alias("off"))
     return on.crossJoin(F.broadcast(off)).select("stimulus", F.round((F.col("on") - F.col("off")) / F.col("off"), 9).alias("response"))  # one row
 
 
@@ -377,8 +379,8 @@ def action_rates(spark, sf):
     inside = iv.in_intervals(a, fix, ("user_id",)).withColumn("offset_h", F.explode(F.array(*[F.lit(h).cast("long") for h in range(0, 25, 6)])))
     at = F.col("t") + F.col("offset_h") * F.lit(HOUR).cast("long")
     kept = inside.withColumn("at", at).where("at >= t0 and at < t1").select("action", "offset_h", "at").distinct()
-    spans = kept.select(F.struct("action", "offset_h").alias("k"), F.col("at").alias("t0"), (F.col("at") + F.lit(HOUR).cast("long")).alias("t1"))
-    return iv.counts_in(ev.select("t"), spans, "k").select("k.action", "k.offset_h", "n")
+    n = wc.counts(kept.withColumnRenamed("at", "e"), ev.select("t"), [(0, HOUR)], ["action", "offset_h"])
+    return n.select("action", "offset_h", F.col("counts")[0].alias("n"))
 
 
 @query(f"""{_E}, i AS (SELECT user_id, t AS t0, t + {DAY} AS t1 FROM ev WHERE event_type = 'signup'), b AS (SELECT user_id, bin, bin * {HOUR} AS t FROM (SELECT DISTINCT user_id FROM ev), (SELECT CAST(unnest(range(0, 720)) AS BIGINT) AS bin)), n AS (SELECT user_id, t // {HOUR} AS bin, count(*) AS n FROM ev GROUP BY 1, 2)
