@@ -13,6 +13,16 @@ def divide(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / F.nullif(b, F.lit(0.0))).when(b.isNull() | a.isNull(), F.lit(None)).when(a > 0, inf).when(a < 0, -inf).otherwise(nan)
 
 
+def rounded(c: Column, places: int) -> Column:
+    """Rounded as SQL engines on doubles do: the product with a power of ten goes to the nearest whole number, halves away from zero; what overflows stays.
+
+    Spark's own rounding takes the shortest decimal text of a double, so 0.285 becomes 0.29, where 0.285 * 100 lies below 28.5.
+    """
+    power = F.lit(float(10**places))
+    out = F.round(c * power, 0) / power
+    return F.when(F.isnan(out) | (F.abs(out) == F.lit(float("inf"))), c).otherwise(out)
+
+
 def same(a: Column, b: Column) -> Column:
     """Equality under which NaN equals nothing."""
     return (a == b) & ~F.isnan(a)

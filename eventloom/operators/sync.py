@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.operators.ordered import before, numbered
+from eventloom.functions.timing import SECOND
+from eventloom.operators.ordered import before, numbered, running_sum
 
 
 def linear(pairs: DataFrame, x: str = "x", y: str = "y", weight: str | None = None) -> dict[str, float]:
@@ -82,21 +83,29 @@ def best_shift(found: DataFrame) -> DataFrame:
     return found.agg(F.min_by("shift", F.struct("worst", "shift")).alias("shift"), F.min("worst").alias("worst"))
 
 
+def _lower_median(df: DataFrame, column: str, n: int) -> int:
+    """The least value that half of the n rows don't exceed: values are counted, and the counts summed in buckets of a second."""
+    counts = df.groupBy(F.col(column).alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    return running_sum(counts, {"upto": "n"}, "t", (), SECOND).where(F.col("upto") >= F.lit((n + 1) // 2)).agg(F.min("t")).first()[0]
+
+
 def matched_with_gaps(first: DataFrame, second: DataFrame, tolerance: float, width: int | None = None) -> DataFrame:
     """Pairs (x, y) of two clocks' pulses (t) either of which may lack some: neighbours of the two series whose distance is within ``tolerance`` of the usual one.
 
     Both series are ordered as one. Steps from a pulse of the first to one of the second, or the other way round where those
-    vary less, are compared with their median (an approximate one beyond 10,000 pulses). Times are whole numbers, distinct within a series.
+    vary less, are compared with their median (the lower of two middle ones). Times are whole numbers, distinct within a series.
     """
     both = first.select((F.col("t") * 2).alias("o"), "t", F.lit(1).alias("who")).unionByName(second.select((F.col("t") * 2 + 1).alias("o"), "t", F.lit(2).alias("who")))
     both = both.withColumn("__s", F.struct("t", "who"))
     steps = before(both, "__p", "__s", "o", (), None if width is None else 2 * width).where("__p is not null and __p.who <> who")
     steps = steps.select(F.col("__p.who").alias("leads"), F.col("__p.t").alias("a"), F.col("t").alias("b"), (F.col("t") - F.col("__p.t")).alias("d"))
-    usual = {r.leads: r for r in steps.groupBy("leads").agg(F.coalesce(F.stddev_samp("d"), F.lit(0.0)).alias("sd"), F.percentile_approx("d", 0.5, 10000).alias("m")).collect()}
+    usual = {r.leads: r for r in steps.groupBy("leads").agg(F.coalesce(F.stddev_samp("d"), F.lit(0.0)).alias("sd"), F.count(F.lit(1)).alias("n")).collect()}
     if len(usual) < 2:
         raise ValueError("the series don't alternate")
     lead = 1 if usual[1].sd < usual[2].sd else 2
-    near = steps.where((F.col("leads") == lead) & (F.abs(F.col("d") - F.lit(usual[lead].m)) <= tolerance))
+    own = steps.where(F.col("leads") == lead)
+    middle = _lower_median(own, "d", usual[lead].n)
+    near = own.where(F.abs(F.col("d") - F.lit(middle)) <= tolerance)
     return near.select(F.col("a" if lead == 1 else "b").alias("x"), F.col("b" if lead == 1 else "a").alias("y"))
 
 

@@ -24,7 +24,7 @@ l_quantity > 25 AS gt, l_quantity >= 25 AS ge, l_quantity < 25 AS lt, l_quantity
 def elementwise(spark, sf):
     q, x, d, p = (F.col(c) for c in ("l_quantity", "l_tax", "l_discount", "l_extendedprice"))
     return table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", (-q).alias("neg"), (q + x).alias("plus"), (q - d).alias("minus"), F.round(p * d, 6).alias("times"), F.round(scalar.divide(p, d), 4).alias("rdivide"), F.round(scalar.divide(d, p), 12).alias("ldivide"),
+        "l_orderkey", "l_linenumber", (-q).alias("neg"), (q + x).alias("plus"), (q - d).alias("minus"), scalar.rounded(p * d, 6).alias("times"), scalar.rounded(scalar.divide(p, d), 4).alias("rdivide"), scalar.rounded(scalar.divide(d, p), 12).alias("ldivide"),
         (q > 25).alias("gt"), (q >= 25).alias("ge"), (q < 25).alias("lt"), (q <= 25).alias("le"), scalar.same(q, F.lit(25.0)).alias("eq"), (~scalar.same(q, F.lit(25.0))).alias("ne"), ((q > 25) & (x > 0.04)).alias("both"), ((q > 25) | (x > 0.04)).alias("either"),
     )
 
