@@ -107,7 +107,8 @@ def _hourly(spark, sf, cell=None):
     """Counts by hour of each cell from the first hour to the last: cell, bin, n, and the hour's sine, cosine and night."""
     h = events(spark, sf).groupBy((F.col("user_id") % 8 if cell is None else cell).alias("cell"), F.expr(f"t div {HOUR}L").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     last = h.agg(F.max("bin").alias("last"))  # one row
-    grid = h.select("cell").distinct().crossJoin(F.broadcast(last)).select("cell", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("bin"))
+    cells = h.select("cell").distinct().repartition(4 * spark.sparkContext.defaultParallelism)  # few bytes that become many rows
+    grid = cells.crossJoin(F.broadcast(last)).select("cell", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("bin"))
     full = grid.join(h, ["cell", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")).cast("double"))
     angle = F.col("bin") * F.lit(2 * math.pi / 24)
     return full.withColumn("c", F.cos(angle)).withColumn("s", F.sin(angle)).withColumn("night", (F.col("bin") % 24 < 6).cast("double"))
