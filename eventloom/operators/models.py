@@ -11,11 +11,12 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions import filters, numeric
-from eventloom.operators import output_codes, peri, scans
+from eventloom.operators import output_codes, scans
+from eventloom.operators.zeta import zeta_test  # noqa: F401
 
 
 def gram(df: DataFrame, column: str) -> tuple[int, np.ndarray, np.ndarray]:
@@ -222,122 +223,6 @@ def filtered(df: DataFrame, key: str, order: str, value: str, fs: float, band: t
     return scans.filtered(df, (key,), order, value, filters.sections(kind, poles, band, fs, ripple))
 
 
-#: Pieces of a window in which ranks are first bounded.
-PIECES = 4096
-
-
-def _moved(trigger: np.ndarray, draw: int, window: int, seed: int) -> np.ndarray:
-    """By how much each trigger (a hash of it) moves in a draw: nothing in draw 0, else up to two windows, by a mixing function."""
-    if not draw:
-        return np.zeros(len(trigger), np.int64)
-    z = trigger.view(np.uint64) + np.uint64((draw * 0x9E3779B97F4A7C15 + seed * 0xD1B54A32D192ED03) % 2**64)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((z ^ (z >> np.uint64(31))) % np.uint64(4 * window)).astype(np.int64) - 2 * window
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Scalar, pa.RecordBatch]]:
-    """Stretches of one value of the first column."""
-    for batch in batches:
-        code = batch.column(0).dictionary_encode(null_encoding="encode")
-        at = code.indices.to_numpy()
-        for lo, hi in zip(np.r_[0, np.flatnonzero(np.diff(at)) + 1], np.r_[np.flatnonzero(np.diff(at)) + 1, len(at)], strict=True):
-            if lo < hi:
-                yield code.dictionary[int(at[lo])], batch.slice(lo, hi - lo)
-
-
-def zeta_test(spikes: DataFrame, events: DataFrame, key: str, window: int, resamples: int = 100, seed: int = 0) -> DataFrame:
-    """zeta, p and latency (seconds) of each unit of spikes (key, t) against all events (trigger, e); times in microseconds.
-
-    The null moves each event by up to two windows, drawn by hash. One interval join serves
-    all draws; its pairs are written, evenly spread and sorted by unit, and tasks go through them once for counts, sums and
-    bounds by draw and piece of the window. Those tell the few pieces in which the greatest deviation may lie; a second pass,
-    which meets a unit's pieces before its pairs, gives out only their spikes, and those are ranked. So the result is exact, no
-    draw copies the pairs, and a task holds the pieces of one unit.
-    """
-    draws = F.explode(F.sequence(F.lit(0), F.lit(resamples)))
-    spread = int(spikes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = peri.trig(spikes.select(F.col(key).alias("unit"), "t"), events.select("trigger", "e"), -2 * window, 3 * window)
-    pairs = pairs.select("unit", F.xxhash64("trigger").alias("h"), "rel", F.pmod(F.xxhash64("trigger", "rel"), F.lit(spread)).alias("part"))
-    pairs = scans.stored(pairs.repartition(spread, "part").sortWithinPartitions("unit"), "zeta-pairs")
-    kind = pairs.schema["unit"].dataType.simpleString()
-
-    def held(h: np.ndarray, rel: np.ndarray, draw: int) -> tuple[np.ndarray, np.ndarray]:
-        at = rel - _moved(h, draw, window, seed)
-        at = at[(at >= 0) & (at < window)]
-        return at, at * PIECES // window
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, shape = None, (resamples + 1, PIECES)
-
-        def out():
-            draw, piece = np.nonzero(n)
-            columns = [pa.array(c) for c in (draw, piece, n[draw, piece], total[draw, piece], lo[draw, piece], hi[draw, piece])]
-            return pa.RecordBatch.from_arrays([pa.repeat(now, len(draw)), *columns], ["unit", "draw", "piece", "n", "s", "lo", "hi"])
-
-        for unit, run in _runs(batches):
-            if now is None or unit != now:
-                if now is not None:
-                    yield out()
-                now, n, total, lo, hi = unit, np.zeros(shape, np.int64), np.zeros(shape), np.full(shape, window, np.int64), np.full(shape, -1, np.int64)
-            h, rel = (run.column(c).to_numpy() for c in (1, 2))
-            for draw in range(resamples + 1):
-                at, piece = held(h, rel, draw)
-                n[draw] += np.bincount(piece, minlength=PIECES)
-                total[draw] += np.bincount(piece, at, PIECES)
-                np.minimum.at(lo[draw], piece, at)
-                np.maximum.at(hi[draw], piece, at)
-        if now is not None:
-            yield out()
-
-    def deviation(rank, rel):
-        return rank / F.col("total") - F.col(rel) / F.lit(float(window)) - F.col("mean")
-
-    w = Window.partitionBy("unit", "draw")
-    n, before = F.col("n"), F.col("before")
-    b = pairs.select("unit", "h", "rel").mapInArrow(count, f"unit {kind}, draw long, piece long, n long, s double, lo long, hi long")
-    b = b.groupBy("unit", "draw", "piece").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    b = b.withColumn("total", F.sum("n").over(w)).withColumn("mean", (F.col("total") + 1) / (2 * F.col("total")) - F.sum("s").over(w) / (F.col("total") * F.lit(float(window))))
-    b = b.withColumn("before", F.coalesce(F.sum("n").over(w.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    b = b.withColumn("sure", F.greatest(F.abs(deviation(before + 1, "lo")), F.abs(deviation(before + n, "hi"))))
-    b = b.withColumn("bound", F.greatest(deviation(before + n, "lo"), -deviation(before + 1, "hi"))).withColumn("best", F.max("sure").over(w))
-    near = b.where((F.col("bound") >= F.col("best") - 1e-12) & (F.col("total") >= 3)).select("unit", "draw", "piece", "before", "total", "mean")
-    near = scans.stored(near, "zeta-near")
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, wanted = None, {}
-        for unit, run in _runs(batches):
-            if now is None or unit != now:
-                now, wanted = unit, {}
-            h, rel, draw, piece = (run.column(c) for c in range(1, 5))
-            asked = draw.is_valid().to_numpy(zero_copy_only=False)
-            for d, p in zip(draw.drop_null().to_pylist(), piece.drop_null().to_pylist(), strict=True):  # a few a draw
-                wanted.setdefault(d, np.zeros(PIECES, bool))[p] = True
-            h, rel = (c.filter(pa.array(~asked)).to_numpy() for c in (h, rel))
-            for d, mask in wanted.items() if len(h) else ():
-                at, p = held(h, rel, d)
-                keep = mask[p]
-                if keep.any():
-                    yield pa.RecordBatch.from_arrays([pa.repeat(unit, int(keep.sum())), pa.array(np.full(keep.sum(), d)), pa.array(p[keep]), pa.array(at[keep])], ["unit", "draw", "piece", "rel"])
-
-    none = F.lit(None).cast("long")
-    ask = near.select("unit", none.alias("h"), none.alias("rel"), F.col("draw"), F.col("piece"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))).alias("part"))
-    both = pairs.select("unit", "h", "rel", none.alias("draw"), none.alias("piece"), "part").union(ask).repartition(spread, "part").sortWithinPartitions("unit", F.desc_nulls_last("draw"))
-    found = both.select("unit", "h", "rel", "draw", "piece").mapInArrow(pick, f"unit {kind}, draw long, piece long, rel long")
-
-    rank = F.row_number().over(Window.partitionBy("unit", "draw", "piece").orderBy("rel")) + before
-    ranked = found.join(near, ["unit", "draw", "piece"]).select("unit", "draw", "rel", F.abs(deviation(rank, "rel")).alias("d"))
-    top = ranked.groupBy("unit", "draw").agg(F.max(F.struct("d", (-F.col("rel")).alias("back"))).alias("m")).select("unit", "draw", F.col("m.d").alias("d"), (-F.col("m.back") / F.lit(1e6)).alias("latency"))
-    grid = spikes.select(F.col(key).alias("unit")).distinct().withColumn("draw", draws)
-    each = grid.join(top, ["unit", "draw"], "left").fillna(0.0, ["d", "latency"])
-    own, other = F.col("draw") == 0, F.when(F.col("draw") > 0, F.col("d"))
-    each = each.groupBy("unit").agg(F.max(F.when(own, F.col("d"))).alias("own"), F.max(F.when(own, F.col("latency"))).alias("latency"), F.avg(other).alias("m"), F.var_samp(other).alias("v"))
-    beta = F.sqrt(6 * F.col("v")) / F.lit(np.pi)
-    p = F.greatest(-F.expm1(-F.exp(-(F.col("own") - (F.col("m") - 0.5772156649 * beta)) / beta)), F.lit(1e-300))
-    flat = (F.col("own") == 0) | (F.col("v") == 0)
-    return each.select(F.col("unit").alias(key), F.when(flat, 0.0).otherwise(F.col("own")).alias("zeta"), F.when(flat, 1.0).otherwise(p).alias("p"), "latency")
-
-
 def margins(frame: pd.DataFrame, factors: tuple[str, ...], combine: list[list[tuple[str, ...]]] | None = None) -> dict[str, np.ndarray]:
     """Parts of centred cell means (units by cells) that each subset of factors explains, by inclusion and exclusion.
 
