@@ -41,6 +41,34 @@ def test_join_equals_brute_force_over_lengths_of_all_sizes(spark):
     assert got == sorted((x, k) for x in t for k, (a, b) in enumerate(i) if a <= x < b)
 
 
+def test_copies_of_times_are_joined_once_and_paired_together(spark):
+    rng = random.Random(1)
+    t = [rng.randint(0, 40) for _ in range(300)] + [7] * 1100 + [None]
+    i = [(a, a + rng.choice([4, 4, 4, 90])) for a in (rng.randint(0, 40) for _ in range(90))] + [(None, 3)]
+    e = spark.createDataFrame([(x, k if k % 9 else None) for k, x in enumerate(t)], "t long, event long").repartition(5)
+    found = iv.in_intervals(e, spans(spark, i).repartition(5))
+    assert found.columns == ["t", "event", "id", "t0", "t1"]
+    got = found.rdd.glom().collect()
+    want = sorted((x, k if k % 9 else -1, m) for k, x in enumerate(t) for m, (a, b) in enumerate(i) if None not in (x, a) and a <= x < b)
+    assert sorted((r.t, -1 if r.event is None else r.event, r.id) for part in got for r in part) == want
+    # pairs of the same times lie side by side, but where a list is full
+    runs = sum(len(list(itertools.groupby(part, key=lambda r: (r.t, r.t0, r.t1)))) for part in got)
+    times = {(x, *i[m]) for x, _, m in want}
+    assert runs <= len(times) + len({x[1:] for x in times})
+    # what a filter asks of a time's own column is asked before rows are paired
+    ends = e.withColumn("end", e["t"] + 2)
+    late = iv.in_intervals(ends, spans(spark, i), beside=("end",)).where("end < t1")
+    assert sorted((r.t, r.id) for r in late.collect()) == sorted((x, m) for x, _, m in want if x + 2 < i[m][1])
+    plan = late._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") > plan.rindex("Generate explode(__events") and "(end" in plan[plan.index("Join Inner") :].split("\n")[0]
+
+
+def test_tasks_of_a_join_follow_the_intervals(spark):
+    """Few bytes of input may make very many pairs, so tasks are not left to the bytes."""
+    many = spark.range(20_000).selectExpr("id", "id * 1000 AS t0", "id * 1000 + 5000 AS t1")
+    assert iv.in_intervals(spark.range(200).selectExpr("id * 100000 AS t"), many).rdd.getNumPartitions() > 4
+
+
 def test_empty_inputs(spark):
     none = spark.createDataFrame([], "id long, t0 long, t1 long")
     assert iv.in_intervals(points(spark, [1]), none).count() == 0
