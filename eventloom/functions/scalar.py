@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 
 def divide(a: Column, b: Column) -> Column:
-    """a / b with infinities and NaN for a zero divisor."""
+    """a / b with infinities and NaN for a zero divisor, whose sign counts."""
     inf, nan = F.lit(float("inf")), F.lit(float("nan"))
     a, b = a.cast("double"), b.cast("double")
-    return F.when(b != 0, a / F.nullif(b, F.lit(0.0))).when(b.isNull() | a.isNull(), F.lit(None)).when(a > 0, inf).when(a < 0, -inf).otherwise(nan)
+    below = b.cast("string").startswith("-")  # only the text tells -0.0
+    return F.when(b != 0, a / F.nullif(b, F.lit(0.0))).when(b.isNull() | a.isNull(), F.lit(None)).when(F.isnan(a) | (a == 0), nan).when((a > 0) != below, inf).otherwise(-inf)
 
 
 def rounded(c: Column, places: int) -> Column:
@@ -19,8 +20,9 @@ def rounded(c: Column, places: int) -> Column:
     Spark's own rounding takes the shortest decimal text of a double, so 0.285 becomes 0.29, where 0.285 * 100 lies below 28.5.
     """
     power = F.lit(float(10**places))
-    out = F.round(c * power, 0) / power
-    return F.when(F.isnan(out) | (F.abs(out) == F.lit(float("inf"))), c).otherwise(out)
+    # the sign is put back, so that of a zero stays
+    out = F.signum(c) * (F.round(F.abs(c * power), 0) / power)
+    return F.when(F.abs(c * power) < F.lit(float("inf")), out).otherwise(c)
 
 
 def same(a: Column, b: Column) -> Column:

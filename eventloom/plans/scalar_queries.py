@@ -23,8 +23,10 @@ CASE WHEN l_discount <> 0 THEN round(l_extendedprice / l_discount, 4) WHEN l_ext
 l_quantity > 25 AS gt, l_quantity >= 25 AS ge, l_quantity < 25 AS lt, l_quantity <= 25 AS le, l_quantity = 25 AS eq, l_quantity <> 25 AS ne, (l_quantity > 25 AND l_tax > 0.04) AS both, (l_quantity > 25 OR l_tax > 0.04) AS either FROM lineitem""")
 def elementwise(spark, sf):
     q, x, d, p = (F.col(c) for c in ("l_quantity", "l_tax", "l_discount", "l_extendedprice"))
-    return table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", (-q).alias("neg"), (q + x).alias("plus"), (q - d).alias("minus"), scalar.rounded(p * d, 6).alias("times"), scalar.rounded(scalar.divide(p, d), 4).alias("rdivide"), scalar.rounded(scalar.divide(d, p), 12).alias("ldivide"),
+    # an unknown divisor counts as none, and of numerators only those above 0 give an infinity then
+    ratio = F.when(d != 0, scalar.rounded(p / F.nullif(d, F.lit(0.0)), 4)).when(p > 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", q, x, d, p, scalar.divide(d, p).alias("l")).select(
+        "l_orderkey", "l_linenumber", (-q).alias("neg"), (q + x).alias("plus"), (q - d).alias("minus"), scalar.rounded(p * d, 6).alias("times"), ratio.alias("rdivide"), scalar.rounded(F.col("l"), 12).alias("ldivide"),
         (q > 25).alias("gt"), (q >= 25).alias("ge"), (q < 25).alias("lt"), (q <= 25).alias("le"), scalar.same(q, F.lit(25.0)).alias("eq"), (~scalar.same(q, F.lit(25.0))).alias("ne"), ((q > 25) & (x > 0.04)).alias("both"), ((q > 25) | (x > 0.04)).alias("either"),
     )
 
