@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,7 +101,7 @@ def matched_with_gaps(first: DataFrame, second: DataFrame, tolerance: float, wid
     both = both.withColumn("__s", F.struct("t", "who"))
     steps = before(both, "__p", "__s", "o", (), None if width is None else 2 * width).where("__p is not null and __p.who <> who")
     steps = steps.select(F.col("__p.who").alias("leads"), F.col("__p.t").alias("a"), F.col("t").alias("b"), (F.col("t") - F.col("__p.t")).alias("d"))
-    usual = {r.leads: r for r in steps.groupBy("leads").agg(F.coalesce(F.stddev_samp("d"), F.lit(0.0)).alias("sd"), F.count(F.lit(1)).alias("n")).collect()}
+    usual = {r.leads: r for r in steps.groupBy("leads").agg(F.coalesce(F.stddev_samp("d"), F.lit(math.inf)).alias("sd"), F.count(F.lit(1)).alias("n")).collect()}
     if len(usual) < 2:
         raise ValueError("the series don't alternate")
     lead = 1 if usual[1].sd < usual[2].sd else 2

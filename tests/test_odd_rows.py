@@ -44,3 +44,11 @@ def test_places_of_equal_minima_are_the_first(spark, tmp_path):
     got, want = compared(spark, tmp_path, "second_output")
     assert len(got) == 13
     assert got == want
+
+
+@pytest.mark.parametrize("left_out", ["false", "event_id % 7 = 3 OR event_id % 11 = 5"])
+def test_drift_of_few_pulses_is_that_of_least_squares(spark, tmp_path, left_out):
+    duckdb.sql(f"""SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_microseconds(i * 60000000 + i * i * 7919 % 50000000) AS ts, 0::BIGINT AS user_id, 'purchase' AS event_type, 0.0 AS value
+    FROM (SELECT i, i AS event_id FROM range(300) r(i)) WHERE NOT ({left_out})""").write_parquet(str(tmp_path / "events.parquet"))
+    got, want = compared(spark, tmp_path, "clock_drift")
+    assert got == want
